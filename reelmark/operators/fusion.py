@@ -64,78 +64,72 @@ def fingerprint(source: Column, raw: Column) -> Column:
     )
 
 
-def _walk(times: Column, anchor: Column) -> Column:
-    """Last cluster anchor after walking ordered times from ``anchor``."""
-    return F.aggregate(
-        times, anchor, lambda a, t: F.when(a.isNull() | (t - a > COALESCE_WINDOW_S), t).otherwise(a)
-    )
-
-
-def cluster_anchors(positions: DataFrame, keys: list[str]) -> DataFrame:
+def cluster_anchors(
+    positions: DataFrame,
+    keys: list[str],
+    gap: float = COALESCE_WINDOW_S,
+    inclusive: bool = False,
+    chunk_s: float | None = None,
+) -> DataFrame:
     """Fixed-anchor clusters over distinct positions: ``keys, start_s, anchor_s``.
 
-    A cluster starts at the first position more than six seconds after the previous anchor,
-    so anchors depend on each other along the whole timeline. The walk is split into chunks
-    of ten minutes: per chunk, the exit anchor is computed for every position that could be
-    its first anchor (those within six seconds of the chunk edge, and the first one after);
+    A cluster starts at the first position more than ``gap`` after the previous anchor (or at
+    least ``gap``, if ``inclusive``), so anchors depend on each other along the whole timeline.
+    The walk is split into chunks: per chunk, the exit anchor is computed for every position that
+    could be its first anchor (those within ``gap`` of the chunk edge, and the first one after);
     one short fold over the chunks of a key picks the entries that really happen.
     """
-    edge = F.floor(F.col("start_s") / CHUNK_S)
+    size = chunk_s or CHUNK_S
+
+    def beyond(t: Column, anchor: Column) -> Column:
+        return (t - anchor >= gap) if inclusive else (t - anchor > gap)
+
+    def follow(anchor: Column, t: Column) -> Column:
+        return F.when(anchor.isNull() | beyond(t, anchor), t).otherwise(anchor)
+
     chunk = (
-        positions.select(*keys, "start_s", edge.alias("chunk"))
+        positions.select(*keys, "start_s", F.floor(F.col("start_s") / size).alias("chunk"))
         .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_list("start_s")).alias("times"))
+        .agg(F.array_sort(F.collect_set("start_s")).alias("times"))
     )
-    limit = F.col("chunk") * CHUNK_S + COALESCE_WINDOW_S
-    times = F.col("times")
+    times, limit = F.col("times"), F.col("chunk") * size + gap
     entries = F.concat(
-        F.filter(times, lambda t: t < limit),
-        F.slice(F.filter(times, lambda t: t >= limit), 1, 1),
+        F.filter(times, lambda t: t < limit), F.slice(F.filter(times, lambda t: t >= limit), 1, 1)
     )
     moves = F.transform(
         entries,
-        lambda e: F.struct(e.alias("enter"), _walk(F.filter(times, lambda t: t >= e), e).alias("leave")),
-    )
-    state = "struct<anchor:double,seen:array<struct<chunk:bigint,entry:double>>>"
-    folded = F.aggregate(
-        F.col("chunks"),
-        F.struct(F.lit(None).cast("double").alias("anchor"), F.array().cast("array<struct<chunk:bigint,entry:double>>").alias("seen")).cast(state),
-        lambda acc, c: F.struct(
-            F.coalesce(
-                F.try_element_at(
-                    F.filter(c["moves"], lambda m: acc["anchor"].isNull() | (m["enter"] - acc["anchor"] > COALESCE_WINDOW_S)),
-                    F.lit(1),
-                )["leave"],
-                acc["anchor"],
-            ).alias("anchor"),
-            F.array_append(acc["seen"], F.struct(c["chunk"].alias("chunk"), acc["anchor"].alias("entry"))).alias("seen"),
-        ).cast(state),
+        lambda e: F.struct(
+            e.alias("enter"), F.aggregate(F.filter(times, lambda t: t >= e), e, follow).alias("leave")
+        ),
     )
+    visit = "struct<chunk:bigint,entry:double>"
+    path_state = f"struct<anchor:double,seen:array<{visit}>>"
+
+    def hop(acc: Column, c: Column) -> Column:
+        open_move = F.filter(c["moves"], lambda m: acc["anchor"].isNull() | beyond(m["enter"], acc["anchor"]))
+        leave = F.coalesce(F.try_element_at(open_move, F.lit(1))["leave"], acc["anchor"])
+        here = F.struct(c["chunk"].alias("chunk"), acc["anchor"].alias("entry"))
+        return F.struct(leave.alias("anchor"), F.array_append(acc["seen"], here).alias("seen")).cast(path_state)
+
+    nothing = F.lit(None).cast("double").alias("anchor")
+    no_path = F.struct(nothing, F.array().cast(f"array<{visit}>").alias("seen")).cast(path_state)
     entry = (
         chunk.select(*keys, "chunk", moves.alias("moves"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(F.struct("chunk", "moves"))).alias("chunks"))
-        .select(*keys, F.explode(folded["seen"]).alias("e"))
-        .select(*keys, "e.*")
-    )
-    pair = "struct<anchor:double,seen:array<struct<start_s:double,anchor_s:double>>>"
-    assigned = F.aggregate(
-        times,
-        F.struct(F.col("entry").alias("anchor"), F.array().cast("array<struct<start_s:double,anchor_s:double>>").alias("seen")).cast(pair),
-        lambda acc, t: _assign(acc, t).cast(pair),
-    )
-    return (
-        chunk.join(entry, [*keys, "chunk"])
-        .select(*keys, F.explode(assigned["seen"]).alias("a"))
-        .select(*keys, "a.*")
+        .select(*keys, F.inline(F.aggregate("chunks", no_path, hop)["seen"]))
     )
+    placed = "struct<start_s:double,anchor_s:double>"
+    walk_state = f"struct<anchor:double,seen:array<{placed}>>"
 
+    def assign(acc: Column, t: Column) -> Column:
+        anchor = follow(acc["anchor"], t)
+        here = F.struct(t.alias("start_s"), anchor.alias("anchor_s"))
+        return F.struct(anchor.alias("anchor"), F.array_append(acc["seen"], here).alias("seen")).cast(walk_state)
 
-def _assign(acc: Column, t: Column) -> Column:
-    anchor = F.when(acc["anchor"].isNull() | (t - acc["anchor"] > COALESCE_WINDOW_S), t).otherwise(acc["anchor"])
-    return F.struct(
-        anchor.alias("anchor"),
-        F.array_append(acc["seen"], F.struct(t.alias("start_s"), anchor.alias("anchor_s"))).alias("seen"),
+    begin = F.struct(F.col("entry").alias("anchor"), F.array().cast(f"array<{placed}>").alias("seen")).cast(walk_state)
+    return chunk.join(entry, [*keys, "chunk"]).select(
+        *keys, F.inline(F.aggregate(times, begin, assign)["seen"])
     )
 
 

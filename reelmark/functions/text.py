@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match for right results).
@@ -48,14 +48,17 @@ LINK = (
 LINK_TAIL = r"[),.;:!?]+$"
 # ---------------------------------------------------------------------------
 
-_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+WORD_EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 # Letters NFKC never changes; any other non-ASCII character sends the text to the Arrow UDF.
 _NFKC_MAYBE = r"[^\x00-\x7F\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{131}\x{134}-\x{13E}\x{141}-\x{148}\x{14A}-\x{17E}]"
 
 
 def java_pattern(pattern: str, ignore_case: bool = False) -> str:
     """ASCII word edges and the full white-space class, whatever the Java version."""
-    out = pattern.replace(r"\b", _EDGE).replace(r"[^\s", "[^\0").replace(r"\s", SPACE_CLASS)
+    if pattern.startswith(r"\b"):
+        # Every pattern here goes on with a word character, so the edge is a plain look-behind.
+        pattern = "(?<![A-Za-z0-9_])" + pattern[2:]
+    out = pattern.replace(r"\b", WORD_EDGE).replace(r"[^\s", "[^\0").replace(r"\s", SPACE_CLASS)
     return ("(?i)" if ignore_case else "") + out.replace("\0", SPACE_CLASS[1:-1])
 
 
@@ -133,16 +136,20 @@ def promo_url_semantic(url: Column) -> Column:
 
 def repair_spoken_links(text: Column) -> Column:
     """Turns ``dot``, ``slash`` and spaced punctuation into URL characters."""
+    # Leading white space is taken possessively from the start of its run, which keeps the scan linear.
+    run = r"(?<!" + SPACE_CLASS + ")" + SPACE_CLASS + "*+"
     steps = [
-        (r"\s*(?:\[dot\]|\(dot\)|\bdot\b)\s*", ".", True),
-        (r"([A-Za-z])\s+\.\s*([A-Za-z])", "$1.$2", False),
-        (r"([A-Za-z])\s*\.\s+([a-z])", "$1.$2", False),
-        (r"\s*(?:\bslash\b|/)\s*", "/", True),
-        (r"https\s*:\s*/\s*/", "https://", True),
-        (r"http\s*:\s*/\s*/", "http://", True),
+        (run + r"(?:\[dot\]|\(dot\)|\bdot\b)\s*", ".", True),
+        (r"([A-Za-z])\s++\.\s*([A-Za-z])", "$1.$2", False),
+        (r"([A-Za-z])\s*+\.\s+([a-z])", "$1.$2", False),
+        (run + r"(?:\bslash\b|/)\s*", "/", True),
+        (r"https\s*+:\s*+/\s*+/", "https://", True),
+        (r"http\s*+:\s*+/\s*+/", "http://", True),
     ]
     for pattern, repl, ignore_case in steps:
-        text = F.regexp_replace(text, java_pattern(pattern, ignore_case), repl)
+        held = pattern.replace(run, "\1")
+        java = java_pattern(held, ignore_case).replace("\1", run)
+        text = F.regexp_replace(text, java, repl)
     return text
 
 
@@ -159,16 +166,32 @@ def _canonical_url(link: Column) -> Column:
 
 def extract_links(text: Column) -> Column:
     """Canonical links in order of appearance, without repeats (case ignored)."""
-    repaired = repair_spoken_links(text)
+    # A link holds a dot and no blanks, quotes or angle brackets: only such tokens meet the long pattern.
+    tokens = F.split(repair_spoken_links(text), java_pattern("[\"'<>]") + "|" + SPACE_CLASS)
+    repaired = F.array_join(F.filter(tokens, lambda t: t.contains(".")), " ")
     found = F.regexp_extract_all(repaired, F.lit("(?i)(@?" + java_pattern(LINK) + ")"), F.lit(0))
-    return _distinct_links(found)
-
-
-def _distinct_links(found: Column) -> Column:
     kept = F.filter(found, lambda m: ~m.startswith("@"))
     bare = F.transform(kept, lambda m: F.regexp_replace(m, LINK_TAIL, ""))
     full = F.transform(
         bare, lambda m: _canonical_url(F.when(m.rlike("(?i)^https?://"), m).otherwise(F.concat(F.lit("https://"), m)))
     )
-    low = F.transform(full, F.lower)
-    return F.filter(full, lambda m, i: F.array_position(low, F.lower(m)) == i + 1)
+
+    def first_only(links: Column) -> Column:
+        return bound(
+            F.transform(links, F.lower), lambda low: F.filter(links, lambda m, i: F.array_position(low, F.lower(m)) == i + 1)
+        )
+
+    return bound(full, first_only)
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def computed_if(df: DataFrame, name: str, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
+    """Adds a costly column and keeps the rows where ``keep`` of it holds.
+
+    A filter over a plain column would be pushed below it and compute it twice; a generator is not.
+    """
+    return df.withColumn(name, F.explode(F.filter(F.array(value), keep)))

@@ -46,7 +46,7 @@ def classify_link_context(text: Column, links: Column, nfkc: bool = True) -> Col
 
 
 def _link_evidence(df: DataFrame, confidence: dict[str, float], detector: str, nfkc: bool) -> DataFrame:
-    linked = df.withColumn("links", tx.extract_links(F.col("text"))).filter(F.size("links") > 0)
+    linked = tx.computed_if(df, "links", tx.extract_links(F.col("text")), lambda found: F.size(found) > 0)
     scored = linked.withColumn("c", classify_link_context(F.col("text"), F.col("links"), nfkc))
     sponsor = F.col("c.signal") == "sponsor-cta"
 

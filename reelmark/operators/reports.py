@@ -17,21 +17,20 @@ REPORT_CONTEXT_S = 10.0
 CELL_S = 120.0
 
 
-def timecode_seconds(text: Column) -> Column:
-    """Seconds of ``h:mm:ss``, ``m:ss`` or ``s``; NULL if malformed."""
+def with_timecode(df: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the seconds of ``h:mm:ss``, ``m:ss`` or ``s``; NULL if malformed."""
+    shape = r"^(?:(?:(\d+):)?(\d+):)?(\d+(?:\.\d+)?)$"
     t = F.trim(text)
-    parts = F.split(t, ":", -1)
-    n = F.size(parts)
-    shaped = t.rlike(r"^(?:\d+:){0,2}\d+(?:\.\d+)?$")
-    number = [F.try_element_at(parts, F.lit(i)).try_cast("double") for i in (1, 2, 3)]
-    last = F.try_element_at(parts, F.lit(-1)).try_cast("double")
-    fits = ((n == 1) | (last < 60)) & ((n < 3) | (number[1] < 60))
-    seconds = (
-        F.when(n == 3, number[0] * 3600 + number[1] * 60 + number[2])
-        .when(n == 2, number[0] * 60 + number[1])
-        .otherwise(number[0])
-    )
-    return F.when(shaped & fits & is_finite(seconds), js_round(seconds, 3))
+    part = [F.regexp_extract(t, shape, i).try_cast("double") for i in (1, 2, 3)]
+    cut = df.withColumn("_t", F.struct(*[p.alias(n) for p, n in zip(part, "hms")], t.rlike(shape).alias("ok")))
+    h, m, s = (F.col(f"_t.{n}") for n in "hms")
+    zero = F.lit(0.0)
+    fits = F.col("_t.ok") & is_finite(s) & (m.isNull() | (s < 60)) & (h.isNull() | (m < 60))
+    total = F.coalesce(h, zero) * 3600 + F.coalesce(m, zero) * 60 + s
+    # One-element generator: the parsed value is computed once and not copied into each later use.
+    value = F.when(fits, total)
+    rounded = F.transform(F.array(value), lambda v: F.when(is_finite(v), js_round(v, 3)))
+    return cut.withColumn(name, F.explode(rounded)).drop("_t")
 
 
 def timecode_text(seconds: Column) -> Column:
@@ -44,9 +43,7 @@ def timecode_text(seconds: Column) -> Column:
 
 def parse_reports(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``report_id, video_id, start_text, end_text, duration_s`` to accepted and rejected rows."""
-    df = raw.withColumn("start_s", timecode_seconds(F.col("start_text"))).withColumn(
-        "end_s", timecode_seconds(F.col("end_text"))
-    )
+    df = with_timecode(with_timecode(raw, "start_text", "start_s"), "end_text", "end_s")
     error = (
         F.when(F.col("start_s").isNull() | F.col("end_s").isNull(), F.lit("bad_timecode"))
         .when(F.col("end_s") <= F.col("start_s"), F.lit("end_not_after_start"))

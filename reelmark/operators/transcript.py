@@ -61,7 +61,7 @@ def cue_windows(cue: DataFrame, n: int = 2, nfkc: bool = True, block: int = CUE_
 def _positions(window_text: Column, norm: Column) -> Column:
     """0-based starts of the non-overlapping occurrences of a phrase."""
     quoted = F.concat(F.lit(r"\Q"), norm, F.lit(r"\E"))
-    edge = F.lit(tx.java_pattern(r"\b"))
+    edge = F.lit(tx.WORD_EDGE)
     pattern = F.when(norm.contains(" "), quoted).otherwise(F.concat(edge, quoted, edge))
     parts = F.split(window_text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("seen"))
@@ -108,7 +108,8 @@ def transcript_evidence(
     text, length = F.col("window_text"), F.col("cur_len")
     present = F.filter(phrases, lambda p: (p["norm"] != "") & text.contains(p["norm"]))
     surviving = F.filter(present, lambda p: F.size(_kept_positions(text, length, p["norm"])) > 0)
-    hit = windows.withColumn("m", F.try_element_at(surviving, F.lit(1))).filter("m is not null")
+    # A generator is evaluated once per cue; a plain column would be repeated for each of its uses.
+    hit = windows.withColumn("m", F.explode(F.slice(surviving, 1, 1)))
     return hit.select(
         "video_id",
         F.col("cue_idx").cast("bigint").alias("ev_idx"),

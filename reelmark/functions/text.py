@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, functions as F, types as T
+
+from .once import bound
 
 # ---------------------------------------------------------------------------
 # Fixed values (must match for right results).
@@ -182,16 +184,3 @@ def extract_links(text: Column) -> Column:
         )
 
     return bound(full, first_only)
-
-
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, however often the body uses it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def computed_if(df: DataFrame, name: str, value: Column, keep: Callable[[Column], Column]) -> DataFrame:
-    """Adds a costly column and keeps the rows where ``keep`` of it holds.
-
-    A filter over a plain column would be pushed below it and compute it twice; a generator is not.
-    """
-    return df.withColumn(name, F.explode(F.filter(F.array(value), keep)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
 from ..functions.numbers import js_round
+from ..functions.once import computed_if
 from ..sources.schemas import PRESENCE, QR_CODE, VISIBLE_LINK, raw
 
 # Fixed values (must match for right results).
@@ -46,7 +47,7 @@ def classify_link_context(text: Column, links: Column, nfkc: bool = True) -> Col
 
 
 def _link_evidence(df: DataFrame, confidence: dict[str, float], detector: str, nfkc: bool) -> DataFrame:
-    linked = tx.computed_if(df, "links", tx.extract_links(F.col("text")), lambda found: F.size(found) > 0)
+    linked = computed_if(df, "links", tx.extract_links(F.col("text")), lambda found: F.size(found) > 0)
     scored = linked.withColumn("c", classify_link_context(F.col("text"), F.col("links"), nfkc))
     sponsor = F.col("c.signal") == "sponsor-cta"
 

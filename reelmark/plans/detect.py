@@ -448,10 +448,8 @@ def _(spark, sf):
     ["d_link"],
 )
 def _(spark, sf):
-    cutting = F.length("text") / 2
     parts = F.array(F.col("text"), F.lit(""), F.lit(None).cast("string"))
     seen = d.links(spark, sf).select("video_id", F.col("cue_idx").alias("obs_idx"), F.col("start_s").alias("t_s"), parts.alias("parts"))
-    del cutting
     return links.screen_text_evidence(seen).select(
         "video_id", "start_s", F.array_join("raw.links", " ").alias("links"),
         F.col("raw.matched_semantic").alias("semantic"), "confidence",
@@ -535,10 +533,7 @@ def _(spark, sf):
     return out.select("video_id", "seed_s", "end_at", F.col("end_row.ev_idx").alias("end_idx"))
 
 
-_LONE = FUSED.replace("from item where kind = 'ad-read-presence' and", "from item where kind = 'ad-read-presence' and")
-
-
-@query("presence_clusters", f"{_LONE} select video_id, ev_idx, start_s, cluster_s from cluster", EV)
+@query("presence_clusters", f"{FUSED} select video_id, ev_idx, start_s, cluster_s from cluster", EV)
 def _(spark, sf):
     items = settle(fusion.coalesce_frames(d.evidence(spark, sf)))
     return fusion.presence_clusters(fusion.seed_mode(items)[1]).select("video_id", "ev_idx", "start_s", "cluster_s")

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import is_finite
+from ..functions.once import fenced
 from . import schemas as S
 from .captions import _at, _is_number, _kind, _list, _number, _string
 from .defaults import DEFAULT_PHRASE_GROUPS
@@ -36,7 +37,7 @@ def _rejections(df: DataFrame, checks: list[tuple[str, Column]]) -> tuple[DataFr
     errors = F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
     )
-    checked = df.withColumn("errors", errors)
+    checked = fenced(df, errors=errors)
     return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
 
 
@@ -281,11 +282,10 @@ def _profile(value: Column) -> Column:
 
 def load_models(artifacts: DataFrame) -> DataFrame:
     """``document`` (JSON text) to valid model rows; invalid artifacts are dropped."""
-    df = artifacts.withColumn("_v", F.try_parse_json("document"))
     at = lambda n: _at(F.col("_v"), f"$.{n}")
     text = lambda n: _string(at(n))
     raw_sources = F.try_variant_get(at("boundaryCalibration.bySource"), "$", "map<string,variant>")
-    df = df.select(
+    read = [
         text("modelId").alias("model_id"),
         text("modelVersion").alias("model_version"),
         _number(at("featureSchemaVersion")).cast("int").alias("feature_schema_version"),
@@ -304,7 +304,8 @@ def load_models(artifacts: DataFrame) -> DataFrame:
             _kind(at("boundaryCalibration.bySource")).startswith("OBJECT"),
             F.transform_values(raw_sources, lambda _, x: _profile(x)),
         ).alias("_by_source"),
-    )
+    ]
+    df = artifacts.withColumn("_v", F.try_parse_json("document")).select(F.explode(F.array(F.struct(*read))).alias("m")).select("m.*")
     positive = F.try_element_at("thresholds", F.lit("positive"))
     review = F.try_element_at("thresholds", F.lit("review"))
     named = [F.trim(c) != "" for c in ("model_id", "model_version", "created_at")]
@@ -325,7 +326,7 @@ def load_models(artifacts: DataFrame) -> DataFrame:
     ]
     ok = reduce(lambda a, b: a & b, [F.coalesce(c, F.lit(False)) for c in checks])
     calibration = F.when(F.col("_has"), F.struct(F.col("_global").alias("global"), sources.alias("by_source")))
-    out = df.filter(ok).withColumn("boundary_calibration", calibration)
+    out = fenced(df, valid=ok, boundary_calibration=calibration).filter("valid")
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.struct_of(S.MODEL)])
 
 

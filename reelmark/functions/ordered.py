@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .tables import settle
+
 
 @dataclass(frozen=True)
 class Scan:
@@ -91,8 +93,12 @@ def next_in_order(
 def islands(
     df: DataFrame, keys: list[str], order: list[str], block: Column, starts: Column, label: Column, name: str
 ) -> DataFrame:
-    """Labels each row with ``label`` of the latest row up to it for which ``starts`` holds."""
+    """Labels each row with ``label`` of the latest row up to it for which ``starts`` holds.
+
+    The scan reads its input twice, and that input mostly comes from another scan, so it is
+    written once first.
+    """
     own = F.when(starts, F.struct(label.alias("x")))
-    marked = df.withColumn("_own", own)
+    marked = settle(df.withColumn("_own", own))
     out = scan_before(marked, keys, order, block, [Scan("_open", "last", F.col("_own"))])
     return out.withColumn(name, F.coalesce("_own", "_open")["x"]).drop("_own", "_open")

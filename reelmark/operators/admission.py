@@ -41,13 +41,13 @@ def admit(gate: Gate | None, rows: pd.DataFrame, limit: int, window_s: float) ->
 
 
 def request_admission(request: DataFrame, limit: int = MAX_REQUESTS, window_s: float = WINDOW_S) -> DataFrame:
-    """Admission decisions for a table of ``client_key, request_id, at``.
+    """Admission decisions for a table of ``client_key, request_id, asked_at``.
 
     Where a client's windows open is found by the chunked anchor walk over its distinct instants;
     inside a window only the rank of a request counts.
     """
     timed = request.select(
-        "client_key", "request_id", F.col("at").cast("timestamp").cast("double").alias("start_s")
+        "client_key", "request_id", F.col("asked_at").cast("timestamp").cast("double").alias("start_s")
     )
     opened = fusion.cluster_anchors(
         timed.select("client_key", "start_s").distinct(), ["client_key"], window_s, True, 4 * window_s

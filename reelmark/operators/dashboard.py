@@ -315,7 +315,7 @@ def run_comparison(run: DataFrame, promoted: DataFrame) -> DataFrame:
     ``promoted`` has at most one row; without one there is nothing to compare with.
     """
     shown = F.filter(F.map_entries("metrics"), lambda e: e["key"].isin(RUN_METRICS))
-    r = run.select("id", F.explode(shown).alias("m")).select("id", "m.*")
+    r = run.select("id", F.inline(shown))
     p = promoted.select(F.explode("metrics").alias("key", "promoted_value"))
     has = promoted.select(F.lit(1).alias("_k")).limit(1)
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import js_round, plain_text
+from ..functions.once import fenced
 from ..sources.schemas import FEATURE_SCHEMA_VERSION, START
 
 # Fixed values (must match for right results).
@@ -45,7 +46,7 @@ def dedup_key(feedback: DataFrame) -> DataFrame:
         pieces += [F.lit(("{" if i == 0 else ",") + f'"{name}":'), value]
     identity = F.concat(*pieces, F.lit("}"))
     key = F.concat(F.lit(f"feedback-v{KEY_VERSION}-"), F.sha2(identity, 256))
-    return feedback.withColumn("dedup_key", F.when(client.isNotNull() & has_video, key))
+    return fenced(feedback, dedup_key=F.when(client.isNotNull() & has_video, key))
 
 
 def first_write_wins(keyed: DataFrame) -> DataFrame:
@@ -54,8 +55,8 @@ def first_write_wins(keyed: DataFrame) -> DataFrame:
     first = (
         keyed.filter("dedup_key is not null")
         .groupBy("dedup_key")
-        .agg(F.min_by(F.struct(*[c for c in cols if c != "dedup_key"]), F.struct("received_at", "id")).alias("r"))
-        .select("dedup_key", "r.*")
+        .agg(F.min_by(F.struct(*[c for c in cols if c != "dedup_key"]), F.struct("received_at", "id")).alias("_row"))
+        .select("dedup_key", "_row.*")
     )
     return first.select(*cols).unionByName(keyed.filter("dedup_key is null").select(*cols))
 
@@ -96,8 +97,8 @@ def latest_review(review: DataFrame) -> DataFrame:
     cols = [c for c in review.columns if c != "feedback_id"]
     return (
         review.groupBy("feedback_id")
-        .agg(F.max_by(F.struct(*cols), F.struct("reviewed_at", "id")).alias("r"))
-        .select("feedback_id", "r.*")
+        .agg(F.max_by(F.struct(*cols), F.struct("reviewed_at", "id")).alias("_row"))
+        .select("feedback_id", "_row.*")
     )
 
 
@@ -146,8 +147,8 @@ def purge_stale_examples(example: DataFrame) -> DataFrame:
     cols = [c for c in example.columns if c != "feedback_id"]
     return (
         example.groupBy("feedback_id")
-        .agg(F.max_by(F.struct(*cols), F.struct("created_at", "id")).alias("r"))
-        .select("feedback_id", "r.*")
+        .agg(F.max_by(F.struct(*cols), F.struct("created_at", "id")).alias("_row"))
+        .select("feedback_id", "_row.*")
         .select(*example.columns)
     )
 

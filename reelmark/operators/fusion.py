@@ -209,20 +209,25 @@ def seed_end(evidence: DataFrame) -> DataFrame:
     )
 
 
-def presence_clusters(evidence: DataFrame) -> DataFrame:
-    """Presence rows with the start of their chain (gaps of at most twenty seconds).
+def presence_chains(evidence: DataFrame) -> DataFrame:
+    """Distinct presence positions with the start of their chain (gaps of at most twenty seconds).
 
-    The chains are found on distinct positions, block by block, and joined back by position.
+    Found block by block, so a video with very many positions is spread over tasks.
     """
-    presence = evidence.filter(F.col("kind") == PRESENCE)
-    spots = presence.select("video_id", "start_s").distinct()
+    spots = evidence.filter(F.col("kind") == PRESENCE).select("video_id", "start_s").distinct()
     block = F.floor(F.col("start_s") / CHUNK_S)
     prior = ordered.scan_before(
         spots, ["video_id"], ["start_s"], block, [ordered.Scan("prior_s", "last", F.col("start_s"))]
     )
     opens = F.col("prior_s").isNull() | (F.col("start_s") - F.col("prior_s") > PRESENCE_WINDOW_S)
     chained = ordered.islands(prior, ["video_id"], ["start_s"], block, opens, F.col("start_s"), "cluster_s")
-    return presence.join(chained.select("video_id", "start_s", "cluster_s"), ["video_id", "start_s"])
+    return chained.select("video_id", "start_s", "cluster_s")
+
+
+def presence_clusters(evidence: DataFrame, chains: DataFrame | None = None) -> DataFrame:
+    """Presence rows with the start of their chain; rows of videos outside ``chains`` drop out."""
+    presence = evidence.filter(F.col("kind") == PRESENCE)
+    return presence.join(presence_chains(evidence) if chains is None else chains, ["video_id", "start_s"])
 
 
 def _is_sponsor_frame() -> Column:
@@ -259,20 +264,21 @@ def candidate_members(evidence: DataFrame, coalesced: bool = False) -> DataFrame
     rows and its columns from the files. Pass ``coalesced`` if the input is such a table.
     """
     items = evidence if coalesced else settle(coalesce_frames(evidence))
-    seeded, unseeded = seed_mode(items)
+    _, unseeded = seed_mode(items)
     seed = seeds_of(items)
     head = [F.col("ev_idx").alias("cand_idx"), F.col("start_s").alias("cand_s"), F.lit(True).alias("seeded")]
     own = seed.select(*head, *EVIDENCE_COLUMNS)
-    near = seed_presence(seeded).select(
+    # Joins with the seeds only reach videos that have one.
+    near = seed_presence(items).select(
         "cand_idx", F.col("seed_s").alias("cand_s"), F.lit(True).alias("seeded"), *EVIDENCE_COLUMNS
     )
-    ends = seed_end(seeded).select("video_id", F.col("seed_s").alias("start_s"), "end_row")
+    ends = seed_end(items).select("video_id", F.col("seed_s").alias("start_s"), "end_row")
     closing = (
         seed.select("video_id", "start_s", *head)
         .join(ends, ["video_id", "start_s"])
         .select("cand_idx", "cand_s", "seeded", "end_row.*")
     )
-    cluster = presence_clusters(unseeded)
+    cluster = presence_clusters(items, settle(presence_chains(unseeded)))
     kept = eligible_clusters(cluster).select("video_id", "cluster_s", "cand_idx")
     clustered = cluster.join(kept, ["video_id", "cluster_s"]).select(
         "cand_idx", F.col("cluster_s").alias("cand_s"), F.lit(False).alias("seeded"), *EVIDENCE_COLUMNS

@@ -46,8 +46,8 @@ def skip_decisions(tick: DataFrame, skippable: DataFrame) -> DataFrame:
     first = (
         offers(tick, skippable)
         .groupBy("session_id", "video_id", *RANGE_COLUMNS)
-        .agg(F.min("ts").alias("ts"), F.min_by(detail, F.struct("ts", "from_s")).alias("d"))
-        .select("session_id", "video_id", *RANGE_COLUMNS, "ts", "d.*")
+        .agg(F.min("ts").alias("ts"), F.min_by(detail, F.struct("ts", "from_s")).alias("_row"))
+        .select("session_id", "video_id", *RANGE_COLUMNS, "ts", "_row.*")
     )
     return first.groupBy("session_id", "video_id").applyInPandas(_decide, DECISION)
 

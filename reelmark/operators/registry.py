@@ -35,8 +35,8 @@ def upsert_models(models: DataFrame, new: DataFrame) -> DataFrame:
     cols = [c for c in models.columns if c != "model_id"]
     return (
         both.groupBy("model_id")
-        .agg(F.max_by(F.struct(*cols), F.struct("_at", "created_at")).alias("r"))
-        .select("model_id", "r.*")
+        .agg(F.max_by(F.struct(*cols), F.struct("_at", "created_at")).alias("_row"))
+        .select("model_id", "_row.*")
         .select(*models.columns)
     )
 

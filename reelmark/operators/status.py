@@ -38,12 +38,12 @@ def latest_status(status: DataFrame, now: Column, stale_after_s: float = STALE_A
     cols = ["phase", "progress", "sample_count", "running"]
     last = rows.groupBy("video_id").agg(
         F.max("updated_at").alias("updated_at"),
-        F.max_by(F.struct(*cols), F.struct("updated_at", "sample_count", "phase")).alias("s"),
+        F.max_by(F.struct(*cols), F.struct("updated_at", "sample_count", "phase")).alias("_row"),
     )
     silent = now.cast("timestamp").cast("double") - F.col("updated_at").cast("double")
     return last.select(
-        "video_id", "updated_at", "s.phase", "s.progress", "s.sample_count",
-        (F.col("s.running") & (silent > stale_after_s)).alias("stale"),
+        "video_id", "updated_at", "_row.phase", "_row.progress", "_row.sample_count",
+        (F.col("_row.running") & (silent > stale_after_s)).alias("stale"),
     )
 
 

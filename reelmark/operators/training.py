@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import ordered
 from ..functions.hashing import FNV_BASIS, FNV_PRIME, group_key, is_holdout
 from ..functions.numbers import is_finite, js_round, ratio
+from ..functions.once import fenced
 from ..functions.tables import settle
 from ..sources.schemas import FEATURE_SCHEMA_VERSION, MODEL, struct_of
 from . import feedback as fb, scoring
@@ -84,7 +85,7 @@ def train_logistic(
 
 def score_examples(example: DataFrame, intercept: float, weights: dict[str, float]) -> DataFrame:
     logit = scoring.logit_of_map(F.col("features"), intercept, weights)
-    return example.withColumn("score", scoring.sigmoid(logit))
+    return fenced(example, score=scoring.sigmoid(logit))
 
 
 def _quality(tp: Column, fp: Column, positives: Column, n: Column) -> dict[str, Column]:
@@ -128,8 +129,10 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
     s = usable_scores(scored)
     near = F.floor(F.col("score") * GRID + 0.5).cast("bigint")
     below = F.when(F.col("score") >= near / float(GRID), near).otherwise(near - 1)
-    counted = s.groupBy(near.alias("near"), below.alias("cell")).agg(
-        F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg")
+    counted = settle(
+        s.groupBy(near.alias("near"), below.alias("cell")).agg(
+            F.count(F.when(F.col("label") == 1, 1)).alias("pos"), F.count(F.when(F.col("label") == 0, 1)).alias("neg")
+        )
     )
     per_cell = counted.groupBy(F.col("cell").alias("i")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     marks = counted.select(F.col("near").alias("i")).distinct().withColumn("is_mark", F.lit(True))
@@ -139,7 +142,10 @@ def threshold_sweep(scored: DataFrame) -> DataFrame:
         both.withColumn("down", -F.col("i")), ["_all"], ["down"], block,
         [ordered.Scan("tp0", "sum", F.col("pos")), ordered.Scan("fp0", "sum", F.col("neg"))],
     )
-    totals = s.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("label") == 1, 1)).alias("all_pos"))
+    totals = counted.agg(
+        F.coalesce(F.sum(F.col("pos") + F.col("neg")), F.lit(0)).alias("n"),
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("all_pos"),
+    )
     tp = F.coalesce("tp0", F.lit(0)) + F.col("pos")
     fp = F.coalesce("fp0", F.lit(0)) + F.col("neg")
     # The totals are a global aggregate, that is exactly one row.

@@ -124,7 +124,7 @@ from {events}""",
     ),
     "d_request": (
         ["events"],
-        """select 'client-' || cast(user_id % 7 as string) as client_key, ts as at, event_id as request_id
+        """select 'client-' || cast(user_id % 7 as string) as client_key, ts as asked_at, event_id as request_id
 from {events}""",
     ),
 }

@@ -228,13 +228,13 @@ def _(spark, sf):
 ROLLUP = f"""{JOINED}, rollup_ as (select coalesce(video_id, 'unknown') as video_id, max_by(coalesce(video_url, ''), (received_at, id)) as video_url, count(*) as n_feedback,
   count(distinct client_id) as n_clients, count(*) - count(review_label) as n_pending, count(review_label) as n_reviewed,
   string_agg(distinct shown, ',' order by shown) as sources, max(received_at) as latest from joined group by 1)"""
-_ROLLUP_COLUMNS = "video_id, nullif(video_url, '') as video_url, n_feedback, n_clients, n_pending, n_reviewed, sources, epoch_ms(latest) as latest_ms"
+_ROLLUP_COLUMNS = "video_id, nullif(video_url, '') as video_url, n_feedback, n_clients, n_pending, n_reviewed, sources, epoch_us(latest) as latest_us"
 
 
 def _flat(rollup):
     return rollup.select(
         "video_id", "video_url", "n_feedback", "n_clients", "n_pending", "n_reviewed",
-        F.array_join("sources", ",").alias("sources"), F.unix_millis("latest_received_at").alias("latest_ms"),
+        F.array_join("sources", ",").alias("sources"), F.unix_micros("latest_received_at").alias("latest_us"),
     )
 
 
@@ -473,8 +473,8 @@ def _(spark, sf):
     return status.recent_activity(ev).select("video_id", "ev_idx", "position")
 
 
-ADMIT = """q as (select *, epoch_us(at) as t from d_request), jump as (
-  select client_key, t, request_id, (select min(t) from q n where n.client_key = q.client_key and n.t >= q.t + 21600000000) as nxt from q
+ADMIT = """q as (select *, epoch_us(asked_at) as t from d_request), jump as (
+  select client_key, t, request_id, min(t) over (partition by client_key order by t range between 21600000000 following and unbounded following) as nxt from q
 ), opening as (
   select client_key, min(t) as a from q group by 1
   union all
@@ -498,7 +498,7 @@ def _stream_of(spark, sf, name: str, tables: list[str]):
     frames = {}
     for t in tables:
         schema = d.table(spark, sf, t).schema
-        frames[t] = spark.readStream.schema(schema).parquet(f"{sf}/{t}.parquet")
+        frames[t] = spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf)
     return spark.sql(d.VIEWS[name][1].replace("{g}", ""), **frames)
 
 

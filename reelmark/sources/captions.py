@@ -109,8 +109,8 @@ def pick_caption_track(track: DataFrame) -> DataFrame:
     cols = [c for c in track.columns if c != "video_id"]
     return (
         track.groupBy("video_id")
-        .agg(F.min_by(F.struct(*cols), F.struct(rank, F.col("track_idx"))).alias("t"))
-        .select("video_id", "t.*")
+        .agg(F.min_by(F.struct(*cols), F.struct(rank, F.col("track_idx"))).alias("_row"))
+        .select("video_id", "_row.*")
     )
 
 

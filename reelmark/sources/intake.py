@@ -305,7 +305,7 @@ def load_models(artifacts: DataFrame) -> DataFrame:
             F.transform_values(raw_sources, lambda _, x: _profile(x)),
         ).alias("_by_source"),
     ]
-    df = artifacts.withColumn("_v", F.try_parse_json("document")).select(F.explode(F.array(F.struct(*read))).alias("m")).select("m.*")
+    df = artifacts.withColumn("_v", F.try_parse_json("document")).select(F.explode(F.array(F.struct(*read))).alias("_row")).select("_row.*")
     positive = F.try_element_at("thresholds", F.lit("positive"))
     review = F.try_element_at("thresholds", F.lit("review"))
     named = [F.trim(c) != "" for c in ("model_id", "model_version", "created_at")]

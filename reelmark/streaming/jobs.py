@@ -107,8 +107,8 @@ class _AdmissionProcessor(_Ordered):
 
 
 def request_admission(request: DataFrame, limit: int = 60, window_s: float = 60.0) -> DataFrame:
-    """Admission decisions for a stream of ``client_key, request_id, at``."""
-    timed = request.select("client_key", "request_id", F.col("at").cast("timestamp").cast("double").alias("at_s"))
+    """Admission decisions for a stream of ``client_key, request_id, asked_at``."""
+    timed = request.select("client_key", "request_id", F.col("asked_at").cast("timestamp").cast("double").alias("at_s"))
     return timed.groupBy("client_key").transformWithStateInPandas(
         _AdmissionProcessor(limit, window_s), ADMISSION_OUT, "append", "none"
     )

@@ -1,4 +1,4 @@
-"""Compares registered queries with their oracle SQL in DuckDB: ``python tools_check.py [names...]``."""
+"""Compares registered queries with their oracle SQL in DuckDB: ``python tests/check_oracle.py [names...]``."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import time
 
 import duckdb
 
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
 import __spark_entry__ as entry
 from reelmark.session import build_session
 

@@ -132,7 +132,7 @@ def test_admission_batch_and_stream(spark, tmp_path):
         c = rng.choice("aaab")
         t[c] += rng.choice([0, 1, 2, 7])
         rows.append((c, i, t[c]))
-    df = spark.createDataFrame(rows, "client_key string, request_id bigint, at int").withColumn("at", F.timestamp_seconds("at"))
+    df = spark.createDataFrame(rows, "client_key string, request_id bigint, at int").select("client_key", "request_id", F.timestamp_seconds("at").alias("asked_at"))
     key = lambda r: (r.client_key, r.request_id, r.admitted, r.remaining, r.reset_at, r.retry_after_s)
     batch = {key(r) for r in admission.request_admission(df, 3, 10.0).collect()}
     want, gates = set(), {}
@@ -146,7 +146,7 @@ def test_admission_batch_and_stream(spark, tmp_path):
         left = 3 - n if ok else 0
         want.add((c, i, ok, left, float(reset), max(1, reset - at) if left == 0 else None))
     assert batch == want
-    got = run(spark, jobs.request_admission(as_stream(spark, df, tmp_path, 2, ["at", "request_id"]), 3, 10.0), tmp_path)
+    got = run(spark, jobs.request_admission(as_stream(spark, df, tmp_path, 2, ["asked_at", "request_id"]), 3, 10.0), tmp_path)
     assert {key(r) for r in got.collect()} == want
 
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import ordered
+from ..functions.walk import ordered_walk
 from ..functions.numbers import half_up, is_finite, js_round
 from ..sources.schemas import PRESENCE, PROGRESS_BAR, raw
 
@@ -235,13 +235,18 @@ def confirmation_row(o, found: dict) -> dict:
     }
 
 
-def _episodes(rows: pd.DataFrame) -> pd.DataFrame:
-    state, out = None, []
-    for o in rows.sort_values("frame_idx", kind="stable").itertuples(index=False):
+def _track_episode():
+    state: Track | None = None
+
+    def step(o):
+        nonlocal state
         state, found = track_step(state, o)
-        if found:
-            out.append(confirmation_row(o, found))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CONFIRMATION.split(", ")])
+        if found is None:
+            return None
+        row = confirmation_row(o, found)
+        return tuple(row[c.split()[0]] for c in CONFIRMATION.split(", "))
+
+    return step
 
 
 def confirm_progress(bar_obs: DataFrame) -> DataFrame:
@@ -277,7 +282,7 @@ def confirm_progress(bar_obs: DataFrame) -> DataFrame:
     walked = cut.filter("ok").select(
         "video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), "t_s", "fill_ratio", "confidence", "episode", *plain
     )
-    return walked.groupBy("video_id", "episode").applyInPandas(_episodes, CONFIRMATION)
+    return ordered_walk(walked, ["video_id", "episode"], ["frame_idx"], _track_episode, CONFIRMATION)
 
 
 def confirmation_evidence(confirmed: DataFrame) -> DataFrame:

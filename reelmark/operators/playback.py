@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import intervals
+from ..functions.walk import ordered_walk
 
 # Fixed values (must match for right results).
 MIN_SAVED_S = 1.25
@@ -49,25 +50,34 @@ def skip_decisions(tick: DataFrame, skippable: DataFrame) -> DataFrame:
         .agg(F.min("ts").alias("ts"), F.min_by(detail, F.struct("ts", "from_s")).alias("_row"))
         .select("session_id", "video_id", *RANGE_COLUMNS, "ts", "_row.*")
     )
-    return first.groupBy("session_id", "video_id").applyInPandas(_decide, DECISION)
+    keys = ["session_id", "video_id"]
+    return ordered_walk(first, keys, ["ts", "start_s", "cand_idx"], _decide, DECISION)
 
 
-def _decide(rows: pd.DataFrame) -> pd.DataFrame:
+def _decide():
     handled: list[tuple[float, float]] = []
-    taken: list[int] = []
     last_ts = None
-    rows = rows.sort_values(["ts", "start_s", "cand_idx"], kind="stable").reset_index(drop=True)
-    for i, r in enumerate(rows.itertuples(index=False)):
+
+    def step(r):
+        nonlocal last_ts
         if r.ts == last_ts or any(r.start_s < e and r.end_s > s for s, e in handled):
-            continue
+            return None
         handled.append((r.start_s, r.end_s))
-        taken.append(i)
         last_ts = r.ts
-    return with_decision_id(rows.iloc[taken])
+        name = decision_id(r.start_s, r.end_s)
+        return (
+            r.session_id, r.video_id, r.ts, name, r.start_s, r.end_s, r.confidence, r.from_s, r.to_s, r.skipped_s
+        )
+
+    return step
+
+
+def decision_id(start_s: float, end_s: float) -> str:
+    return f"{start_s:.1f}-{end_s:.1f}"
 
 
 def with_decision_id(rows: pd.DataFrame) -> pd.DataFrame:
-    ids = [f"{s:.1f}-{e:.1f}" for s, e in zip(rows["start_s"], rows["end_s"])]
+    ids = [decision_id(s, e) for s, e in zip(rows["start_s"], rows["end_s"])]
     names = [c.split()[0] for c in DECISION.split(", ")]
     return rows.assign(decision_id=ids)[names]
 
@@ -80,17 +90,18 @@ def undo_targets(decision: DataFrame, undo: DataFrame) -> DataFrame:
         undo.select("session_id", "video_id", "ts", F.lit(1).alias("is_undo")), allowMissingColumns=True
     )
     out = "session_id string, video_id string, ts timestamp, decision_id string, target_s double"
-    return both.groupBy("session_id", "video_id").applyInPandas(_undo, out)
+    return ordered_walk(both, ["session_id", "video_id"], ["ts", "is_undo"], _undo, out)
+
 
+def _undo():
+    last = None
 
-def _undo(rows: pd.DataFrame) -> pd.DataFrame:
-    last, out = None, []
-    for r in rows.sort_values(["ts", "is_undo"], kind="stable").itertuples(index=False):
+    def step(r):
+        nonlocal last
         if not r.is_undo:
             last = r
-        elif last is not None:
-            out.append((r.session_id, r.video_id, r.ts, last.decision_id, last.from_s))
-            last = None
-    return pd.DataFrame(out, columns=["session_id", "video_id", "ts", "decision_id", "target_s"])
-
+            return None
+        taken, last = last, None
+        return None if taken is None else (r.session_id, r.video_id, r.ts, taken.decision_id, taken.from_s)
 
+    return step

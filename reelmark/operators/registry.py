@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import half_up, is_finite, metric_text
+from ..functions.walk import ordered_walk
 
 # Fixed values (must match for right results).
 MINIMUMS = [
@@ -49,24 +49,25 @@ def replay_promotions(events: DataFrame) -> DataFrame:
     refused. A log has one row per action of an administrator.
     """
     out = "registry string, id string, at timestamp, action string, model_id string, accepted boolean, active_model_id string"
-    return events.groupBy("registry").applyInPandas(_replay, out)
+    return ordered_walk(events, ["registry"], ["promoted_at", "id"], _replay, out)
 
 
-def _replay(log: pd.DataFrame) -> pd.DataFrame:
-    promoted: list[str] = []
-    active, rows = None, []
-    for e in log.sort_values(["promoted_at", "id"], kind="stable").itertuples(index=False):
-        accepted = True
+def _replay():
+    before: dict[str, str | None] = {}  # model -> model promoted just before its latest promotion
+    newest: str | None = None
+    active: str | None = None
+
+    def step(e):
+        nonlocal newest, active
+        accepted = e.action == "promote" or (active is not None and active == e.model_id)
         if e.action == "promote":
-            promoted.append(e.model_id)
-            active = e.model_id
-        elif active is not None and active == e.model_id:
-            latest = len(promoted) - 1 - promoted[::-1].index(e.model_id)
-            active = promoted[latest - 1] if latest > 0 else None
-        else:
-            accepted = False
-        rows.append((e.registry, e.id, e.promoted_at, e.action, e.model_id, accepted, active))
-    return pd.DataFrame(rows, columns=["registry", "id", "at", "action", "model_id", "accepted", "active_model_id"])
+            before[e.model_id] = newest
+            newest = active = e.model_id
+        elif accepted:
+            active = before[e.model_id]
+        return (e.registry, e.id, e.promoted_at, e.action, e.model_id, accepted, active)
+
+    return step
 
 
 def promoted_model(events: DataFrame, models: DataFrame, registry: str = "default") -> DataFrame:

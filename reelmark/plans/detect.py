@@ -788,7 +788,7 @@ def _(spark, sf):
     return out.select("video_id", "report_id", "transcript_context", "n_evidence", "heuristic_confidence", starts.alias("starts"))
 
 
-_SKIP = f"""{FUSED}, skippable as (select c.* from cand c where end_s is not null and end_s - start_s between 3 and 240 and confidence >= 0.72
+SKIP = f"""{FUSED}, skippable as (select c.* from cand c where end_s is not null and end_s - start_s between 3 and 240 and confidence >= 0.72
   and exists (select 1 from member m where m.video_id = c.video_id and m.cand_idx = c.cand_idx and m.kind = 'ad-read-end' and abs(m.start_s - c.end_s) <= 10))"""
 
 
@@ -797,14 +797,14 @@ def skippable(spark, sf):
     return scoring.skippable(candidate, member)
 
 
-@query("skippable", f"{_SKIP} select video_id, cand_idx, start_s, end_s, confidence from skippable", EV)
+@query("skippable", f"{SKIP} select video_id, cand_idx, start_s, end_s, confidence from skippable", EV)
 def _(spark, sf):
     return skippable(spark, sf).select("video_id", "cand_idx", "start_s", "end_s", "confidence")
 
 
 @query(
     "skip_offers",
-    f"""{_SKIP} select t.session_id, t.video_id, t.pos_s as from_s, s.cand_idx, least(duration_s, end_s + 0.15e0) as to_s
+    f"""{SKIP} select t.session_id, t.video_id, t.pos_s as from_s, s.cand_idx, least(duration_s, end_s + 0.15e0) as to_s
 from d_tick t join skippable s on t.video_id = s.video_id and t.pos_s >= s.start_s and t.pos_s < s.end_s
 where is_playing and least(duration_s, end_s + 0.15e0) - t.pos_s >= 1.25e0""",
     ["d_evidence", "d_tick"],
@@ -814,11 +814,6 @@ def _(spark, sf):
     return out.select("session_id", "video_id", "from_s", "cand_idx", "to_s")
 
 
-@query("skip_decisions")
-def _(spark, sf):
-    return playback.skip_decisions(d.ticks(spark, sf), settle(skippable(spark, sf)))
-
-
 # ---- evaluation ----------------------------------------------------------------------
 
 _CASES = """bench_case as (select video_id as case_id, max(start_s) + 60.0e0 as duration_s from d_cue group by video_id),

@@ -240,7 +240,7 @@ def _channel() -> Column:
     return F.when(spoken, F.lit(TRANSCRIPT)).otherwise(F.col("source"))
 
 
-def cluster_stats(cluster: DataFrame) -> DataFrame:
+def cluster_stats(cluster: DataFrame, *more: Column) -> DataFrame:
     generic = (F.col("source") == QR_CODE) & (F.coalesce(_tag(F.col("raw.signal")), F.lit("")) != "sponsor-cta")
     return cluster.groupBy("video_id", "cluster_s").agg(
         F.min_by("ev_idx", F.struct("start_s", "ev_idx")).alias("cand_idx"),
@@ -248,11 +248,13 @@ def cluster_stats(cluster: DataFrame) -> DataFrame:
         F.bool_or(_is_sponsor_frame()).alias("has_sponsor_frame"),
         (F.min(_channel()) != F.max(_channel())).alias("has_two_channels"),
         F.bool_and(generic).alias("all_generic_qr"),
+        *more,
     )
 
 
-def eligible_clusters(cluster: DataFrame) -> DataFrame:
-    return cluster_stats(cluster).filter(
+def eligible_clusters(cluster: DataFrame, *more: Column) -> DataFrame:
+    """Clusters that may form a candidate; ``more`` adds aggregates over their rows."""
+    return cluster_stats(cluster, *more).filter(
         F.col("has_sponsor_frame") | F.col("has_two_channels") | ((F.col("n_items") >= 3) & F.col("all_generic_qr"))
     )
 
@@ -302,8 +304,7 @@ def evidence_weight(source: Column, kind: Column) -> Column:
 
 def score_sum(confidence: Column, source: Column, kind: Column) -> Column:
     """Weighted confidence sum; decimals, so the result does not depend on the order of rows."""
-    product = confidence.cast("decimal(12,6)") * evidence_weight(source, kind).cast("decimal(4,2)")
-    total = F.sum(product.cast("decimal(20,8)")).cast("double")
+    total = F.sum(_weighted(confidence, source, kind)).cast("double")
     return F.least(F.lit(SCORE_CAP), js_round(total, 3))
 
 
@@ -331,8 +332,91 @@ def candidates_of(member: DataFrame) -> DataFrame:
     )
 
 
-def candidate_pool(evidence: DataFrame) -> DataFrame:
-    return candidates_of(candidate_members(evidence))
+def _edge(seed: Column, sign: int) -> Column:
+    """Outermost position whose distance from the seed, as a double, is within the presence window."""
+    ulp = 2.0**-52
+    at = seed + sign * PRESENCE_WINDOW_S
+    near = [at * (1 + k * ulp) for k in (-2, -1, 0, 1, 2)]
+    inside = [F.when(F.abs(c - seed) <= PRESENCE_WINDOW_S, c) for c in near]
+    return F.greatest(*inside) if sign > 0 else F.least(*inside)
+
+
+def _weighted(confidence: Column, source: Column, kind: Column) -> Column:
+    product = confidence.cast("decimal(12,6)") * evidence_weight(source, kind).cast("decimal(4,2)")
+    return product.cast("decimal(20,8)")
+
+
+def presence_totals(evidence: DataFrame) -> DataFrame:
+    """Weighted sum and number of presence rows around each distinct seed position.
+
+    The window sum is the difference of two prefix sums, so no seed is paired with its presence
+    rows, however many of them share a moment.
+    """
+    weight = _weighted(F.col("confidence"), F.col("source"), F.col("kind"))
+    nothing = [F.lit(0).cast("decimal(28,8)").alias("w"), F.lit(0).cast("bigint").alias("n")]
+    spot = (
+        evidence.filter(F.col("kind") == PRESENCE)
+        .groupBy("video_id", F.col("start_s").alias("t"))
+        .agg(F.sum(weight).cast("decimal(28,8)").alias("w"), F.count(F.lit(1)).alias("n"))
+        .select("video_id", "t", F.lit(1).alias("side"), F.lit(None).cast("double").alias("seed_s"), "w", "n")
+    )
+    seed = seeds_of(evidence).select("video_id", F.col("start_s").alias("seed_s")).distinct()
+    asked = [
+        seed.select("video_id", _edge(F.col("seed_s"), -1).alias("t"), F.lit(0).alias("side"), "seed_s", *nothing),
+        seed.select("video_id", _edge(F.col("seed_s"), 1).alias("t"), F.lit(2).alias("side"), "seed_s", *nothing),
+    ]
+    line = settle(spot.unionByName(asked[0]).unionByName(asked[1]))
+    run = ordered.scan_before(
+        line, ["video_id"], ["t", "side", "seed_s"], F.floor(F.col("t") / CHUNK_S),
+        [ordered.Scan("w_before", "sum", F.col("w")), ordered.Scan("n_before", "sum", F.col("n"))],
+    ).filter("side <> 1")
+    sign = F.when(F.col("side") == 2, F.lit(1)).otherwise(F.lit(-1))
+    return run.groupBy("video_id", "seed_s").agg(
+        F.sum(F.coalesce("w_before", F.lit(0)) * sign).alias("near_w"),
+        F.sum(F.coalesce("n_before", F.lit(0)) * sign).alias("near_n"),
+    )
+
+
+def candidate_pool(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
+    """All candidates with their scores; equal to the rows of ``candidates_of(candidate_members(..))``.
+
+    Only sums and counts are needed here, so candidates are not paired with their evidence.
+    """
+    items = evidence if coalesced else settle(coalesce_frames(evidence))
+    ends = seed_end(items).select(
+        "video_id",
+        "seed_s",
+        F.col("end_at").alias("detected_end_s"),
+        _weighted(F.col("end_row.confidence"), F.col("end_row.source"), F.col("end_row.kind")).alias("end_w"),
+    )
+    around = presence_totals(items).join(ends, ["video_id", "seed_s"], "left")
+    zero = F.lit(0).cast("decimal(28,8)")
+    own = seeds_of(items).select(
+        "video_id", F.col("ev_idx").alias("cand_idx"), F.col("start_s").alias("seed_s"),
+        _weighted(F.col("confidence"), F.col("source"), F.col("kind")).alias("own_w"),
+    )
+    total = (F.col("own_w") + F.col("near_w") + F.coalesce("end_w", zero)).cast("double")
+    seeded = own.join(around, ["video_id", "seed_s"]).select(
+        *CAND,
+        F.col("seed_s").alias("start_s"),
+        F.lit(True).alias("seeded"),
+        F.least(F.lit(SCORE_CAP), js_round(total, 3)).alias("confidence"),
+        (1 + F.col("near_n") + F.col("detected_end_s").isNotNull().cast("bigint")).alias("n_evidence"),
+        "detected_end_s",
+    )
+    cluster = presence_clusters(items, settle(presence_chains(seed_mode(items)[1])))
+    score = score_sum(F.col("confidence"), F.col("source"), F.col("kind"))
+    clustered = eligible_clusters(cluster, score.alias("confidence")).select(
+        *CAND,
+        F.col("cluster_s").alias("start_s"),
+        F.lit(False).alias("seeded"),
+        "confidence",
+        F.col("n_items").alias("n_evidence"),
+        F.lit(None).cast("double").alias("detected_end_s"),
+    )
+    return infer_end(seeded.unionByName(clustered)).select(
+        *CAND, "start_s", "end_s", "confidence", "n_evidence", "seeded", "detected_end_s"
+    )
 
 
 def heuristic_candidates(evidence: DataFrame, threshold: float = DISPLAY_THRESHOLD) -> DataFrame:

@@ -309,3 +309,20 @@ def test_source_quality(spark):
     assert (rows["x"].recall, rows["x"].precision, rows["x"].n_missed) == (0.5, 0.5, 1)
     assert (rows["y"].recall, rows["y"].precision) == (0.0, 1.0)
     assert (rows["w"].recall, rows["w"].precision) == (1.0, 0.0)
+
+
+def test_pool_equals_members(spark):
+    import random
+
+    rng = random.Random(4)
+    kinds = [S.START, S.END, S.PRESENCE, S.PRESENCE, S.PRESENCE]
+    rows = [
+        {"video_id": f"v{rng.randrange(4)}", "ev_idx": i, "kind": rng.choice(kinds), "start_s": round(rng.random() * 300, rng.choice([0, 1, 3])), "confidence": rng.randrange(100) / 100}
+        for i in range(300)
+    ]
+    rows += [{**qr(rng.randrange(80) / 4, 0.5, **SPONSOR), "video_id": "lone", "ev_idx": 400 + i} for i in range(30)]
+    df = evidence_df(spark, rows)
+    cols = ["video_id", "cand_idx", "start_s", "end_s", "confidence", "n_evidence", "seeded", "detected_end_s"]
+    long_form = fusion.candidates_of(fusion.candidate_members(df)).select(*cols).collect()
+    direct = fusion.candidate_pool(df).select(*cols).collect()
+    assert sorted(map(str, direct)) == sorted(map(str, long_form)) and len(direct) > 40

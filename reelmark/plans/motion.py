@@ -11,6 +11,7 @@ from ..operators import frames, playback
 from ..streaming import jobs
 from . import derived as d, detect
 from .registry import query, rnd
+from .streams import drained
 
 # ---- scanlines: one small frame per part ------------------------------------------
 
@@ -179,20 +180,6 @@ def _(spark, sf):
 # ---- streams ----------------------------------------------------------------------------
 
 
-def _store(spark) -> None:
-    """Keyed state needs the RocksDB provider."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-
-
-def _drained(spark, stream):
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.run_to_table(stream, path)
-    return spark.read.parquet(f"{path}/data")
-
-
 def _as_stream(spark, df):
     path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -201,15 +188,13 @@ def _as_stream(spark, df):
 
 @query("stream_progress", _TRACK_OUT)
 def _(spark, sf):
-    _store(spark)
-    return _confirmed(_drained(spark, jobs.stream_progress(_as_stream(spark, bar_observations(spark, sf)))))
+    return _confirmed(drained(spark, jobs.stream_progress(_as_stream(spark, bar_observations(spark, sf)))))
 
 
 @query("stream_skips", _DECIDED, _DECIDED_VIEWS)
 def _(spark, sf):
-    _store(spark)
     skippable = settle(detect.skippable(spark, sf))
-    decided = _drained(spark, jobs.stream_skips(_as_stream(spark, d.ticks(spark, sf)), skippable))
+    decided = drained(spark, jobs.stream_skips(_as_stream(spark, d.ticks(spark, sf)), skippable))
     return _decisions(spark, sf, decided, skippable)
 
 

@@ -13,6 +13,7 @@ from ..streaming import jobs
 from . import derived as d
 from .model import MODEL_CTE, model_table
 from .registry import clock, query, rnd
+from .streams import drained
 
 FB = ["d_feedback"]
 FR = ["d_feedback", "d_review"]
@@ -502,16 +503,10 @@ def _stream_of(spark, sf, name: str, tables: list[str]):
     return spark.sql(d.VIEWS[name][1].replace("{g}", ""), **frames)
 
 
-def _drained(spark, stream, mode: str = "append"):
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    jobs.run_to_table(stream, path, mode)
-    return spark.read.parquet(f"{path}/data")
-
-
 @query("stream_dedup", f"with {KEYED}, {FIRST} select dedup_key, count(*) as n from stored group by 1", FB)
 def _(spark, sf):
     raw = _stream_of(spark, sf, "d_feedback", ["events"])
-    out = _drained(spark, jobs.stream_dedup(raw.withColumn("received_at", F.col("received_at").cast("timestamp"))))
+    out = drained(spark, jobs.stream_dedup(raw.withColumn("received_at", F.col("received_at").cast("timestamp"))))
     return out.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -521,10 +516,6 @@ def _(spark, sf):
     ["d_request"],
 )
 def _(spark, sf):
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    out = _drained(spark, jobs.request_admission(_stream_of(spark, sf, "d_request", ["events"]), 6, 21600.0))
+    out = drained(spark, jobs.request_admission(_stream_of(spark, sf, "d_request", ["events"]), 6, 21600.0))
     return out.select("client_key", "request_id", "admitted", "remaining")
 

@@ -11,6 +11,16 @@ from ..sources.schemas import FEATURE_SCHEMA_VERSION, START
 # Fixed values (must match for right results).
 KEY_VERSION = 1
 TRAINING_LABEL = {"positive": 1, "false_positive": 0, "duplicate": 0, "ignored": 0}
+NOT_REVIEWED = "Feedback has not been reviewed yet."
+NO_FEATURES = "Feedback payload does not include candidate features."
+NOT_FOR_TRAINING = {
+    "wrong_timing": "wrong_timing is stored for boundary analysis, not confidence training.",
+    "needs_more_data": "needs_more_data is stored for investigation, not confidence training.",
+}
+NO_EXAMPLES = "No reviewed training examples are available for feature schema {schema}."
+ONE_CLASS = (
+    "Training requires at least one positive and one negative reviewed example for feature schema {schema}."
+)
 
 
 def _json_text(value: Column) -> Column:
@@ -162,16 +172,10 @@ def dataset_rows(feedback: DataFrame, review: DataFrame, schema: int = FEATURE_S
     trained = training_label(label)
     compatible = F.coalesce(version == schema, F.lit(False))
     reason = (
-        F.when(label.isNull(), F.lit("Feedback has not been reviewed yet."))
-        .when(n_features == 0, F.lit("Feedback payload does not include candidate features."))
-        .when(
-            trained.isNull() & (label == "wrong_timing"),
-            F.lit("wrong_timing is stored for boundary analysis, not confidence training."),
-        )
-        .when(
-            trained.isNull() & (label == "needs_more_data"),
-            F.lit("needs_more_data is stored for investigation, not confidence training."),
-        )
+        F.when(label.isNull(), F.lit(NOT_REVIEWED))
+        .when(n_features == 0, F.lit(NO_FEATURES))
+        .when(label == "wrong_timing", F.lit(NOT_FOR_TRAINING["wrong_timing"]))
+        .when(label == "needs_more_data", F.lit(NOT_FOR_TRAINING["needs_more_data"]))
         .when(trained.isNull(), F.concat(label, F.lit(" is not used for confidence training.")))
         .when(
             ~compatible,
@@ -216,13 +220,10 @@ def training_readiness(example: DataFrame, schema: int = FEATURE_SCHEMA_VERSION)
     one = one.withColumn("negative_examples", F.col("compatible_examples") - F.col("positive_examples"))
     blocker = F.when(
         F.col("compatible_examples") == 0,
-        F.lit(f"No reviewed training examples are available for feature schema {schema}."),
+        F.lit(NO_EXAMPLES.format(schema=schema)),
     ).when(
         (F.col("positive_examples") == 0) | (F.col("negative_examples") == 0),
-        F.lit(
-            "Training requires at least one positive and one negative reviewed example "
-            f"for feature schema {schema}."
-        ),
+        F.lit(ONE_CLASS.format(schema=schema)),
     )
     return one.select(
         F.lit(schema).alias("feature_schema_version"),

@@ -25,6 +25,12 @@ TOLERANCES = [
     ("auc", 0.03, "AUC"),
 ]
 MAX_BOUNDARY_REGRESSION_S = 0.5
+BAD_THRESHOLDS = "Candidate thresholds are missing, invalid, or inverted."
+NOT_CALIBRATED = (
+    "Decision thresholds were not calibrated on a holdout containing both positive and negative examples."
+)
+BOUNDARY_REMOVED = "Candidate removes the promoted model boundary calibration."
+BOUNDARY_MISSING = " is missing while the promoted model has a validated profile."
 DELTA_METRICS = ["accuracy", "precision", "recall", "f1", "auc", "positivePrecision", "positiveRecall", "reviewRecall"]
 TOP_WEIGHTS = 10
 
@@ -97,13 +103,11 @@ def promotion_safety(models: DataFrame, promoted: DataFrame | None) -> DataFrame
     rules = [
         F.when(
             ~(_probability(positive) & _probability(review) & F.coalesce(review <= positive, F.lit(False))),
-            F.lit("Candidate thresholds are missing, invalid, or inverted."),
+            F.lit(BAD_THRESHOLDS),
         ),
         F.when(
             ~F.coalesce(F.try_element_at(m, F.lit("thresholdsCalibrated")) == 1, F.lit(False)),
-            F.lit(
-                "Decision thresholds were not calibrated on a holdout containing both positive and negative examples."
-            ),
+            F.lit(NOT_CALIBRATED),
         ),
     ]
     for name, minimum, label in MINIMUMS:
@@ -130,7 +134,7 @@ def promotion_safety(models: DataFrame, promoted: DataFrame | None) -> DataFrame
         )
     mine, theirs = F.col("boundary_calibration"), F.col("p.boundary_calibration")
     removed = theirs.isNotNull() & mine.isNull()
-    rules.append(F.when(removed, F.lit("Candidate removes the promoted model boundary calibration.")))
+    rules.append(F.when(removed, F.lit(BOUNDARY_REMOVED)))
     both = theirs.isNotNull() & mine.isNotNull()
     rules.append(
         F.when(
@@ -155,7 +159,7 @@ def promotion_safety(models: DataFrame, promoted: DataFrame | None) -> DataFrame
 
 
 def _boundary_rule(label: Column, value: Column, base: Column) -> Column:
-    missing = F.concat(label, F.lit(" is missing while the promoted model has a validated profile."))
+    missing = F.concat(label, F.lit(BOUNDARY_MISSING))
     worse = F.concat(
         label, F.lit(f" regresses more than {MAX_BOUNDARY_REGRESSION_S:.3f} seconds ("),
         metric_text(value), F.lit(" vs "), metric_text(base), F.lit(")."),

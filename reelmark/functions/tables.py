@@ -2,19 +2,51 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_FOLDERS: dict[str, str] = {}
+
+
+def _named(spark: SparkSession, key: str) -> str | None:
+    return spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors see, as named by the session; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = tempfile.mkdtemp(prefix="reelmark-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """Folder all executors see: ``spark.checkpoint.dir``, or else one below the warehouse.
+
+    A warehouse on a local disk is only accepted where driver and executors are one process.
+    """
+    named = _named(spark, "spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    warehouse = _named(spark, "spark.sql.warehouse.dir") or "spark-warehouse"
+    master = spark.sparkContext.master
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(warehouse).getFileSystem(
+        spark.sparkContext._jsc.hadoopConfiguration()
+    ).getScheme()
+    if scheme == "file" and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{warehouse.rstrip('/')}/scratch"
+
+
+def _own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/settled-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(_remove, spark, _FOLDERS[app])
+    return _FOLDERS[app]
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session has ended before; the folder then stays
+        pass
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -23,6 +55,6 @@ def settle(df: DataFrame) -> DataFrame:
     Later steps then prune columns and push filters into the files, and a lost executor only
     costs the re-reading of files.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

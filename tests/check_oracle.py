@@ -6,6 +6,7 @@ import datetime
 import math
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -40,7 +41,7 @@ def main():
     names = sys.argv[1:]
     spark = build_session("check", "local[8]", **{
         "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g",
-        "spark.ui.showConsoleProgress": "false",
+        "spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="reelmark-check-"),
     })
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import settle
-from .texts import n_words
+from .texts import n_words, nested
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -168,3 +168,16 @@ def op6(spark, sf_dir: str) -> DataFrame:
     return mix(docs).select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
+
+
+def with_copies(docs: DataFrame, taken: DataFrame, name: str = "copies") -> DataFrame:
+    """The rows of ``docs`` in ``taken`` (``doc_id, tie, copies``) with ``name``; equal rows become one.
+
+    ``taken`` has one row for each id and text, with the copies of all its rows together.
+    """
+    name = name if name not in docs.columns else f"{name}_taken"
+    rows = nested(docs).withColumn("tie", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    t = taken.select(F.col("doc_id").alias("t_doc"), F.col("tie").alias("t_tie"), F.col("copies").alias("t_copies"))
+    joined = rows.join(t, F.col("doc_id").eqNullSafe(F.col("t_doc")) & (F.col("tie") == F.col("t_tie")))
+    one = joined.dropDuplicates(["doc_id", "tie"])
+    return one.select(*[F.col(f"doc.`{c}`") for c in docs.columns], F.col("t_copies").alias(name))

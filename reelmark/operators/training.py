@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import ordered
@@ -52,32 +55,45 @@ def _round6(value: float) -> float:
     return math.copysign(math.floor(abs(value) * 1e6 + 0.5) / 1e6, value) + 0.0
 
 
+def _gradient_step(intercept: float, weights: list[float]):
+    """Sums of errors and of errors times features of a partition; the weights travel as data."""
+    w = np.array(weights, dtype=np.float64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) + 1)
+        for batch in batches:
+            y = batch.column("y").to_numpy()
+            x = batch.column("x").flatten().to_numpy().reshape(len(y), len(w))
+            with np.errstate(over="ignore"):
+                e = 1 / (1 + np.exp(-(intercept + x @ w))) - y
+            total[0] += e.sum()
+            total[1:] += e @ x
+        yield pa.RecordBatch.from_arrays([pa.array([v]) for v in total], names=[f"s{i}" for i in range(len(total))])
+
+    return run
+
+
 def train_logistic(
     fit: DataFrame, names: list[str], iterations: int = ITERATIONS, rate: float = LEARNING_RATE, l2: float = L2
 ) -> tuple[float, dict[str, float]]:
-    """Full-batch gradient descent. Each step is one aggregation over flat feature columns that are
-    kept in memory (and recomputed from the written table if an executor is lost); the driver only
-    holds the weights.
+    """Full-batch gradient descent.
+
+    Features are one array column, kept in memory (and recomputed from the written table if an
+    executor is lost). A step is a matrix product per Arrow batch and one sum per partition; its plan is the same
+    for all steps, and the driver only holds the weights.
     """
-    columns = [
-        F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)).alias(f"x{i}") for i, n in enumerate(names)
-    ]
-    packed = settle(fit.select(F.col("label").cast("double").alias("y"), *columns)).persist()
+    values = [F.coalesce(F.try_element_at("features", F.lit(n)), F.lit(0.0)) for n in names]
+    x = F.array(*values) if names else F.array().cast("array<double>")
+    packed = settle(fit.select(F.col("label").cast("double").alias("y"), x.alias("x"))).persist()
     n = max(1, packed.count())
     intercept, weights = 0.0, [0.0] * len(names)
+    sums = [f"s{i}" for i in range(len(names) + 1)]
     try:
         for _ in range(iterations):
-            logit = F.lit(intercept)
-            for i, w in enumerate(weights):
-                logit = logit + F.lit(w) * F.col(f"x{i}")
-            error = packed.select((scoring.sigmoid(logit) - F.col("y")).alias("e"), *packed.columns)
-            row = error.agg(
-                F.sum("e").alias("b"), *[F.sum(F.col("e") * F.col(f"x{i}")).alias(f"g{i}") for i in range(len(names))]
-            ).first()
-            intercept = _round6(intercept - rate * ((row["b"] or 0.0) / n))
-            weights = [
-                _round6(w - rate * ((row[f"g{i}"] or 0.0) / n + l2 * w)) for i, w in enumerate(weights)
-            ]
+            parts = packed.mapInArrow(_gradient_step(intercept, weights), ", ".join(f"{s} double" for s in sums))
+            row = parts.agg(*[F.sum(s).alias(s) for s in sums]).first()
+            intercept = _round6(intercept - rate * ((row[0] or 0.0) / n))
+            weights = [_round6(w - rate * ((row[i + 1] or 0.0) / n + l2 * w)) for i, w in enumerate(weights)]
     finally:
         packed.unpersist()
     return intercept, dict(zip(names, weights))

@@ -277,11 +277,14 @@ def _fbeta(b: float) -> str:
     return f"coalesce((1 + {b * b}e0) * \"precision\" * recall / nullif({b * b}e0 * \"precision\" + recall, 0), 0)"
 
 
+THRESHOLDS = f"""ok as (select * from sweep where predicted_positive > 0),
+p as (select threshold as positive from ok order by "precision" >= 0.9 desc, case when "precision" >= 0.9 then recall else {_fbeta(0.5)} end desc, "precision" desc, recall desc, threshold desc limit 1),
+v as (select threshold as review from ok, p where threshold <= positive order by recall >= 0.95 desc, case when recall >= 0.95 then "precision" else {_fbeta(2.0)} end desc, recall desc, "precision" desc, threshold desc limit 1)"""
+
+
 @query(
     "calibrate_thresholds",
-    f"""with {SWEEP}, ok as (select * from sweep where predicted_positive > 0),
-p as (select threshold as positive from ok order by "precision" >= 0.9 desc, case when "precision" >= 0.9 then recall else {_fbeta(0.5)} end desc, "precision" desc, recall desc, threshold desc limit 1),
-v as (select threshold as review from ok, p where threshold <= positive order by recall >= 0.95 desc, case when recall >= 0.95 then "precision" else {_fbeta(2.0)} end desc, recall desc, "precision" desc, threshold desc limit 1)
+    f"""with {SWEEP}, {THRESHOLDS}
 select positive, review, true as calibrated, (select count(*) from scored) as examples, (select count(*) from scored where label = 1) as positives, (select count(*) from scored where label = 0) as negatives from p, v""",
     EX,
 )
@@ -300,22 +303,57 @@ def _(spark, sf):
     return training.auc(scored(spark, sf))
 
 
-@query("train_logistic")
+FEATS = d.EXAMPLE_FEATURES
+_STEP_LOGIT = "b" + "".join(f" + w_{f} * {f}" for f in FEATS)
+# One row of state per step: the weights; each step sums over all training rows.
+TRAINED = f"""fit as materialized (select e.* from d_example e join side s on e.video_id = s.video_id where not s.holdout),
+steps as (
+  select 0 as step, 0.0e0 as b, {', '.join(f'0.0e0 as w_{f}' for f in FEATS)}
+  union all
+  select step + 1, {rnd(f'(b - {training.LEARNING_RATE}e0 * gb)', 6)}, {', '.join(rnd(f'(w_{f} - {training.LEARNING_RATE}e0 * (g_{f} + {training.L2}e0 * w_{f}))', 6) for f in FEATS)}
+  from (select step, b, {', '.join(f'w_{f}' for f in FEATS)}, sum(e) / count(*) as gb, {', '.join(f'sum(e * {f}) / count(*) as g_{f}' for f in FEATS)}
+    from (select steps.*, fit.*, 1.0e0 / (1.0e0 + exp(-({_STEP_LOGIT}))) - label as e from steps, fit where step < {training.ITERATIONS}) x
+    group by step, b, {', '.join(f'w_{f}' for f in FEATS)}) y
+), trained as (select * from steps where step = {training.ITERATIONS})"""
+_WEIGHT_ROWS = "select 'intercept' as name, b as weight from trained" + "".join(f" union all select '{f}', w_{f} from trained" for f in FEATS)
+
+
+@query("train_logistic", f"with recursive {SPLIT}, {TRAINED} {_WEIGHT_ROWS}", EX)
 def _(spark, sf):
     ex = settle(training.group_split(d.examples(spark, sf)))
-    intercept, weights = training.train_logistic(ex.filter("not holdout"), d.EXAMPLE_FEATURES, iterations=20)
+    intercept, weights = training.train_logistic(ex.filter("not holdout"), FEATS)
     return spark.createDataFrame([("intercept", intercept), *weights.items()], "name string, weight double")
 
 
-@query("model_artifact")
+SCORED_HELD = f"""scored as (select e.id, e.label, 1.0e0 / (1.0e0 + exp(-({_STEP_LOGIT}))) as score
+  from d_example e join side s on e.video_id = s.video_id, trained where s.holdout)"""
+AT_POSITIVE = f"""at_p as (select {_quality('tp', 'fp', 'pos', 'n')} from (select count(*) as n, count(*) filter (where label = 1) as pos,
+  count(*) filter (where score >= positive and label = 1) as tp, count(*) filter (where score >= positive and label = 0) as fp from scored, p) c)"""
+
+
+@query(
+    "model_artifact",
+    f"""with recursive {SPLIT}, {TRAINED}, {SWEEP.replace(SCORED, SCORED_HELD)}, {THRESHOLDS}, {AT_POSITIVE}
+{_WEIGHT_ROWS} union all select 'positive', positive from p union all select 'review', review from v
+union all select 'accuracy', accuracy from at_p union all select 'precision', "precision" from at_p union all select 'recall', recall from at_p
+union all select 'f1', f1 from at_p union all select 'trainExamples', count(*) from fit union all select 'validationExamples', count(*) from scored""",
+    EX,
+)
 def _(spark, sf):
-    return training.model_artifact(d.examples(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc), iterations=20)
+    model = training.model_artifact(d.examples(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc))
+    picked = lambda c, names: F.map_filter(c, lambda k, _: k.isin(*names))
+    parts = F.map_concat(
+        F.create_map(F.lit("intercept"), "intercept", F.lit("positive"), "thresholds.positive", F.lit("review"), "thresholds.review"),
+        "weights", picked("metrics", ["accuracy", "precision", "recall", "f1"]),
+        picked("training_set_summary", ["trainExamples", "validationExamples"]),
+    )
+    return model.select(F.explode(parts).alias("name", "weight"))
 
 
 @query("train_pipeline")
 def _(spark, sf):
     model, run = training.train_pipeline(
-        d.feedback(spark, sf), d.reviews(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc), "run-1", iterations=20
+        d.feedback(spark, sf), d.reviews(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc), "run-1"
     )
     return run.join(model.select("model_id", "thresholds", "boundary_calibration"), "model_id")
 

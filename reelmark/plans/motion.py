@@ -11,7 +11,7 @@ from ..operators import frames, playback
 from ..streaming import jobs
 from . import derived as d, detect
 from .registry import query, rnd
-from .streams import drained
+from .streams import as_stream, drained, new_folder
 
 # ---- scanlines: one small frame per part ------------------------------------------
 
@@ -180,21 +180,15 @@ def _(spark, sf):
 # ---- streams ----------------------------------------------------------------------------
 
 
-def _as_stream(spark, df):
-    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
-
-
 @query("stream_progress", _TRACK_OUT)
 def _(spark, sf):
-    return _confirmed(drained(spark, jobs.stream_progress(_as_stream(spark, bar_observations(spark, sf)))))
+    return _confirmed(drained(spark, jobs.stream_progress(as_stream(spark, bar_observations(spark, sf)))))
 
 
 @query("stream_skips", _DECIDED, _DECIDED_VIEWS)
 def _(spark, sf):
     skippable = settle(detect.skippable(spark, sf))
-    decided = drained(spark, jobs.stream_skips(_as_stream(spark, d.ticks(spark, sf)), skippable))
+    decided = drained(spark, jobs.stream_skips(as_stream(spark, d.ticks(spark, sf)), skippable))
     return _decisions(spark, sf, decided, skippable)
 
 
@@ -205,13 +199,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     evidence = settle(d.evidence(spark, sf))
-    path = f"{shared_dir(spark)}/candidates-{uuid.uuid4().hex}"
-
-    def write(df, batch_id: int) -> None:
-        df.select("video_id", "cand_idx", "start_s", "confidence", "band").write.mode("overwrite").parquet(f"{path}/data")
-
-    update = jobs.candidate_updates(lambda: evidence, write)
-    stream = _as_stream(spark, evidence).writeStream.foreachBatch(update)
-    stream.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/data")
-
+    path = new_folder(spark, "candidates")
+    write = jobs.versioned_write(path, ["video_id", "cand_idx", "start_s", "confidence", "band"])
+    jobs.run_batches(as_stream(spark, evidence, 3), path, jobs.candidate_updates(lambda: evidence, write))
+    return jobs.newest_versions(spark, path)

@@ -13,7 +13,7 @@ from ..streaming import jobs
 from . import derived as d
 from .model import MODEL_CTE, model_table
 from .registry import clock, query, rnd
-from .streams import drained
+from .streams import as_stream, drained, new_folder
 
 FB = ["d_feedback"]
 FR = ["d_feedback", "d_review"]
@@ -463,15 +463,18 @@ def _(spark, sf):
     return status.latest_status(d.view(spark, sf, "d_status"), now).drop("updated_at")
 
 
-@query(
-    "recent_activity",
-    """select 'v' || cast(user_id as string) as video_id, event_id as ev_idx, cast(row_number() over w as int) as position from events
-window w as (partition by user_id order by ts desc, event_id) qualify row_number() over w <= 16""",
-)
-def _(spark, sf):
+ACTIVITY = """select 'v' || cast(user_id as string) as video_id, event_id as ev_idx, cast(row_number() over w as int) as position from events
+window w as (partition by user_id order by ts desc, event_id) qualify row_number() over w <= 16"""
+
+
+def _seen_evidence(spark, sf):
     seen = d.table(spark, sf, "events").select(F.col("event_id").alias("ev_idx"), F.col("ts").cast("timestamp").alias("seen_at"))
-    ev = d.evidence(spark, sf).select("video_id", "ev_idx").join(seen, "ev_idx")
-    return status.recent_activity(ev).select("video_id", "ev_idx", "position")
+    return d.evidence(spark, sf).select("video_id", "ev_idx", "source", "kind", "start_s").join(seen, "ev_idx")
+
+
+@query("recent_activity", ACTIVITY)
+def _(spark, sf):
+    return status.recent_activity(_seen_evidence(spark, sf)).select("video_id", "ev_idx", "position")
 
 
 ADMIT = """q as (select *, epoch_us(asked_at) as t from d_request), jump as (
@@ -505,9 +508,30 @@ def _stream_of(spark, sf, name: str, tables: list[str]):
 
 @query("stream_dedup", f"with {KEYED}, {FIRST} select dedup_key, count(*) as n from stored group by 1", FB)
 def _(spark, sf):
-    raw = _stream_of(spark, sf, "d_feedback", ["events"])
-    out = drained(spark, jobs.stream_dedup(raw.withColumn("received_at", F.col("received_at").cast("timestamp"))))
-    return out.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
+    path = new_folder(spark, "dedup")
+    jobs.run_batches(as_stream(spark, d.feedback(spark, sf), 3), path, jobs.stream_dedup(path))
+    return spark.read.parquet(f"{path}/data").groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "stream_latest_status",
+    """with n as (select *, row_number() over (partition by video_id order by updated_at desc) as r from d_status)
+select video_id, phase, case when phase is null then 0.0e0 else least(1.0e0, greatest(0.0e0, progress)) end as progress, cast(greatest(0, sample_count) as bigint) as sample_count
+from n where r = 1""",
+    ["d_status"],
+)
+def _(spark, sf):
+    stream = as_stream(spark, d.view(spark, sf, "d_status"), 3)
+    sent = drained(spark, jobs.latest_status(stream), "update").filter("not stale")
+    last = sent.groupBy("video_id").agg(F.max_by(F.struct("phase", "progress", "sample_count"), "batch").alias("s"))
+    return last.select("video_id", "s.*")
+
+
+@query("stream_recent_activity", ACTIVITY)
+def _(spark, sf):
+    sent = drained(spark, jobs.recent_activity(as_stream(spark, _seen_evidence(spark, sf), 3)), "update")
+    last = sent.groupBy("video_id").agg(F.max("batch").alias("batch"))
+    return sent.join(last, ["video_id", "batch"]).select("video_id", "ev_idx", "position")
 
 
 @query(

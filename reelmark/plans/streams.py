@@ -1,4 +1,4 @@
-"""Helpers of the stream queries: drain a stream into a table."""
+"""Helpers of the stream queries: tables as streams of several batches, and streams drained into tables."""
 
 from __future__ import annotations
 
@@ -11,24 +11,36 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.tables import shared_dir
 from ..streaming import jobs
 
-_SETTINGS = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions")
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 @contextmanager
 def state_settings(spark: SparkSession) -> Iterator[None]:
-    """Keyed state needs the RocksDB provider, and one state partition per core is enough here."""
-    old = {k: spark.conf.get(k) for k in _SETTINGS}
-    spark.conf.set(_SETTINGS[0], "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    spark.conf.set(_SETTINGS[1], str(min(int(old[_SETTINGS[1]]), spark.sparkContext.defaultParallelism)))
+    """Keyed state needs the RocksDB provider."""
+    old = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
         yield
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        spark.conf.set(_PROVIDER, old)
 
 
-def drained(spark: SparkSession, stream: DataFrame) -> DataFrame:
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def as_stream(spark: SparkSession, df: DataFrame, batches: int = 1) -> DataFrame:
+    """The rows of a table as a file stream that comes in about ``batches`` micro-batches."""
+    path = new_folder(spark, "source")
+    (df if batches == 1 else df.repartition(2 * batches)).write.parquet(path)
+    reader = spark.readStream.schema(df.schema)
+    if batches > 1:
+        reader = reader.option("maxFilesPerTrigger", 2)
+    return reader.parquet(path)
+
+
+def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
+    path = new_folder(spark, "stream")
     with state_settings(spark):
-        jobs.run_to_table(stream, path)
+        jobs.run_to_table(stream, path, mode)
     return spark.read.parquet(f"{path}/data")

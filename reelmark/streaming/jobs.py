@@ -9,25 +9,41 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.tables import settle
 from ..operators import features as ft, frames, fusion, playback, scoring
 from ..operators.admission import ADMISSION_OUT, Gate, admit
-from ..operators.feedback import dedup_key
+from ..operators.feedback import dedup_key, first_write_wins
 from ..operators.status import STALE_AFTER_S, normalize_status
 
 
-def stream_dedup(feedback: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drops repeats of a key within the watermark; rows without a key always pass."""
-    keyed = dedup_key(feedback)
-    unique = (
-        keyed.filter("dedup_key is not null")
-        .withWatermark("received_at", delay)
-        .dropDuplicatesWithinWatermark(["dedup_key"])
-    )
-    return unique.unionByName(keyed.filter("dedup_key is null").withWatermark("received_at", delay))
+def stored_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows that ``foreachBatch`` writers have put into ``path``, one folder per batch, with ``batch``."""
+    with_batch = StructType([*schema.fields, StructField("batch", LongType())])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], with_batch)
+    return spark.read.schema(with_batch).parquet(path)
+
+
+def stream_dedup(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: first write of a key wins for good; rows without a key always pass.
+
+    Within a batch the first row by time and id counts; keys that earlier batches stored are looked up in
+    the table itself, so nothing expires and late rows are judged like all others. A batch that is run again
+    writes its folder again.
+    """
+
+    def update(batch: DataFrame, batch_id: int) -> None:
+        first = first_write_wins(dedup_key(batch))
+        stored = stored_batches(batch.sparkSession, f"{path}/data", first.schema).filter(F.col("batch") < batch_id)
+        new = first.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*first.columns)
+        new.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+
+    return update
 
 
 class _Ordered(StatefulProcessor):
@@ -233,24 +249,40 @@ def recent_activity(evidence: DataFrame, k: int = 16) -> DataFrame:
 
 def candidate_updates(
     read_evidence: Callable[[], DataFrame],
-    write: Callable[[DataFrame, int], None],
+    write: Callable[[DataFrame, DataFrame, int], None],
     model: scoring.Model | None = None,
     nfkc: bool = True,
 ) -> Callable[[DataFrame, int], None]:
     """``foreachBatch`` body: recomputes candidates and bands of the videos touched by a batch.
 
-    ``read_evidence`` returns the evidence table that already holds the batch; ``write`` replaces the
-    rows of the touched videos. The batch only selects videos, so repeats do no harm.
+    ``read_evidence`` returns the evidence table that already holds the batch; ``write`` gets the new rows
+    and the touched videos, whose older rows they replace. The batch only selects videos, so repeats do no harm.
     """
 
     def update(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.select("video_id").distinct()
+        touched = settle(batch.select("video_id").distinct())
         evidence = settle(read_evidence().join(touched, "video_id", "left_semi"))
-        write(scored_candidates(evidence, model, nfkc), batch_id)
+        write(scored_candidates(evidence, model, nfkc), touched, batch_id)
 
     return update
 
 
+def versioned_write(path: str, columns: list[str]) -> Callable[[DataFrame, DataFrame, int], None]:
+    """Adds a version of the touched videos: their rows, and that they were touched. Nothing is rewritten."""
+
+    def write(rows: DataFrame, touched: DataFrame, batch_id: int) -> None:
+        rows.select(*columns).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        touched.write.mode("overwrite").parquet(f"{path}/touched/batch={batch_id}")
+
+    return write
+
+
+def newest_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of each video from the last batch that touched it; none if that batch left it without any."""
+    last = spark.read.parquet(f"{path}/touched").groupBy("video_id").agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{path}/data").join(last, ["video_id", "batch"]).drop("batch")
+
+
 def scored_candidates(evidence: DataFrame, model: scoring.Model | None, nfkc: bool = True) -> DataFrame:
     member = settle(fusion.candidate_members(evidence))
     pool = settle(fusion.candidates_of(member))
@@ -258,20 +290,21 @@ def scored_candidates(evidence: DataFrame, model: scoring.Model | None, nfkc: bo
     return scoring.select_bands(scoring.apply_boundary_offsets(applied, member, model), model)
 
 
-def run_to_table(stream: DataFrame, path: str, mode: str = "append", seconds: float | None = None) -> None:
-    """Runs a stream into ``path``/data, one folder per batch.
+def run_batches(stream: DataFrame, path: str, update: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Runs a stream through a ``foreachBatch`` body until all that is available is processed."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(update)
+    writer.trigger(availableNow=True).start().awaitTermination()
 
-    Without ``seconds`` everything available is processed and the query ends. Jobs with timers never
-    run dry that way; they are stopped after ``seconds``.
-    """
+
+def save_batches(path: str) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body that puts each batch into its own folder of ``path``/data."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
 
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(save)
-    if seconds is None:
-        writer.trigger(availableNow=True).start().awaitTermination()
-        return
-    query = writer.trigger(processingTime="1 second").start()
-    query.awaitTermination(int(seconds))
-    query.stop()
+    return save
+
+
+def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> None:
+    """Runs a stream into ``path``/data until all that is available is processed."""
+    run_batches(stream, path, save_batches(path), mode)

@@ -70,8 +70,15 @@ def as_stream(spark, df, tmp_path, parts=1, order=None):
 
 
 def run(spark, stream, tmp_path, mode="append", seconds=None):
+    """Drains a stream; one with timers never runs dry and is stopped after ``seconds``."""
     out = f"{tmp_path}/{uuid.uuid4().hex}"
-    jobs.run_to_table(stream, out, mode, seconds)
+    if seconds is None:
+        jobs.run_to_table(stream, out, mode)
+    else:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/checkpoint")
+        query = writer.foreachBatch(jobs.save_batches(out)).trigger(processingTime="1 second").start()
+        query.awaitTermination(seconds)
+        query.stop()
     return spark.read.parquet(f"{out}/data")
 
 
@@ -214,11 +221,21 @@ def test_stream_candidates(spark, tmp_path):
         {**bar(16, 0.3), "video_id": "a", "ev_idx": 2},
     ]
     evidence = evidence_df(spark, rows)
-    seen = {}
-    update = jobs.candidate_updates(
-        lambda: evidence, lambda df, n: seen.update({r.video_id: (r.end_s, r.confidence, r.band) for r in df.collect()})
-    )
-    query = as_stream(spark, evidence, tmp_path).writeStream.foreachBatch(update)
-    query.option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination()
-    assert seen == {"a": (60.0, 0.98, "display"), "b": (None, 0.15, "reject")}
+    path = f"{tmp_path}/out"
+    write = jobs.versioned_write(path, ["video_id", "end_s", "confidence", "band"])
+    stream = as_stream(spark, evidence, tmp_path, 3, ["video_id", "ev_idx"])
+    jobs.run_batches(stream, path, jobs.candidate_updates(lambda: evidence, write))
+    got = {r.video_id: (r.end_s, r.confidence, r.band) for r in jobs.newest_versions(spark, path).collect()}
+    assert got == {"a": (60.0, 0.98, "display"), "b": (None, 0.15, "reject")}
     assert fusion.candidate_pool(evidence).count() == 2
+
+
+def test_videos_without_candidates_lose_their_older_rows(spark, tmp_path):
+    path = f"{tmp_path}/v"
+    write = jobs.versioned_write(path, ["video_id", "x"])
+    ids = lambda *v: spark.createDataFrame([(x,) for x in v], "video_id string")
+    rows = lambda *r: spark.createDataFrame(list(r), "video_id string, x int")
+    write(rows(("a", 1), ("b", 1)), ids("a", "b"), 0)
+    write(rows(("c", 2)), ids("b", "c"), 1)
+    write(rows(("a", 3)), ids("a"), 2)
+    assert {(r.video_id, r.x) for r in jobs.newest_versions(spark, path).collect()} == {("a", 3), ("c", 2)}

@@ -169,14 +169,14 @@ def scan(files: DataFrame, space: Space | None = None) -> DataFrame:
     """``path, license, how, score, directory`` for each row of ``files`` (``path, text``).
 
     ``how`` is ``file``, ``header``, ``inherited`` or ``none``. A directory with several licence files takes the
-    highest score, then the first name and path. Null and empty texts have no license of their own and inherit;
+    highest score (to nine places), then the last name. Null and empty texts have no license of their own and inherit;
     a null path is a file of the root directory. Repeated rows get equal results; an empty table gives none.
     Directories, not files, are joined with their ancestors, so a large directory counts once there.
     """
     files = files.select(F.coalesce("path", F.lit("")).alias("path"), "text")
     own = settle(own_licences(files, space).withColumn("directory", directory(F.col("path"))))
     covers = own.filter("file is not null").groupBy("directory").agg(
-        F.max_by("file", F.struct("file_score", "file")).alias("license")
+        F.max_by("file", F.struct(F.round("file_score", 9), "file")).alias("license")
     )
     covers = covers.select(F.col("directory").alias("ancestor"), F.col("license").alias("dir_license"))
     places = own.select("directory").distinct()

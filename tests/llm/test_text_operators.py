@@ -154,7 +154,7 @@ def test_added_kinds_and_redaction(spark):
     df = awkward(spark)
     out = pii.find_personal_data(df)
     got = {r.doc.doc_id: [tuple(s) for s in r.spans] for r in out.collect()}
-    assert out.count() == df.count() and got[1] == got[2] == [] and got[8] == [("email", 5, 20)]
+    assert out.count() == df.count() and got[1] == got[2] == [] and got[8] == [("email", 5, 22)]
     shown = out.filter("doc.doc_id = 8").select(pii.redacted(out["doc.text"], out["spans"]).alias("t")).first()
     assert shown.t == "mail [email] now"
     assert pii.find_personal_data(empty(spark)).count() == 0

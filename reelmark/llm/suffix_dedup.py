@@ -25,7 +25,6 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.tables import settle
 from .arrays import BASE, MIX_1, Block, blocks, mixed, prefix_hashes
-from .texts import nested
 
 LENGTH = 50
 SAMPLE = 24
@@ -108,38 +107,38 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sorted_verdicts(partial: bool) -> Callable:
     """Streams tuples sorted by (sample, whole, doc): ``seen`` rows have their string in a smaller document.
 
-    With ``partial``, rows with a neighbour of the same sample that are not seen come out too. The last row
-    of a batch waits for the next one, so a group of any size needs one row of state.
+    With ``partial``, rows that are not seen come out too if their sample has another string. Of a group of any size
+    the last row is held, and of the last string the rows that are not seen, which all are of one document.
     """
+    names = ["doc", "place", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        last, least, held, linked = None, None, [np.zeros(0, np.int64)] * 4, False
         for batch in batches:
-            new = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            if not len(new[0]):
+            sample, whole, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            if not len(doc):
                 continue
-            if held is None:
-                sample, whole, doc, place = new
-                least, linked = doc[0], False
-            else:
-                sample, whole, doc, place = (np.r_[h, c] for h, c in zip(held[0], new, strict=True))
-                least, linked = held[1:]
-            same = np.r_[linked, sample[1:] == sample[:-1]]
-            equal = np.r_[False, same[1:] & (whole[1:] == whole[:-1])]
-            starts = np.where(equal, 0, np.arange(len(doc)))
-            firsts = np.maximum.accumulate(starts)
-            smallest = doc[firsts]
-            smallest[firsts == 0] = least
+            first = np.ones(len(doc), bool)
+            first[1:] = (sample[1:] != sample[:-1]) | (whole[1:] != whole[:-1])
+            first[0] = last != (sample[0], whole[0])
+            at = np.maximum.accumulate(np.where(first, np.arange(len(doc)), -1))
+            smallest = np.where(at >= 0, doc[np.maximum(at, 0)], doc[0] if least is None else least)
             seen = smallest < doc
-            out = seen | (same | np.r_[same[1:], False]) if partial else seen
-            out[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (doc, place, seen)], names=["doc", "place", "seen"])
-            held = ([c[-1:] for c in (sample, whole, doc, place)], smallest[-1], same[-1])
-        if held is not None:
-            (_, _, doc, place), least, linked = held
-            seen = np.array([least < doc[0]])
-            keep = seen | linked if partial else seen
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (doc, place, seen)], names=["doc", "place", "seen"])
+            out = [(doc[seen], place[seen], True)]
+            last, least = (sample[-1], whole[-1]), smallest[-1]
+            new = [np.r_[h, c[~seen]] for h, c in zip(held, (sample, whole, doc, place), strict=True)]
+            if partial and len(new[0]):
+                starts = np.r_[True, (new[0][1:] != new[0][:-1]) | (new[1][1:] != new[1][:-1])]
+                string = np.cumsum(starts) - 1
+                of = new[0][starts]
+                same = np.r_[linked, of[1:] == of[:-1]]
+                open_ = (same | np.r_[same[1:], False])[string] & (string < string[-1])
+                out.append((new[2][open_], new[3][open_], False))
+                held, linked = [c[string == string[-1]] for c in new], bool(same[-1])
+            for d, p, s in out:
+                yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(np.full(len(d), s))], names=names)
+        if linked:
+            yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3]), pa.array(np.full(len(held[2]), False))], names=names)
 
     return run
 
@@ -195,11 +194,12 @@ def _cut(texts: pd.Series, places: pd.Series) -> pd.DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    rows = nested(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.withColumns({
-        "key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)),
-        "tag": F.pmod(F.xxhash64("text"), F.lit(1 << 20)),
-    })
+    """``doc``, and the key and tag of a row; the text itself stays in ``doc``, so it is shuffled once."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("key"),
+        F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(1 << 20)).alias("tag"),
+    )
 
 
 def _places(verdicts: DataFrame) -> DataFrame:
@@ -217,14 +217,15 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     get equal results, and an empty table gives an empty one.
     """
     rows = _keyed(docs)
-    texts = rows.select(F.col("key").alias("doc"), "tag", "text")
-    judged = settle(_judged(texts.filter(F.octet_length("text") >= LENGTH).mapInArrow(_tuples, TUPLE), True))
+    text = F.coalesce("doc.text", F.lit(""))
+    texts = rows.filter(F.octet_length("doc.text") >= LENGTH).select(F.col("key").alias("doc"), "tag", text.alias("text"))
+    judged = settle(_judged(texts.mapInArrow(_tuples, TUPLE), True))
     same = (F.col("key") == F.col("p_doc")) & (F.col("tag") == F.col("p_tag"))
     open_runs = _places(judged.filter("not seen"))
-    windows = rows.select("key", "tag", "text").join(open_runs, same).select(F.col("key").alias("doc"), "text", "places")
+    windows = rows.join(open_runs, same).select(F.col("key").alias("doc"), text.alias("text"), "places")
     ends = _judged(windows.mapInArrow(_windows, TUPLE), False)
     gone = _places(judged.filter("seen").select("doc", "place").union(ends.select("doc", "place")))
-    out = rows.join(gone, same, "left").withColumn("bytes", F.col("text").cast("binary"))
+    out = rows.join(gone, same, "left").withColumn("bytes", text.cast("binary"))
     out = out.select("doc", F.octet_length("bytes").cast("long").alias("n_bytes"), _cut("bytes", "places").alias("c"))
     return out.select("doc", "n_bytes", "c.n_removed", "c.n_spans", F.col("c.text").alias("kept"))
 

@@ -30,3 +30,8 @@ def fenced(df: DataFrame, **columns: Column) -> DataFrame:
     return df.withColumn("_row", F.explode(F.array(row))).select(
         *[c for c in df.columns if c not in columns], *[F.col(f"_row.{n}").alias(n) for n in columns]
     )
+
+
+def only(row: Column) -> Column:
+    """Aggregate: the one row of a table, null without any; more than one is an error."""
+    return F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("more than one row where one is allowed"))).otherwise(F.first(row))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import clock_text, fixed_text, half_up, ratio
+from ..functions.once import only
 from ..sources.schemas import REVIEW_LABELS
 from .feedback import source_of, with_review
 
@@ -312,12 +313,13 @@ def dataset_search(
 def run_comparison(run: DataFrame, promoted: DataFrame) -> DataFrame:
     """Run metrics next to those of the promoted model: ``id, metric, run_value, promoted_value``.
 
-    ``promoted`` has at most one row; without one there is nothing to compare with.
+    Without a promoted model there is nothing to compare with; a second one is an error.
     """
     shown = F.filter(F.map_entries("metrics"), lambda e: e["key"].isin(RUN_METRICS))
     r = run.select("id", F.inline(shown))
-    p = promoted.select(F.explode("metrics").alias("key", "promoted_value"))
-    has = promoted.select(F.lit(1).alias("_k")).limit(1)
+    one = promoted.agg(only(F.struct("metrics")).alias("p")).filter("p is not null")
+    p = one.select(F.explode("p.metrics").alias("key", "promoted_value"))
+    has = one.select(F.lit(1).alias("_k"))
     return (
         r.withColumn("_k", F.lit(1))
         .join(has, "_k", "left_semi")

@@ -56,8 +56,9 @@ OPEN_REACH_S = 240.0
 CONTEXT_WINDOW_S = 20.0
 
 CONTEXT_CELL_S = 120.0
-MAX_PHRASE_WORDS = 4
-MAX_PHRASE_CHARS = 40
+_PHRASES = [tx.normalize_phrase(p) for p in (*SPONSOR_FEATURE_PHRASES, *CALL_TO_ACTION_FEATURE_PHRASES)]
+MAX_PHRASE_WORDS = max(len(p.split()) for p in _PHRASES)
+MAX_PHRASE_CHARS = max(map(len, _PHRASES))
 
 
 def text_in_span(
@@ -93,8 +94,8 @@ def phrase_group_ids(member: DataFrame) -> DataFrame:
 def _phrase_hits(member: DataFrame, context: DataFrame | None, nfkc: bool) -> DataFrame:
     """Number of distinct phrases found in the ordered text of a candidate.
 
-    A phrase has at most four words, so it lies in one part or runs over at most three more
-    parts; each part is therefore searched together with the head of what follows.
+    A phrase of n words lies in one part or runs over at most n - 1 more parts; each part is therefore
+    searched together with the head of what follows, as far as the longest phrase of the list reaches.
     """
     raw = F.col("raw")
     said = F.concat_ws(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import half_up, is_finite, metric_text
+from ..functions.once import only
 from ..functions.walk import ordered_walk
 
 # Fixed values (must match for right results).
@@ -84,10 +85,10 @@ def promoted_model(events: DataFrame, models: DataFrame, registry: str = "defaul
 
 
 def _beside(models: DataFrame, promoted: DataFrame | None) -> DataFrame:
-    """Adds the promoted model (at most one row) as struct ``p``."""
+    """Adds the promoted model as struct ``p``; a second promoted row is an error."""
     if promoted is None:
         return models.withColumn("p", F.lit(None).cast(models.schema))
-    one = promoted.limit(1).select(F.struct(*models.columns).alias("p"), F.lit(1).alias("_k"))
+    one = promoted.agg(only(F.struct(*models.columns)).alias("p")).withColumn("_k", F.lit(1))
     return models.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k", "left").drop("_k")
 
 

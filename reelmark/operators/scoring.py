@@ -37,9 +37,12 @@ class Model:
     @classmethod
     def from_table(cls, active: DataFrame) -> "Model | None":
         """From the at most one row of ``active_model``; None means heuristic scores."""
-        row = active.limit(1).first()
-        if row is None:
+        rows = active.limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError("more than one model is active")
+        if not rows:
             return None
+        row = rows[0]
         bounds = row.boundary_calibration.asDict(recursive=True) if row.boundary_calibration else {}
         return cls(
             row.model_id, row.model_version, row.intercept, row.weights, row.thresholds,

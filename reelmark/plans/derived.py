@@ -89,11 +89,11 @@ from (
        d.source as video_id, 'occ-' || cast(d.doc_id as string) as occurrence_id,
        l.quality as label, case when d.doc_id % 19 = 0 then 1 else 2 end as feature_schema_version,
        d.doc_id as created_ord,
-       least(d.n_chars, 20000) / 4096.0e0 as f_length,
+       d.n_chars / (d.n_chars + 4096.0e0) as f_length,
        case when d.lang = 'en' then 1.0e0 else 0.0e0 end as f_english,
        case when d.lang = 'fr' then 1.0e0 else 0.0e0 end as f_french,
-       least(length(d.text) - length(translate(d.text, '0123456789', '')), 64) / 64.0e0 as f_digits,
-       least(length(d.text) - length(replace(d.text, chr(10), '')), 64) / 64.0e0 as f_lines
+       (length(d.text) - length(translate(d.text, '0123456789', ''))) / (d.n_chars + 1.0e0) as f_digits,
+       (length(d.text) - length(replace(d.text, chr(10), ''))) / (d.n_chars + 1.0e0) as f_lines
 from {documents} d join {labels} l on d.doc_id = l.doc_id""",
     ),
     "d_link": (

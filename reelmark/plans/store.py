@@ -400,11 +400,9 @@ select id, bad is null or bad = 9 as accepted, case when bad is null or bad = 9
     FB,
 )
 def _(spark, sf):
-    good, bad = intake.ingest_feedback(payloads(spark, sf), APP)
-    none = F.lit(None).cast("string")
-    return good.select("id", F.lit(True).alias("accepted"), "start_s", none.alias("errors")).unionByName(
-        bad.select("id", F.lit(False).alias("accepted"), none.cast("double").alias("start_s"), F.array_join("errors", ",").alias("errors"))
-    )
+    checked = intake.check_feedback(payloads(spark, sf), APP)
+    ok = F.size("errors") == 0
+    return checked.select("id", ok.alias("accepted"), "row.start_s", F.when(~ok, F.array_join("errors", ",")).alias("errors"))
 
 
 @query(
@@ -425,9 +423,8 @@ def _(spark, sf):
         ),
     )
     body = F.to_json(F.struct(F.when(last == "4", F.lit("odd")).otherwise(F.col("label")).alias("label"), fix.alias("boundaryCorrection")))
-    good, bad = intake.validate_reviews(r.select("id", "feedback_id", "reviewed_at", body.alias("body")))
-    first = F.element_at("errors", 1)
-    return good.select("id", F.lit(None).cast("string").alias("errors")).unionByName(bad.select("id", first.alias("errors")))
+    checked = intake.check_reviews(r.select("id", "feedback_id", "reviewed_at", body.alias("body")))
+    return checked.select("id", F.get("errors", F.lit(0)).alias("errors"))
 
 
 # ---- tables and exports -------------------------------------------------------------------
@@ -522,7 +519,7 @@ from n where r = 1""",
 )
 def _(spark, sf):
     stream = as_stream(spark, d.view(spark, sf, "d_status"), 3)
-    sent = drained(spark, jobs.latest_status(stream), "update").filter("not stale")
+    sent = drained(spark, jobs.latest_status(stream, None), "update")
     last = sent.groupBy("video_id").agg(F.max_by(F.struct("phase", "progress", "sample_count"), "batch").alias("s"))
     return last.select("video_id", "s.*")
 

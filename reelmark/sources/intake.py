@@ -32,13 +32,17 @@ _RAW_PHRASE = (
 )
 
 
-def _rejections(df: DataFrame, checks: list[tuple[str, Column]]) -> tuple[DataFrame, DataFrame]:
-    """Splits by a list of named checks; a check that is not clearly true counts as failed."""
+def _judged(df: DataFrame, checks: list[tuple[str, Column]], row: Column) -> DataFrame:
+    """Adds ``errors``, the names of checks that are not clearly true, and ``row`` where there are none."""
     errors = F.array_compact(
         F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks])
     )
-    checked = fenced(df, errors=errors)
-    return checked.filter(F.size("errors") == 0).drop("errors"), checked.filter(F.size("errors") > 0)
+    return fenced(fenced(df, errors=errors), row=F.when(F.size("errors") == 0, row)).drop("_v")
+
+
+def _split(judged: DataFrame) -> tuple[DataFrame, DataFrame]:
+    accepted = judged.filter(F.size("errors") == 0).select("row.*")
+    return accepted, judged.filter(F.size("errors") > 0).drop("row")
 
 
 def default_phrases(configs: DataFrame) -> DataFrame:
@@ -100,7 +104,15 @@ def _maybe(value: Column, check: Column) -> Column:
 
 
 def ingest_feedback(raw: DataFrame, app: str) -> tuple[DataFrame, DataFrame]:
-    """``id, received_at, body`` (JSON text) to accepted feedback rows and rejected ones with reasons.
+    """Accepted feedback rows, and rejected input rows with ``errors``.
+
+    Each of the two reads its input; a job that wants both writes or walks ``check_feedback`` once.
+    """
+    return _split(check_feedback(raw, app))
+
+
+def check_feedback(raw: DataFrame, app: str) -> DataFrame:
+    """``id, received_at, body`` (JSON text) with ``errors``, and the feedback ``row`` if there are none.
 
     ``app`` is the literal product tag the payloads must carry. Works on streams as well: there is
     no shuffle and no state.
@@ -174,7 +186,6 @@ def ingest_feedback(raw: DataFrame, app: str) -> tuple[DataFrame, DataFrame]:
             | ((text("feedback") == MISSED_JUDGMENT) & F.coalesce(text("source") == MISSED_SOURCE, F.lit(False))),
         ),
     ]
-    accepted, rejected = _rejections(df, checks)
     shot = F.transform(
         shots,
         lambda s: F.struct(
@@ -214,14 +225,16 @@ def ingest_feedback(raw: DataFrame, app: str) -> tuple[DataFrame, DataFrame]:
         "transcript_context": text("transcriptContext"),
     }
     fields = S.struct_of(S.FEEDBACK)
-    return (
-        accepted.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in fields]),
-        rejected.drop("_v"),
-    )
+    return _judged(df, checks, F.struct(*[columns[f.name].cast(f.dataType).alias(f.name) for f in fields]))
 
 
 def validate_reviews(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``id, feedback_id, reviewed_at, body`` (JSON text) to accepted and rejected reviews."""
+    """Accepted reviews, and rejected input rows with ``errors``; see ``check_reviews``."""
+    return _split(check_reviews(raw))
+
+
+def check_reviews(raw: DataFrame) -> DataFrame:
+    """``id, feedback_id, reviewed_at, body`` (JSON text) with ``errors``, and the review ``row`` if there are none."""
     df = raw.withColumn("_v", F.try_parse_json("body"))
     at = lambda n: _at(F.col("_v"), f"$.{n}")
     label, fix = _string(at("label")), at("boundaryCorrection")
@@ -235,15 +248,12 @@ def validate_reviews(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("correctionNeeded", (label != "wrong_timing") | fix.isNotNull()),
         ("correctionForbidden", (label == "wrong_timing") | fix.isNull()),
     ]
-    accepted, rejected = _rejections(df, checks)
     correction = F.when(fix.isNotNull(), F.struct(start.alias("start_s"), end.alias("end_s")))
-    return (
-        accepted.select(
-            "id", "feedback_id", label.alias("label"), _string(at("notes")).alias("notes"),
-            correction.alias("boundary_correction"), "reviewed_at",
-        ),
-        rejected.drop("_v"),
+    row = F.struct(
+        "id", "feedback_id", label.alias("label"), _string(at("notes")).alias("notes"),
+        correction.alias("boundary_correction"), "reviewed_at",
     )
+    return _judged(df, checks, row)
 
 
 def _numbers(value: Column) -> Column:

@@ -167,8 +167,8 @@ def stream_skips(tick: DataFrame, skippable: DataFrame) -> DataFrame:
 class _StatusProcessor(StatefulProcessor):
     """Last status per video, and a stale mark when a running scan falls silent."""
 
-    def __init__(self, stale_after_s: float) -> None:
-        self._after_ms = int(stale_after_s * 1000)
+    def __init__(self, stale_after_s: float | None) -> None:
+        self._after_ms = None if stale_after_s is None else int(stale_after_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -185,9 +185,9 @@ class _StatusProcessor(StatefulProcessor):
             bool(newest.running),
         )
         self._state.update(row)
-        for t in self._handle.listTimers():
+        for t in self._handle.listTimers() if self._after_ms is not None else ():
             self._handle.deleteTimer(t)
-        if newest.running:
+        if newest.running and self._after_ms is not None:
             self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._after_ms + 1)
         yield self._row(key, row, False)
 
@@ -207,9 +207,14 @@ class _StatusProcessor(StatefulProcessor):
 STATUS_OUT = "video_id string, updated_at timestamp, phase string, progress double, sample_count bigint, stale boolean"
 
 
-def latest_status(status: DataFrame, stale_after_s: float = STALE_AFTER_S) -> DataFrame:
+def latest_status(status: DataFrame, stale_after_s: float | None = STALE_AFTER_S) -> DataFrame:
+    """Newest status per video, sent whenever it changes, and again as stale after a silence.
+
+    With ``None`` nothing becomes stale and no timers are set, so a finite source also runs dry.
+    """
+    mode = "none" if stale_after_s is None else "ProcessingTime"
     return normalize_status(status).groupBy("video_id").transformWithStateInPandas(
-        _StatusProcessor(stale_after_s), STATUS_OUT, "update", "ProcessingTime"
+        _StatusProcessor(stale_after_s), STATUS_OUT, "update", mode
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import intervals
 from ..functions.walk import ordered_walk
@@ -89,19 +89,8 @@ def undo_targets(decision: DataFrame, undo: DataFrame) -> DataFrame:
     both = decision.select("session_id", "video_id", "ts", F.lit(0).alias("is_undo"), "decision_id", "from_s").unionByName(
         undo.select("session_id", "video_id", "ts", F.lit(1).alias("is_undo")), allowMissingColumns=True
     )
-    out = "session_id string, video_id string, ts timestamp, decision_id string, target_s double"
-    return ordered_walk(both, ["session_id", "video_id"], ["ts", "is_undo"], _undo, out)
-
-
-def _undo():
-    last = None
-
-    def step(r):
-        nonlocal last
-        if not r.is_undo:
-            last = r
-            return None
-        taken, last = last, None
-        return None if taken is None else (r.session_id, r.video_id, r.ts, taken.decision_id, taken.from_s)
-
-    return step
+    # A decision counts for the undo right after it: one that follows another undo finds nothing left.
+    order = Window.partitionBy("session_id", "video_id").orderBy("ts", "is_undo", "from_s")
+    before = F.lag(F.struct("is_undo", "decision_id", "from_s")).over(order)
+    found = both.withColumn("_before", before).filter("is_undo = 1 and _before.is_undo = 0")
+    return found.select("session_id", "video_id", "ts", "_before.decision_id", F.col("_before.from_s").alias("target_s"))

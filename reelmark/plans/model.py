@@ -350,6 +350,17 @@ def _(spark, sf):
     return model.select(F.explode(parts).alias("name", "weight"))
 
 
+@query(
+    "training_run",
+    f"""with recursive {SPLIT} select 'run-7' as id, '2024-02-01' as created_at, count(*) as dataset_size, count(*) filter (where s.holdout) as validation_size,
+  'completed' as status from d_example e join side s on e.video_id = s.video_id""",
+    EX,
+)
+def _(spark, sf):
+    model = training.model_artifact(d.examples(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc))
+    return training.training_run(model, "run-7", "2024-02-01").drop("model_id", "metrics")
+
+
 @query("train_pipeline")
 def _(spark, sf):
     model, run = training.train_pipeline(

@@ -136,7 +136,7 @@ def _(spark, sf):
 
 # ---- skips ----------------------------------------------------------------------------
 
-_DECIDED = f"""{detect.SKIP}, offer as (
+_WALKED = f"""{detect.SKIP}, offer as (
   select t.session_id, t.video_id, t.ts, t.pos_s as from_s, s.cand_idx, s.start_s, s.end_s, least(duration_s, end_s + 0.15e0) as to_s
   from d_tick t join skippable s on t.video_id = s.video_id and t.pos_s >= s.start_s and t.pos_s < s.end_s
   where is_playing and least(duration_s, end_s + 0.15e0) - t.pos_s >= 1.25e0
@@ -149,8 +149,8 @@ walk as (
   select w.session_id, o.k, case when free then list_append(ss, o.start_s) else ss end, case when free then list_append(es, o.end_s) else es end, free
   from walk w join ordered o on w.session_id = o.session_id and o.k = w.k + 1,
     lateral (select len(list_filter(range(1, len(ss) + 1), lambda i: o.start_s < es[i] and o.end_s > ss[i])) = 0 as free) f
-)
-select o.session_id, o.video_id, o.cand_idx, o.from_s, {rnd('o.to_s', 6)} as to_s from walk w join ordered o on w.session_id = o.session_id and w.k = o.k where taken"""
+), decided as (select o.* from walk w join ordered o on w.session_id = o.session_id and w.k = o.k where taken)"""
+_DECIDED = f"{_WALKED} select session_id, video_id, cand_idx, from_s, {rnd('to_s', 6)} as to_s from decided"
 _DECIDED_VIEWS = ["d_evidence", "d_tick"]
 
 
@@ -169,12 +169,20 @@ def _(spark, sf):
     return _decisions(spark, sf, playback.skip_decisions(d.ticks(spark, sf), skippable), skippable)
 
 
-@query("undo_targets")
+@query(
+    "undo_targets",
+    f"""{_WALKED}, ev as (
+  select session_id, video_id, ts, 0 as u, from_s from decided union all
+  select session_id, video_id, ts, 1, null from d_tick where not is_playing
+), l as (select *, lag(u) over w as pu, lag(from_s) over w as target_s from ev window w as (partition by session_id, video_id order by ts, u, from_s))
+select session_id, video_id, ts, target_s from l where u = 1 and pu = 0""",
+    _DECIDED_VIEWS,
+)
 def _(spark, sf):
     skippable = settle(detect.skippable(spark, sf))
     decided = settle(playback.skip_decisions(d.ticks(spark, sf), skippable))
     undo = d.ticks(spark, sf).filter("not is_playing").select("session_id", "video_id", "ts")
-    return playback.undo_targets(decided, undo)
+    return playback.undo_targets(decided, undo).drop("decision_id")
 
 
 # ---- streams ----------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions.tables import shared_dir
-from ..operators import admission, dashboard, feedback as fb, status
+from ..operators import admission, dashboard, feedback as fb, status, training
 from ..sources import intake, schemas as S, store
 from ..streaming import jobs
 from . import derived as d
@@ -174,6 +174,35 @@ def _(spark, sf):
     return fb.boundary_examples(*data(spark, sf))
 
 
+CALIBRATED = f"""{BOUNDARY}, keyed_b as (
+  select *, case when coalesce(video_id, '') <> '' then 'video:' || video_id else 'feedback:' || feedback_id end as k from boundary
+  where predicted_start_s >= 0 and corrected_start_s >= 0 and trim(source) <> ''),
+chars as (select k, string_split(k, '') as cs from (select distinct k from keyed_b) x),
+fnv as (
+  select k, cs, cast(0 as bigint) as i, cast(2166136261 as bigint) as h from chars union all
+  select k, cs, i + 1, cast(((xor(h, cast(ascii(cs[i + 1]) as bigint))) * cast(16777619 as hugeint)) % 4294967296 as bigint) from fnv where i < len(cs)),
+side as (select k, h % 5 = 0 as holdout from fnv where i = len(cs)),
+delta as (select unnest([source, '*']) as source, b.k, holdout, corrected_start_s - predicted_start_s as sd, corrected_end_s - predicted_end_s as ed
+  from keyed_b b join side s on b.k = s.k),
+off as (
+  select source, least(30.0e0, greatest(-30.0e0, median(sd) filter (where not holdout))) as so,
+    case when count(ed) filter (where not holdout) >= 5 then least(30.0e0, greatest(-30.0e0, median(ed) filter (where not holdout))) end as eo,
+    count(*) filter (where not holdout) as tr, count(distinct k) filter (where not holdout) as tg, count(*) filter (where holdout) as va,
+    count(distinct k) filter (where holdout) as vg, count(distinct k) as g from delta group by source),
+mae as (
+  select d.source, sum(abs(sd) + coalesce(abs(ed), 0)) / sum(1.0e0 + (ed is not null)::int) as base,
+    sum(abs(so - sd) + coalesce(abs(coalesce(eo, so) - ed), 0)) / sum(1.0e0 + (ed is not null)::int) as cal
+  from delta d join off on d.source = off.source where holdout group by d.source)
+select off.source, {rnd('so', 6)} as start_offset_s, {rnd('eo', 6)} as end_offset_s, tr as training_examples, va as validation_examples, g as video_groups,
+  {rnd('base', 6)} as baseline_mae_s, {rnd('cal', 6)} as calibrated_mae_s
+from off join mae on off.source = mae.source where tr >= 5 and tg >= 3 and va >= 2 and vg >= 2 and cal <= base - 0.25"""
+
+
+@query("calibrate_boundaries", f"with recursive {CALIBRATED}", FR)
+def _(spark, sf):
+    return training.calibrate_boundaries(fb.boundary_examples(*data(spark, sf)))
+
+
 # ---- dashboard -------------------------------------------------------------------
 
 

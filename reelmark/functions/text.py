@@ -155,15 +155,45 @@ def repair_spoken_links(text: Column) -> Column:
     return text
 
 
+# Characters that a URL parser escapes in a path, a query and a fragment.
+PATH_ESCAPES = r"[^\x21-\x7E]|[\"<>^`{}]"
+QUERY_ESCAPES = r"[^\x21-\x7E]|[\"<>']"
+FRAGMENT_ESCAPES = r"[^\x21-\x7E]|[\"<>`]"
+
+
+def _escaped(part: Column, characters: str) -> Column:
+    each = F.transform(F.split(part, ""), lambda c: F.when(c.rlike(characters), F.url_encode(c)).otherwise(c))
+    return F.when(part.rlike(characters), F.array_join(each, "")).otherwise(part)
+
+
+def _without_dots(path: Column) -> Column:
+    """Dot segments folded: ``.`` goes, ``..`` takes the segment before it along."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    one, two = (lambda s: F.lower(s).isin(".", "%2e")), (lambda s: F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"))
+
+    def step(kept: Column, s: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(two(s), up).when(one(s), kept).otherwise(F.array_append(kept, s))
+
+    last = F.element_at(parts, -1)
+    folded = F.aggregate(parts, F.array().cast("array<string>"), step)
+    closed = F.when(one(last) | two(last), F.array_append(folded, F.lit(""))).otherwise(folded)
+    has_dots = path.rlike(r"(?i)/(?:\.|%2e){1,2}(?:/|$)")
+    return F.when(has_dots, F.concat(F.lit("/"), F.array_join(closed, "/"))).otherwise(path)
+
+
 def _canonical_url(link: Column) -> Column:
-    """Lower-case scheme and host, a path of at least ``/``, non-ASCII characters escaped."""
-    host = F.lower(F.regexp_extract(link, "(?i)^https?://[^/?#]*", 0))
-    rest = F.substr(link, F.length(host) + 1)
-    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
-    escaped = F.array_join(
-        F.transform(F.split(rest, ""), lambda c: F.when(c.rlike(r"[^\x21-\x7E]"), F.url_encode(c)).otherwise(c)), ""
+    """As a URL parser writes it: scheme and host in lower case, no default port, a path of at least ``/`` without
+    dot segments, and what the path, the query and the fragment must escape escaped."""
+    origin = F.regexp_extract(link, "(?i)^https?://[^/?#\\\\]*", 0)
+    host = F.regexp_replace(F.lower(origin), "^(https://.*):(?:443)?$|^(http://.*):(?:80)?$", "$1$2")
+    rest = F.substr(link, F.length(origin) + 1)
+    path = F.translate(F.regexp_extract(rest, "^[^?#]*", 0), "\\", "/")
+    query, fragment = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, "(#.*)$", 1)
+    path = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
+    return F.concat(
+        host, bound(path, lambda p: _escaped(_without_dots(p), PATH_ESCAPES)), _escaped(query, QUERY_ESCAPES), _escaped(fragment, FRAGMENT_ESCAPES)
     )
-    return F.concat(host, F.when(rest.rlike(r"[^\x21-\x7E]"), escaped).otherwise(rest))
 
 
 def extract_links(text: Column) -> Column:

@@ -105,7 +105,7 @@ from {documents} d join {labels} l on d.doc_id = l.doc_id""",
        case when page_id % 3 = 0 then 'Use code SAVE' || cast(page_id % 90 as string) || ' at '
             when page_id % 3 = 1 then 'This is not sponsored by anyone, read ' else 'Read ' end
          || url || case when page_id % 5 = 0 then '/offer now' else ' for details.' end as text
-from {pages}""",
+from (select page_id, html, case when page_id % 5 = 1 then replace(url, '/en/', '/en/../e^n/./{{n}}/%2E%2e/') else url end as url from {pages}) p""",
     ),
     "d_tick": (
         ["events"],

@@ -366,11 +366,20 @@ def sql_links(x: str) -> str:
     found = f"list_filter(regexp_extract_all({t}, '{pattern}'), lambda m: not starts_with(m, '@'))"
     bare = f"list_transform({found}, lambda m: regexp_replace(m, '{tx.LINK_TAIL}', ''))"
     full = f"list_transform({bare}, lambda m: case when regexp_matches(m, '(?i)^https?://') then m else 'https://' || m end)"
-    host = "lower(regexp_extract(m, '(?i)^https?://[^/?#]*'))"
-    rest = f"substr(m, length({host}) + 1)"
-    rest = f"case when starts_with({rest}, '/') then {rest} else '/' || {rest} end"
-    esc = f"array_to_string(list_transform(string_split({rest}, ''), lambda c: case when regexp_matches(c, '[^\\x21-\\x7E]') then url_encode(c) else c end), '')"
-    return f"list_transform({full}, lambda m: {host} || {esc})"
+    origin = "regexp_extract(m, '(?i)^https?://[^/?#\\\\]*')"
+    host = f"regexp_replace(regexp_replace(lower({origin}), '^(https://.*):(443)?$', '\\1'), '^(http://.*):(80)?$', '\\1')"
+    rest = f"substr(m, length({origin}) + 1)"
+    raw = f"translate(regexp_extract({rest}, '^[^?#]*'), '\\', '/')"
+    segments = f"string_split(case when starts_with({raw}, '/') then substr({raw}, 2) else {raw} end, '/')"
+    # Folding on the string itself: a double dot cuts the last segment off, a closing dot leaves a slash.
+    folded = (
+        f"list_reduce(list_prepend('', list_concat({segments}, case when regexp_matches(lower({segments}[-1]), '^(\\.|%2e){{1,2}}$') then [''] else [] end)), "
+        "lambda acc, s: case when lower(s) in ('..', '.%2e', '%2e.', '%2e%2e') then regexp_replace(acc, '/[^/]*$', '') when lower(s) in ('.', '%2e') then acc else acc || '/' || s end)"
+    )
+    esc = lambda x, chars: f"array_to_string(list_transform(string_split({x}, ''), lambda c: case when regexp_matches(c, '[^\\x21-\\x7E]|[{chars}]') then url_encode(c) else c end), '')"
+    query, fragment = f"regexp_extract({rest}, '^[^?#]*(\\?[^#]*)', 1)", f"regexp_extract({rest}, '(#.*)$', 1)"
+    whole = f"{host} || {esc(folded, '\"<>^`{}')} || {esc(query, '\"<>' + chr(39) * 2)} || {esc(fragment, '\"<>`')}"
+    return f"list_transform({full}, lambda m: {whole})"
 
 
 @query(

@@ -326,3 +326,19 @@ def test_pool_equals_members(spark):
     long_form = fusion.candidates_of(fusion.candidate_members(df)).select(*cols).collect()
     direct = fusion.candidate_pool(df).select(*cols).collect()
     assert sorted(map(str, direct)) == sorted(map(str, long_form)) and len(direct) > 40
+
+
+def test_links_are_written_as_a_url_parser_writes_them(spark):
+    from reelmark.functions.text import _canonical_url
+
+    cases = {
+        "https://a.example/x/../y/{id}": "https://a.example/y/%7Bid%7D",
+        "HTTPS://A.Example:443": "https://a.example/",
+        "http://a.example:80/./b/..": "http://a.example/",
+        "https://a.example/a/b/..//c/.": "https://a.example/a//c/",
+        "https://a.example/%2E%2e/q?x={y}'#`z": "https://a.example/q?x={y}%27#%60z",
+        "https://a.example?q=../x": "https://a.example/?q=../x",
+        "https://a.example/é^|b\\c": "https://a.example/%C3%A9%5E|b/c",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    assert {r.u: r.c for r in df.select("u", _canonical_url(df.u).alias("c")).collect()} == cases

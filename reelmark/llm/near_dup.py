@@ -9,9 +9,9 @@ similarity. Darts come in rank order within a strip, so only those that count ar
 
 Copies (equal words) fall into one class first. Signatures are cut into bands; classes that share a band meet
 in a bucket. Pairs are never formed within a bucket of one group: each class is held against the first class
-of the bucket, links are verified by exact similarity, connected classes become groups, and from then on a
-class only meets the leaders of *other* groups in its bucket. Buckets of many groups, as a passage common to
-unlike documents makes them, give way to an exact prefix filter over the shingles of their classes.
+of the bucket, links are verified by exact similarity, and connected classes become groups. Classes whose
+bucket holds several groups, as a passage common to unlike documents makes them, go through an exact prefix
+filter over their shingles, in which a class only meets the leaders of *other* groups.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.tables import settle
 from .arrays import MASK, MIX_1, MIX_2, SHINGLE, Words, blocks, mixed, shingles, words
@@ -30,8 +30,6 @@ from .texts import nested, unnested
 SIMILARITY = 0.8
 WIDTH = 5
 COORDINATES, ROWS = 96, 4
-# A bucket of more groups than this is searched by prefixes instead of by leaders.
-FEW_GROUPS = 16
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -179,26 +177,32 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _other_leaders(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members (``bucket, rep, n, label``) and the leaders of other groups in it."""
-    leaders = members.groupBy("bucket", "label").agg(F.min(F.struct("rep", "n")).alias("l")).select(
-        "bucket", F.col("label").alias("l_label"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n")
+    """Pairs of a bucket's members (``bucket, rep, n, at, label``) and the leaders of other groups in it.
+
+    ``at`` is the place of the bucket's shingle in the member's prefix. Two sets of ``n`` and ``m`` shingles need
+    ``t = least / (1 + least) * (n + m)`` in common and so share one of the first ``n - t + 1`` and ``m - t + 1``.
+    """
+    leaders = members.groupBy("bucket", "label").agg(F.min(F.struct("rep", "n", "at")).alias("l")).select(
+        "bucket", F.col("label").alias("l_label"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n"), F.col("l.at").alias("l_at")
     )
-    met = members.join(leaders, "bucket").filter((F.col("label") != F.col("l_label")) & _near_in_length("n", "l_n", least))
+    common = F.ceil((F.col("n") + F.col("l_n")) * F.lit(least / (1 + least)) - 1e-9)
+    reached = (F.col("at") + common <= F.col("n")) & (F.col("l_at") + common <= F.col("l_n"))
+    met = leaders.join(members, "bucket").filter((F.col("label") != F.col("l_label")) & _near_in_length("n", "l_n", least) & reached)
     return met.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
 
 
 def _prefix_buckets(reps: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``bucket, rep``: classes that share a shingle of their prefixes.
+    """``bucket, rep, n, at``: classes that share a shingle of their prefixes, and its place there from 0.
 
     Shingles are ordered by their number of classes, rarest first. Two sets of similarity ``least`` or more share
     one of the first ``n - ceil(least * n) + 1`` of each, so nothing is lost.
     """
-    own = settle(sets.join(reps, "rep", "left_semi").select("rep", F.size("own").alias("n"), F.explode("own").alias("bucket")))
-    df = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    ranked = own.join(df, "bucket").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("order"))
+    own = sets.join(reps, "rep", "left_semi").select("rep", F.size("own").alias("n"), F.explode("own").alias("bucket"))
+    counted = own.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    ranked = counted.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("order"))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
-    prefix = ranked.select("rep", F.explode(F.slice("order", F.lit(1), length)).alias("p"))
-    return prefix.filter("p.df > 1").select(F.col("p.bucket").alias("bucket"), "rep")
+    prefix = ranked.select("rep", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "p"))
+    return prefix.filter("p.df > 1").select(F.col("p.bucket").alias("bucket"), "rep", "n", "at")
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -229,37 +233,20 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         met.filter(F.col("rep") != F.col("first")).filter(_near_in_length("n", "first_n", least))
         .select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     )
-    tested, links = [pairs], [settle(_linked(pairs, sets, least))]
-    while True:
-        labels = connected(_union(links), nodes)
-        members = met.select("bucket", "rep", "n").join(labels.withColumnRenamed("node", "rep"), "rep")
-        groups = members.groupBy("bucket").agg(F.count_distinct("label").alias("groups")).filter("groups > 1")
-        open_ = settle(members.join(groups, "bucket"))
-        few = _other_leaders(open_.filter(F.col("groups") <= FEW_GROUPS).drop("groups"), least)
-        crowded = open_.filter(F.col("groups") > FEW_GROUPS).select("rep").distinct()
-        sized = open_.select("rep", "n", "label").distinct()
-        prefixed = _other_leaders(_prefix_buckets(crowded, sets, least).join(sized, "rep"), least)
-        new = few.union(prefixed).distinct()
-        for old in tested:
-            new = new.join(old, ["a", "b"], "left_anti")
-        new = settle(new)
-        found = settle(_linked(new, sets, least))
-        if not found.count():
-            break
-        tested.append(new)
-        links.append(found)
-    by_rep = labels.withColumnRenamed("node", "copy_id")
-    out = copies.join(by_rep, "copy_id", "left")
+    links = settle(_linked(pairs, sets, least))
+    # Classes whose bucket holds several groups: a link between groups is still possible there. One pass is
+    # enough, as the leader of merged groups has been a leader before.
+    labels = connected(links, nodes).withColumnRenamed("node", "rep")
+    members = met.select("bucket", "rep").join(labels, "rep")
+    mixed_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    open_reps = settle(members.join(mixed_buckets.select("bucket"), "bucket").select("rep").distinct())
+    prefixed = _prefix_buckets(open_reps, sets, least).join(labels, "rep")
+    new = settle(_other_leaders(prefixed, least).join(pairs, ["a", "b"], "left_anti"))
+    labels = connected(links.union(_linked(new, sets, least)), nodes).withColumnRenamed("node", "copy_id")
+    out = copies.join(labels, "copy_id", "left")
     return out.select("doc_id", "copy_id", F.coalesce("label", "copy_id").alias("class_id"))
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out
-
-
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs`` with the smallest id of their class, all columns as they are; rows without id stay."""
     gone = near_duplicates(docs, least).filter("class_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()

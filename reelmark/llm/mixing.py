@@ -58,7 +58,7 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SH
     return levels.select("source", "source_size", F.least("limit", common * F.col("weight")).alias("target"))
 
 
-def dual_rates(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, rounds: int = 60) -> DataFrame:
+def dual_rates(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP, rounds: int = 40) -> DataFrame:
     """``cells`` with ``rate``: the solution of the dual for one or more kinds of groups.
 
     ``cells`` has the group columns, ``size`` and ``n`` documents. ``targets`` gives for each group column a
@@ -68,27 +68,31 @@ def dual_rates(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP
     """
     kinds = list(targets)
     duals = {k: settle(targets[k].select(F.col(k).alias("g"), "target", F.lit(0.0).alias("dual"))) for k in kinds}
+    # Rates depend on the groups only, so steps sum over combinations of groups.
+    sums = settle(cells.groupBy(*kinds).agg(F.sum(F.col("n") * F.col("size")).alias("words")))
 
-    def rated() -> DataFrame:
-        out, total = cells, F.lit(0.0)
+    def rated(rows: DataFrame) -> DataFrame:
+        total = F.lit(0.0)
         for k in kinds:
             d = duals[k].select(F.col("g").alias(f"g_{k}"), F.col("dual").alias(f"dual_{k}"))
-            out = out.join(d, F.col(k).eqNullSafe(F.col(f"g_{k}")), "left").drop(f"g_{k}")
+            rows = rows.join(d, F.col(k).eqNullSafe(F.col(f"g_{k}")), "left").drop(f"g_{k}")
             total = total + F.coalesce(f"dual_{k}", F.lit(0.0))
-        out = out.withColumn("rate", F.least(F.lit(cap), F.exp(total)))
-        return out.drop(*[f"dual_{k}" for k in kinds])
+        rows = rows.withColumn("log_rate", total).withColumn("rate", F.least(F.lit(cap), F.exp("log_rate")))
+        return rows.drop(*[f"dual_{k}" for k in kinds])
 
     for _ in range(rounds):
         worst = 0.0
         for k in kinds:
-            words = F.col("n") * F.col("size")
-            sums = rated().groupBy(F.col(k).alias("sg")).agg(
-                F.sum(words * F.col("rate")).alias("taken"),
-                F.sum(F.when(F.col("rate") < cap, words * F.col("rate"))).alias("slope"),
+            # Where all of a group is beyond the cap, its variable first goes back to where the cap begins.
+            back = F.greatest(F.min("log_rate").over(Window.partitionBy(k)) - math.log(cap), F.lit(0.0))
+            words = F.col("words") * F.col("rate")
+            group = rated(sums).withColumn("back", back).groupBy(F.col(k).alias("sg")).agg(
+                F.max("back").alias("back"), F.sum(words).alias("taken"),
+                F.sum(F.when(F.col("log_rate") - F.col("back") <= math.log(cap) + 1e-12, words)).alias("slope"),
             )
             gap = F.col("target") - F.col("taken")
-            step = F.when(F.col("slope") > 0, F.least(F.lit(1.0), gap / F.col("slope"))).when(gap < 0, F.lit(-1e-3))
-            moved = duals[k].join(sums, F.col("g").eqNullSafe(F.col("sg")), "left").select(
+            step = F.when(F.col("slope") > 0, F.least(F.lit(1.0), gap / F.col("slope")) - F.col("back"))
+            moved = duals[k].join(group, F.col("g").eqNullSafe(F.col("sg")), "left").select(
                 "g", "target", (F.col("dual") + F.coalesce(step, F.lit(0.0))).alias("dual"),
                 F.coalesce(F.abs(gap) / F.greatest("target", F.lit(1.0)), F.lit(0.0)).alias("error"),
             )
@@ -97,7 +101,7 @@ def dual_rates(cells: DataFrame, targets: dict[str, DataFrame], cap: float = CAP
             worst = max(worst, done.agg(F.max("error")).first()[0] or 0.0)
         if worst < 1e-9:
             break
-    return rated()
+    return rated(cells).drop("log_rate")
 
 
 def cell_copies(rated: DataFrame, group: str, targets: DataFrame, cap: float = CAP) -> DataFrame:

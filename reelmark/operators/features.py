@@ -83,11 +83,17 @@ def transcript_context(candidate: DataFrame, cue: DataFrame, window_s: float = C
     return text_in_span(candidate, CAND, cue, start, end, "transcript_context")
 
 
+def _groups(raw: Column) -> Column:
+    """Phrase groups of the evidence of a candidate, an aggregate: one id, an array of ids, or both in a row."""
+    own = F.concat(F.array(raw["phrase_group_id"]), F.coalesce(raw["phrase_group_ids"], F.array().cast("array<string>")))
+    named = F.filter(own, lambda g: F.trim(g) != "")
+    return F.array_distinct(F.flatten(F.collect_set(named)))
+
+
 def phrase_group_ids(member: DataFrame) -> DataFrame:
     """Sorted distinct phrase groups; their number is bounded by the phrase configuration."""
-    group = F.col("raw.phrase_group_id")
     return member.groupBy(*CAND).agg(
-        F.array_sort(F.collect_set(F.when(F.trim(group) != "", group))).alias("phrase_group_ids")
+        F.array_sort(_groups(F.col("raw"))).alias("phrase_group_ids")
     )
 
 
@@ -170,7 +176,6 @@ def candidate_features(
     for e in (raw["start_x"], raw["end_x"], raw["y"], raw["rows"]):
         barred = barred & is_finite(e)
     barred = F.coalesce(barred, F.lit(False))
-    group = raw["phrase_group_id"]
     aggs = [
         F.count(F.lit(1)).cast("double").alias("evidenceTotal"),
         n((src == TRANSCRIPT) & (kind == START)).alias("transcriptStartCount"),
@@ -188,7 +193,7 @@ def candidate_features(
         mean(raw["y"], barred).alias("avgProgressBarY"),
         mean(raw["rows"], barred).alias("avgProgressBarRows"),
         js_round(F.max("start_s") - F.min("start_s"), 6).alias("evidenceTimeSpanSeconds"),
-        F.count_distinct(F.when(F.trim(group) != "", group)).cast("double").alias("matchedPhraseGroupCount"),
+        F.size(_groups(raw)).cast("double").alias("matchedPhraseGroupCount"),
         F.bool_or(
             (kind == END)
             & F.when(F.col("_end").isNotNull(), F.abs(F.col("start_s") - F.col("_end")) <= NEAR_END_S).otherwise(

@@ -59,7 +59,7 @@ def fingerprint(source: Column, raw: Column) -> Column:
     return (
         F.when(source == QR_CODE, F.concat(F.lit("qr:"), F.coalesce(_tag(raw["value"]), F.lit("detected"))))
         .when(source == PROGRESS_BAR, F.when(raw.isNull(), F.lit("progress")).otherwise(bar))
-        .when(source == VISIBLE_LINK, F.concat(F.lit("link:"), F.coalesce(_tag(raw["text"]), F.lit("visible"))))
+        .when(source == VISIBLE_LINK, F.concat(F.lit("link:"), F.coalesce(*[_tag(raw[n]) for n in ("text", "href", "url")], F.lit("visible"))))
         .otherwise(source)
     )
 

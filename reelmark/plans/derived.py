@@ -31,10 +31,12 @@ from {conversations}""",
        0.3e0 + (event_id % 60) / 100.0e0 as confidence,
        'observed ' || event_type as reason,
        case when event_type = 'error' then 'code-' || cast(event_id % 3 as string) end as raw_value,
-       case when event_type = 'click' then 'Link ' || cast(event_id % 5 as string) end as raw_text,
+       case when event_type = 'click' and event_id % 6 <> 1 then 'Link ' || cast(event_id % 5 as string) end as raw_text,
+       case when event_type = 'click' and event_id % 6 = 1 then 'Link ' || cast(event_id % 5 as string) end as raw_href,
        case when event_type in ('click', 'error') and event_id % 4 = 0 then 'sponsor-cta' end as raw_signal,
        case when event_type = 'click' and event_id % 3 = 0 then 'transcript' end as raw_detector,
-       case when event_type in ('signup', 'purchase') then 'group-' || cast(event_id % 4 as string) end as raw_group,
+       case when event_type in ('signup', 'purchase') then 'group-' || cast(event_id % 4 as string)
+            || case when event_id % 5 = 0 then ',extra-' || cast(event_id % 3 as string) else '' end end as raw_group,
        case when event_type = 'error' and event_id % 2 = 0 then cast(event_id % 300 as double) end as box_x,
        case when event_type = 'error' and event_id % 2 = 0 then cast(event_id % 200 as double) end as box_y,
        case when event_type = 'view' then cast(180 + event_id % 5 as double) end as bar_y,
@@ -172,12 +174,16 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     bar = F.col("bar_y").isNotNull()
+    groups = F.split("raw_group", ",")
     raw = S.raw(
         value=F.col("raw_value"),
         text=F.col("raw_text"),
         signal=F.col("raw_signal"),
         detector=F.col("raw_detector"),
-        phrase_group_id=F.col("raw_group"),
+        href=F.when(F.col("ev_idx") % 12 == 1, F.col("raw_href")),
+        url=F.when(F.col("ev_idx") % 12 != 1, F.col("raw_href")),
+        phrase_group_id=F.get(groups, F.lit(0)),
+        phrase_group_ids=F.when(F.size(groups) > 1, F.slice(groups, 2, 9)),
         location=box,
         y=F.col("bar_y"),
         start_x=F.col("bar_start"),

@@ -82,11 +82,14 @@ HITS = f"""phrase as (
   qualify row_number() over (partition by video_id, cue_idx order by ord, position) = 1
 )"""
 
+# All phrase groups of a candidate: a row names one or several.
+GROUPS = "list_distinct(flatten(list(string_split(raw_group, ',')) filter (where raw_group is not null)))"
+
 # Recursive fixed-anchor clusters; positions are whole seconds, so "more than 6" is "7 or more".
 ITEMS = """frame as (
   select *, case source
       when 'frame-qr-code' then 'qr:' || lower(raw_value)
-      when 'frame-visible-link' then 'link:' || lower(raw_text)
+      when 'frame-visible-link' then 'link:' || lower(coalesce(raw_text, raw_href))
       else 'progress:' || cast(floor(bar_start / 4 + 0.5) * 4 as bigint) || ':' || cast(floor(bar_y / 4 + 0.5) * 4 as bigint)
            || ':' || cast(floor((bar_end - bar_start + 1) / (801 - bar_start) + 0.5) as bigint) end as fp
   from d_evidence where source <> 'transcript'
@@ -214,7 +217,7 @@ def features_cte(text_hits: str = "0.0e0", cta_hits: str = "0.0e0") -> str:
         "hasQrAndVisibleLink": flag(f"{has['Qr']} and {has['VisibleLink']}"),
         "isFrameOnly": flag(f"not {has['Transcript']}"),
         "isTranscriptOnly": flag("count(case when m.source = 'transcript' then 1 end) = count(*)"),
-        "matchedPhraseGroupCount": "cast(count(distinct raw_group) as double)",
+        "matchedPhraseGroupCount": f"cast(coalesce(len({GROUPS}), 0) as double)",
         "sponsorPhraseHitCount": text_hits,
         "callToActionPhraseHitCount": cta_hits,
         "nearbyEndCue": "case when bool_or(kind = 'ad-read-end' and case when c.end_s is not null then abs(m.start_s - c.end_s) <= 10 "
@@ -625,7 +628,7 @@ def _(spark, sf):
 
 @query(
     "phrase_group_ids",
-    f"{FUSED} select video_id, cand_idx, coalesce(string_agg(distinct raw_group, ',' order by raw_group), '') as groups from member group by all",
+    f"{FUSED} select video_id, cand_idx, coalesce(array_to_string(list_sort({GROUPS}), ','), '') as groups from member group by all",
     EV,
 )
 def _(spark, sf):

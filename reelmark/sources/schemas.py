@@ -19,8 +19,11 @@ _POINT = "struct<x:double,y:double>"
 LOCATION = f"struct<top_left:{_POINT},bottom_right:{_POINT}>"
 RAW_FIELDS = {
     "text": "string",
+    "href": "string",
+    "url": "string",
     "phrase": "string",
     "phrase_group_id": "string",
+    "phrase_group_ids": "array<string>",
     "context_text": "string",
     "links": "array<string>",
     "value": "string",

@@ -11,7 +11,8 @@ Copies (equal words) fall into one class first. Signatures are cut into bands; c
 in a bucket. Pairs are never formed within a bucket of one group: each class is held against the first class
 of the bucket, links are verified by exact similarity, and connected classes become groups. Classes whose
 bucket holds several groups, as a passage common to unlike documents makes them, go through an exact prefix
-filter over their shingles, in which a class only meets the leaders of *other* groups.
+filter over their shingles: first against the first class of each prefix bucket, then all pairs of members of
+groups that are still different, so no link between two groups is lost there.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .texts import nested, unnested
 SIMILARITY = 0.8
 WIDTH = 5
 COORDINATES, ROWS = 96, 4
+# Groups of a bucket that meet in one cell, from each side.
+BLOCK = 256
 
 
 def _unit(h: np.ndarray) -> np.ndarray:
@@ -176,19 +179,69 @@ def _linked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return joined.filter(both >= (F.size("own_a") + F.size("own_b") - both) * F.lit(least) - 1e-9).select("a", "b")
 
 
-def _other_leaders(members: DataFrame, least: float) -> DataFrame:
-    """Pairs of a bucket's members (``bucket, rep, n, at, label``) and the leaders of other groups in it.
+def _room(n: str, at: str, least: float) -> Column:
+    """What is left of a class's shingles from place ``at`` on, less its part of what a pair must have in common.
 
-    ``at`` is the place of the bucket's shingle in the member's prefix. Two sets of ``n`` and ``m`` shingles need
-    ``t = least / (1 + least) * (n + m)`` in common and so share one of the first ``n - t + 1`` and ``m - t + 1``.
+    ``at`` is the place of the bucket's shingle in the class's prefix. Two sets of ``n`` and ``m`` shingles need
+    ``t = least / (1 + least) * (n + m)`` in common, so their first common shingle has ``at + t <= n`` in each.
     """
-    leaders = members.groupBy("bucket", "label").agg(F.min(F.struct("rep", "n", "at")).alias("l")).select(
-        "bucket", F.col("label").alias("l_label"), F.col("l.rep").alias("l_rep"), F.col("l.n").alias("l_n"), F.col("l.at").alias("l_at")
+    return F.col(n) - F.col(at) - F.col(n) * F.lit(least / (1 + least))
+
+
+def _pair_bounds(least: float) -> Column:
+    share = F.lit(least / (1 + least))
+    fits = (F.col("r_n") * share <= _room("l_n", "l_at", least) + 1e-6) & (F.col("l_n") * share <= _room("r_n", "r_at", least) + 1e-6)
+    return fits & _near_in_length("l_n", "r_n", least)
+
+
+def _ordered(met: DataFrame) -> DataFrame:
+    return met.select(F.least("l_rep", "r_rep").alias("a"), F.greatest("l_rep", "r_rep").alias("b")).distinct()
+
+
+def _side(members: DataFrame, side: str) -> DataFrame:
+    return members.select("bucket", *[F.col(c).alias(f"{side}_{c}") for c in ("label", "rep", "n", "at")])
+
+
+def _in_mixed_buckets(members: DataFrame) -> DataFrame:
+    """The members of buckets that hold several groups."""
+    mixed_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    return members.join(mixed_buckets.select("bucket"), "bucket")
+
+
+def _with_first(members: DataFrame, least: float) -> DataFrame:
+    """Pairs of a bucket's first class and the bucket's members of other groups: one for each member at most."""
+    first = members.groupBy("bucket").agg(F.min(F.struct("rep", "label", "n", "at")).alias("l"))
+    first = first.select("bucket", *[F.col(f"l.{c}").alias(f"l_{c}") for c in ("rep", "label", "n", "at")])
+    met = first.join(_side(members, "r"), "bucket")
+    return _ordered(met.filter((F.col("l_label") != F.col("r_label")) & _pair_bounds(least)))
+
+
+def _between_groups(members: DataFrame, least: float) -> DataFrame:
+    """All pairs of members (``bucket, rep, n, at, label``) of different groups of a bucket that the bounds allow.
+
+    Groups meet first, each two of a bucket once, so pairs within a group are never formed. A bucket of many groups
+    is dealt in cells of two blocks of its groups. Groups that no pair of members can link do not meet.
+    """
+    share = F.lit(least / (1 + least))
+    groups = members.groupBy("bucket", "label").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max(_room("n", "at", least)).alias("room")
     )
-    common = F.ceil((F.col("n") + F.col("l_n")) * F.lit(least / (1 + least)) - 1e-9)
-    reached = (F.col("at") + common <= F.col("n")) & (F.col("l_at") + common <= F.col("l_n"))
-    met = leaders.join(members, "bucket").filter((F.col("label") != F.col("l_label")) & _near_in_length("n", "l_n", least) & reached)
-    return met.select(F.least("rep", "l_rep").alias("a"), F.greatest("rep", "l_rep").alias("b")).distinct()
+    parts = groups.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("parts"))
+    own = settle(groups.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("label"), F.col("parts")).cast("int")))
+
+    def dealt(side: str, start: Column, stop: Column) -> DataFrame:
+        named = [F.col(c).alias(f"{side}_{c}") for c in ("label", "low", "high", "room", "part")]
+        return own.select("bucket", *named, F.explode(F.sequence(start, stop)).alias("other"))
+
+    # The block of the left group is never after that of the right one.
+    left = dealt("l", F.col("part"), F.col("parts") - 1).withColumnRenamed("other", "r_part")
+    right = dealt("r", F.lit(0), F.col("part")).withColumnRenamed("other", "l_part")
+    near = (F.col("l_high") >= F.col("r_low") * F.lit(least) - 1e-6) & (F.col("r_high") >= F.col("l_low") * F.lit(least) - 1e-6)
+    fits = (F.col("r_low") * share <= F.col("l_room") + 1e-6) & (F.col("l_low") * share <= F.col("r_room") + 1e-6)
+    once = (F.col("l_part") < F.col("r_part")) | (F.col("l_label") < F.col("r_label"))
+    two = left.join(right, ["bucket", "l_part", "r_part"]).filter(once & near & fits).select("bucket", "l_label", "r_label")
+    met = two.join(_side(members, "l"), ["bucket", "l_label"]).join(_side(members, "r"), ["bucket", "r_label"])
+    return _ordered(met.filter(_pair_bounds(least)))
 
 
 def _prefix_buckets(reps: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -234,14 +287,17 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         .select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     )
     links = settle(_linked(pairs, sets, least))
-    # Classes whose bucket holds several groups: a link between groups is still possible there. One pass is
-    # enough, as the leader of merged groups has been a leader before.
+    # Classes whose bucket holds several groups: a link between groups is still possible there. Their prefix buckets'
+    # first classes link most of them; what then are still different groups is held against each other whole.
     labels = connected(links, nodes).withColumnRenamed("node", "rep")
-    members = met.select("bucket", "rep").join(labels, "rep")
-    mixed_buckets = members.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    open_reps = settle(members.join(mixed_buckets.select("bucket"), "bucket").select("rep").distinct())
-    prefixed = _prefix_buckets(open_reps, sets, least).join(labels, "rep")
-    new = settle(_other_leaders(prefixed, least).join(pairs, ["a", "b"], "left_anti"))
+    open_reps = settle(_in_mixed_buckets(met.select("bucket", "rep").join(labels, "rep")).select("rep").distinct())
+    prefixed = settle(_prefix_buckets(open_reps, sets, least))
+    first = settle(_with_first(_in_mixed_buckets(prefixed.join(labels, "rep")), least).join(pairs, ["a", "b"], "left_anti"))
+    links = settle(links.union(_linked(first, sets, least)))
+    labels = connected(links, nodes).withColumnRenamed("node", "rep")
+    members = settle(_in_mixed_buckets(prefixed.join(labels, "rep")))
+    tested = pairs.union(first)
+    new = settle(_between_groups(members, least).join(tested, ["a", "b"], "left_anti"))
     labels = connected(links.union(_linked(new, sets, least)), nodes).withColumnRenamed("node", "copy_id")
     out = copies.join(labels, "copy_id", "left")
     return out.select("doc_id", "copy_id", F.coalesce("label", "copy_id").alias("class_id"))

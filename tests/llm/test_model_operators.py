@@ -127,6 +127,38 @@ def test_groups_equal_brute_force(spark):
     assert got == groups_brute(rows)
 
 
+def test_groups_linked_by_two_members_that_lead_nothing(spark):
+    """Groups A and B are linked by a and b only; other members of each have smaller ids in all buckets of the two."""
+    rng, rows = random.Random(7), []
+    for k in range(10):
+        core, own_a, own_b = ([f"{x}{k}v{rng.randrange(10**6)}" for _ in range(n)] for x, n in (("c", 95), ("a", 8), ("b", 8)))
+        cut = lambda i, own: " ".join(core[:i] + core[i + 10 :] + own)  # noqa: E731, B023
+        members = [cut(0, own_a), cut(85, own_a), cut(20, own_b), cut(60, own_b), " ".join(core + own_a), " ".join(core + own_b)]
+        rows += [(10 * k + i, t) for i, t in enumerate(members)]
+        sets = [sets_of(t) for t in members]
+        linked = {(i, j) for j in range(6) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+        assert linked == {(0, 4), (1, 4), (2, 5), (3, 5), (4, 5)}
+    want = {i: i // 10 * 10 for i, _ in rows}
+    assert groups_brute(rows) == want
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == want
+
+
+def test_pairs_between_groups_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(8)
+    rows = {(rng.randrange(3), i): (rng.randint(20, 30), rng.randrange(6), i % 17) for i in range(90)}
+    members = spark.createDataFrame([(b, r, *v) for (b, r), v in rows.items()], "bucket long, rep long, n int, at int, label long")
+    need = set()
+    for (b, x), (n, at, label) in rows.items():
+        for (c, y), (m, at_y, label_y) in rows.items():
+            t = 0.8 / 1.8 * (n + m) - 1e-9
+            if b == c and x < y and label != label_y and at + t <= n and at_y + t <= m and min(n, m) >= 0.8 * max(n, m) - 1e-9:
+                need.add((x, y))
+    found = near_dup._between_groups(members, 0.8).collect()
+    assert {(r.a, r.b) for r in found} == need and len(found) == len(need) > 100
+
+
 def test_prefix_buckets_lose_no_pair(spark):
     rng = random.Random(6)
     base = [prose(rng, 40, 30).split() for _ in range(6)]

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.tables import settle
 from .arrays import MASK, MIX_1, MIX_2, SHINGLE, Words, blocks, mixed, shingles, words
@@ -251,7 +251,9 @@ def _prefix_buckets(reps: DataFrame, sets: DataFrame, least: float) -> DataFrame
     one of the first ``n - ceil(least * n) + 1`` of each, so nothing is lost.
     """
     own = sets.join(reps, "rep", "left_semi").select("rep", F.size("own").alias("n"), F.explode("own").alias("bucket"))
-    counted = own.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    # Counted before the shuffle, and joined back: a window would put all classes of a frequent shingle into one task.
+    several = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    counted = own.join(several, "bucket", "left").withColumn("df", F.coalesce("df", F.lit(1)))
     ranked = counted.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "bucket"))).alias("order"))
     length = (F.col("n") - F.ceil(F.col("n") * F.lit(least) - 1e-9) + 1).cast("int")
     prefix = ranked.select("rep", "n", F.posexplode(F.slice("order", F.lit(1), length)).alias("at", "p"))

@@ -176,6 +176,14 @@ def test_prefix_buckets_lose_no_pair(spark):
     assert need and need <= met
 
 
+def test_shingles_are_counted_before_the_shuffle(spark):
+    sets = spark.createDataFrame([(i, [1, 2, 10 + i]) for i in range(9)], "rep long, own array<long>")
+    found = near_dup._prefix_buckets(sets.select("rep"), sets, 0.6)
+    assert {(r.bucket, r.rep, r.at) for r in found.collect()} == {(1, i, 1) for i in range(9)}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_count" in plan
+
+
 def hash_of(shingle):
     return int.from_bytes(str(shingle).encode()[-7:], "big")
 

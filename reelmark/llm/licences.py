@@ -2,8 +2,10 @@
 
 Vectors are sparse: one place for each term of the templates and one for all other words, which have the
 weight of a word never seen elsewhere. Inverse document frequencies come from all lines of the corpus. A
-file's own license is the template closest to any of its lines (a header); a file that as a whole is close
-to a template is a licence file and covers its directory. Files without an own license take that of the nearest
+file's own license is the template closest to any of its lines, or to any stretch of as many terms as the template
+has, wherever lines break (a header); a file that as a whole is close to a template is a licence file and covers its
+directory. Where a sentence ends inside a template, a stretch may hold a few words more, as the holder's name in
+"Copyright 2024 Example Inc. All rights reserved." Files without an own license take that of the nearest
 ancestor directory with one, found by joins of directory paths.
 """
 
@@ -40,6 +42,8 @@ TEMPLATES = (
     ("Proprietary", "Copyright. All rights reserved."),
 )
 HEADER, FILE = 0.75, 0.5
+# Words (year, name of the holder) that may stand where a sentence ends inside a template.
+HOLDER = 12
 
 _LETTER = np.zeros(256, bool)
 _LETTER[48:58] = _LETTER[65:91] = _LETTER[97:123] = True
@@ -73,6 +77,12 @@ class Space:
         self.names = [name for name, _ in templates]
         found = [terms(b)[1] for _, text in templates for b in blocks(pa.array([text]))]
         self.vocabulary = np.unique(np.concatenate(found))
+        # Numbers of terms of each template before and after the end of a sentence inside it; else all, and none.
+        self.parts = []
+        for (_, text), h in zip(templates, found, strict=True):
+            first, _, rest = text.partition(". ")
+            before = sum(len(terms(b)[1]) for b in blocks(pa.array([first]))) if rest else len(h)
+            self.parts.append((before, len(h) - before))
         self.counts = np.stack([np.bincount(self.place(h), minlength=len(self.vocabulary)) for h in found]).astype(float)
 
     def place(self, h: np.ndarray) -> np.ndarray:
@@ -96,6 +106,37 @@ class Space:
         norm = np.linalg.norm(tf, axis=1)
         return tf[:, :v] @ self.unit.T / np.maximum(norm, 1e-300)[:, None]
 
+    def stretches(self, doc: np.ndarray, place: np.ndarray, n: int, least: float) -> np.ndarray:
+        """(n, templates) highest cosines, from ``least`` on, of stretches of a document's terms with each template.
+
+        A stretch has as many terms as the template, its second part up to ``HOLDER`` terms after the first. Repeats
+        of a term only make a stretch longer, so running sums bound its cosine; what passes is scored exactly.
+        """
+        v, m = len(self.vocabulary), len(place)
+        out = np.zeros((n, len(self.names)))
+        size = np.r_[self.idf, self.other] ** 2
+        known = np.r_[0, np.cumsum(place < v)]
+        sums = np.r_[0.0, np.cumsum(size[place])]
+        for t, (a, b) in enumerate(self.parts):
+            dots = np.r_[0.0, np.cumsum(np.r_[self.unit[t] * self.idf, 0.0][place])]
+            for gap in range(HOLDER + 1 if b else 1):
+                if m < a + gap + b:
+                    break
+                at = np.arange(m - a - gap - b + 1)
+                # A stretch of other words alone has nothing of a template.
+                at = at[known[at + a] > known[at]]
+                at = at[doc[at] == doc[at + a + gap + b - 1]]
+                second = at + a + gap
+                dot = dots[at + a] - dots[at] + dots[second + b] - dots[second]
+                norm = sums[at + a] - sums[at] + sums[second + b] - sums[second]
+                at = at[dot >= (least - 1e-6) * np.sqrt(norm)]
+                own = np.r_[np.arange(a), np.arange(a + gap, a + gap + b)]
+                for k in range(0, len(at), 1 << 13):
+                    some = at[k : k + (1 << 13)]
+                    cosines = self.cosines(np.repeat(np.arange(len(some)), a + b), place[some[:, None] + own].ravel(), len(some))
+                    np.maximum.at(out[:, t], doc[some], cosines[:, t])
+        return out
+
 
 def line_frequencies(files: DataFrame, space: Space) -> tuple[np.ndarray, int]:
     """Lines that hold each term of the vocabulary, and all lines. The driver reads one row for each term."""
@@ -121,7 +162,7 @@ def line_frequencies(files: DataFrame, space: Space) -> tuple[np.ndarray, int]:
 
 
 def own_licences(files: DataFrame, space: Space | None = None) -> DataFrame:
-    """``path, header, header_score, file, file_score``: the closest templates of any line and of the whole text."""
+    """``path, header, header_score, file, file_score``: the closest templates of any line or stretch and of the whole text."""
     space = space or Space()
     space.weigh(*line_frequencies(files, space))
     names = np.array([*space.names, None], dtype=object)
@@ -148,7 +189,9 @@ def own_licences(files: DataFrame, space: Space | None = None) -> DataFrame:
                 line_doc = doc[first[lines[near] - 1]] if len(first) else np.zeros(0, int)
                 header = np.zeros((b.n, len(space.names)))
                 np.maximum.at(header, line_doc, by_line)
-                whole = space.cosines(line_documents(line, first, doc), place, b.n)
+                term_doc = line_documents(line, first, doc)
+                header = np.maximum(header, space.stretches(term_doc, place, b.n, HEADER))
+                whole = space.cosines(term_doc, place, b.n)
                 cols = [batch.column("path").slice(b.first, b.n), *best(header, HEADER), *best(whole, FILE)]
                 yield pa.RecordBatch.from_arrays(cols, names=["path", "header", "header_score", "file", "file_score"])
 

@@ -380,6 +380,50 @@ def test_scan_equals_brute_force(spark):
     assert {"file", "header", "inherited"} <= {h for _, h in got.values()}
 
 
+def test_headers_are_found_inside_lines_and_across_them(spark):
+    rng = random.Random(15)
+    body = "\n".join(prose(rng, 12) for _ in range(20))
+    long = dict(licences.TEMPLATES[::-1])
+    heads = {
+        "Apache-2.0": ["# Copyright 2024 Example Inc. Licensed under the Apache License, Version 2.0.", "// Licensed under the\n// Apache License,\n// Version 2.0."],
+        "MIT": ["// Copyright (c) 2024 Jane Doe. Released under the MIT License.", "Parser for tables. Released under the MIT License.", long["MIT"].replace(" ", "\n * ")],
+        "BSD-3-Clause": ["Use of this source code is governed\n# by a BSD-style license that can be\n# found in the LICENSE file."],
+        "Proprietary": ["Copyright 2024 Example Inc. All rights reserved.", "Copyright (c) 2019-2024 Jane Doe and\nothers. All rights reserved. See below."],
+        None: ["It was released under the bridge, in version 2.0 of the tale.", "copyright " + "x " * 20 + "all", "All rights"],
+    }
+    files = [(f"d{i}{k}/f", f"{t}\n{body}", name) for i, (name, ts) in enumerate(heads.items()) for k, t in enumerate(ts)]
+    # A stretch does not cross two files.
+    files += [("e/a", body + "\nCopyright. All", None), ("e/b", "rights reserved.\n" + body, None)]
+    df = spark.createDataFrame([(p, t) for p, t, _ in files], "path string, text string").coalesce(1)
+    got = {r.path: (r.license, r.how) for r in licences.scan(df).collect()}
+    assert got == {p: (name, "header" if name else "none") for p, _, name in files}
+
+
+def test_stretches_equal_brute_force():
+    rng = np.random.default_rng(16)
+    space = licences.Space()
+    v = len(space.vocabulary)
+    space.weigh(rng.integers(1, 900, v).astype(float), 1000)
+    doc = np.sort(rng.integers(0, 12, 1500))
+    place = rng.integers(0, v + 1, 1500)
+    text = [space.place(licences.terms(b)[1]) for _, t in licences.TEMPLATES for b in arrays.blocks(pa.array([t]))]
+    for t in text * 3:
+        at = rng.integers(0, 1500 - len(t))
+        place[at : at + len(t)] = np.where(rng.random(len(t)) < 0.15, v, t)
+    want = np.zeros((12, len(text)))
+    for t, (a, b) in enumerate(space.parts):
+        assert a + b == len(text[t]) and (a, b) == ((1, 3) if space.names[t] == "Proprietary" else (a, 0))
+        for gap in range(licences.HOLDER + 1 if b else 1):
+            for i in range(1500 - a - gap - b + 1):
+                if doc[i] == doc[i + a + gap + b - 1]:
+                    own = np.r_[place[i : i + a], place[i + a + gap : i + a + gap + b]]
+                    cos = space.cosines(np.zeros(len(own), int), own, 1)[0, t]
+                    if cos >= licences.HEADER:
+                        want[doc[i], t] = max(want[doc[i], t], cos)
+    found = space.stretches(doc, place, 12, licences.HEADER)
+    assert np.allclose(np.where(found >= licences.HEADER, found, 0), want) and (want > 0).sum() > 20
+
+
 def test_licences_take_awkward_tables(spark):
     df = awkward(spark).withColumn("path", F.col("doc_id").cast("string"))
     out = licences.scan(df)

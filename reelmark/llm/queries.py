@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, licences, line_dedup, mixing, near_dup, pii, quality_model, quality_rules, suffix_dedup, url_filter
+from . import (
+    alignment, decontamination, licences, line_dedup, mixing, near_dup, pii, quality_model, quality_rules, simhash, spelling, suffix_dedup,
+    url_filter,
+)
 
 QUERIES = {
     "op1_pii": pii.op1,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8,
     "op9_quality_model": quality_model.op9,
     "op10_suffix_dedup": suffix_dedup.op10,
+    "op11_simhash": simhash.op11,
+    "op12_spelling": spelling.op12,
+    "op13_alignment": alignment.op13,
 }
 
 ORACLES = {

@@ -10,6 +10,8 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
 
 from reelmark.llm import alignment, simhash, spelling
 
@@ -216,11 +218,21 @@ def test_suffix_order_and_stretches(monkeypatch):
 
 def aligned_brute(rows):
     """Whole texts through both tokenizers, every pair of overlapping tokens."""
-    both = alignment.Tokenizers(*[open(f"{alignment.FOLDER}/{f}", "rb").read() for f in (alignment.A_FILE, alignment.B_FILE)])
+    a_model = Tokenizer.from_file(f"{alignment.FOLDER}/{alignment.A_FILE}")
+    a_model.encode_special_tokens = True
+    b_model = SentencePieceProcessor(model_file=f"{alignment.FOLDER}/{alignment.B_FILE}")
+    letters = alignment.byte_letters()
+
+    def b_token(i):
+        piece = b_model.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if b_model.is_byte(i) else piece.replace("▁", " ").encode()
+
     per_doc, counts = [], Counter()
     for i, text in rows:
-        a, a_bytes = both.of_a(" " + text) if text else ([], [])
-        b, b_bytes = both.of_b(text) if text else ([], [])
+        a = a_model.encode(" " + text, add_special_tokens=False).ids if text else []
+        b = b_model.encode(text) if text else []
+        a_bytes = [bytes(letters[c] for c in a_model.id_to_token(x)) for x in a]
+        b_bytes = [b_token(x) for x in b]
         raw = (" " + text).encode() if text else b""
         if not text or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
             per_doc.append((i, 0, 0, 0, [], ""))
@@ -269,3 +281,14 @@ def test_alignment_of_awkward_rows_and_no_rows(spark):
     got = alignment.aligned(with_clashing_columns(spark, rows, ["run", "radix", "pair", "n_a", "place"]))
     assert Counter(map(tuple, got.collect())) == aligned_brute(rows)
     assert alignment.aligned(docs_of(spark, [])).count() == 0
+
+
+def test_texts_in_parts_have_the_tokens_of_whole_texts(monkeypatch):
+    both = alignment.Tokenizers(*[open(f"{alignment.FOLDER}/{f}", "rb").read() for f in (alignment.A_FILE, alignment.B_FILE)])
+    rng = random.Random(2)
+    pieces = ["the", " ", "  ", "\n", " \n ", "\u3000", "x, y", "'s", " été", "日本 語", "<0x0A>", "\x1c "]
+    texts = ["".join(rng.choices(pieces, k=rng.randint(1, 60))) for _ in range(300)]
+    whole = [both.ids(t) for t in texts]
+    monkeypatch.setattr(alignment, "PART", 3)
+    assert [both.ids(t) for t in texts] == whole
+    assert any(len(list(alignment.parts_of(" " + t))) > 3 for t in texts)

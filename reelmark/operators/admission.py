@@ -50,7 +50,7 @@ def request_admission(request: DataFrame, limit: int = MAX_REQUESTS, window_s: f
         "client_key", "request_id", F.col("asked_at").cast("timestamp").cast("double").alias("start_s")
     )
     opened = fusion.cluster_anchors(
-        timed.select("client_key", "start_s").distinct(), ["client_key"], window_s, True, 4 * window_s
+        timed.select("client_key", "start_s").distinct(), ["client_key"], window_s, True
     )
     w = Window.partitionBy("client_key", "anchor_s").orderBy("start_s", "request_id")
     ranked = timed.join(opened, ["client_key", "start_s"]).withColumn("rank", F.row_number().over(w))

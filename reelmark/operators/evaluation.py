@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import intervals, ordered
+from ..functions import intervals
 from ..functions.tables import settle
 from ..functions.numbers import fixed_text, is_finite, js_round, ratio
 from . import fusion, links, transcript
@@ -90,22 +90,17 @@ def pair_segments(
 
 
 def match_segments(pairs: DataFrame) -> DataFrame:
-    """Greedy one-to-one matching, best pairs first.
+    """Greedy one-to-one matching, best pairs first, in rounds.
 
-    Pairs only compete when they share a segment, and then their hulls overlap. So each case
-    is cut where no hull crosses, and every piece is matched on its own.
+    A pair that is the best of both its segments is matched whatever happens elsewhere, so a round takes all such
+    pairs at once, and pairs that share a segment with them drop out. Best pairs are aggregates, reduced before the
+    shuffle, so a case or a segment with very many pairs stays spread over tasks. The best pair of all always
+    qualifies; rounds end when no pair is left, after as many as the longest chain of ever better rivals.
     """
-    hull = settle(pairs).withColumn("hull_s", F.least("exp_s", "det_s")).withColumn(
-        "hull_e", F.greatest("exp_e", F.coalesce("det_e", "det_s"))
-    )
-    order = ["hull_s", "exp_idx", "cand_idx"]
-    block = F.floor(F.col("hull_s") / CELL_S)
-    reach = ordered.scan_before(hull, ["case_id"], order, block, [ordered.Scan("reach", "max", F.col("hull_e"))])
-    opens = F.col("reach").isNull() | (F.col("hull_s") > F.col("reach"))
-    cut = ordered.islands(reach, ["case_id"], order, block, opens, F.struct(*order), "piece")
-    ranked = F.struct(
+    exp, cand = ["case_id", "exp_idx"], ["case_id", "cand_idx"]
+    rank = F.struct(
         (-F.col("score")).alias("o1"),
-        F.col("start_error").alias("o2"),
+        F.col("start_error").alias("start_error"),
         F.coalesce("end_error", F.lit(float("inf"))).alias("o3"),
         F.col("exp_idx").alias("exp_idx"),
         F.col("det_s").alias("o5"),
@@ -113,42 +108,24 @@ def match_segments(pairs: DataFrame) -> DataFrame:
         F.col("iou").alias("iou"),
         F.col("end_error").alias("end_error"),
     )
-    item = "struct<exp_idx:bigint,cand_idx:bigint,iou:double,start_error:double,end_error:double>"
-    state = f"struct<e:array<bigint>,d:array<bigint>,out:array<{item}>>"
-
-    def step(acc: Column, p: Column) -> Column:
-        exp, cand = p["exp_idx"].cast("bigint"), p["cand_idx"].cast("bigint")
-        taken = F.array_contains(acc["e"], exp) | F.array_contains(acc["d"], cand)
-        pair = F.struct(
-            exp.alias("exp_idx"), cand.alias("cand_idx"), p["iou"].alias("iou"),
-            p["o2"].alias("start_error"), p["end_error"].alias("end_error"),
-        )
-        grown = F.struct(
-            F.array_append(acc["e"], exp).alias("e"),
-            F.array_append(acc["d"], cand).alias("d"),
-            F.array_append(acc["out"], pair).alias("out"),
-        ).cast(state)
-        return F.when(taken, acc).otherwise(grown)
-
-    empty = F.struct(
-        F.array().cast("array<bigint>").alias("e"),
-        F.array().cast("array<bigint>").alias("d"),
-        F.array().cast(f"array<{item}>").alias("out"),
-    ).cast(state)
-    folded = F.aggregate(F.array_sort(F.col("ps")), empty, step)
-    return (
-        cut.groupBy("case_id", "piece")
-        .agg(F.collect_list(ranked).alias("ps"))
-        .select("case_id", F.explode(folded["out"]).alias("m"))
-        .select(
-            "case_id",
-            "m.exp_idx",
-            "m.cand_idx",
-            js_round(F.col("m.iou"), 4).alias("iou"),
-            js_round(F.col("m.start_error"), 4).alias("start_error"),
-            js_round(F.col("m.end_error"), 4).alias("end_error"),
+    left = settle(
+        pairs.select(
+            "case_id", F.col("exp_idx").cast("bigint").alias("exp_idx"), F.col("cand_idx").cast("bigint").alias("cand_idx"),
+            "det_s", "score", "start_error", "end_error", "iou",
         )
-    )
+    )
+    won = []
+    while not won or not left.isEmpty():
+        of_exp = left.groupBy(*exp).agg(F.min(rank).alias("r")).select(*exp, F.col("r.cand_idx").alias("cand_idx"), "r")
+        of_cand = left.groupBy(*cand).agg(F.min(rank).alias("c")).select(*cand, F.col("c.exp_idx").alias("exp_idx"))
+        both = of_exp.join(of_cand, [*exp, "cand_idx"])
+        won.append(settle(both.select("case_id", "exp_idx", "cand_idx", "r.iou", "r.start_error", "r.end_error")))
+        left = settle(left.join(won[-1].select(*exp), exp, "left_anti").join(won[-1].select(*cand), cand, "left_anti"))
+    matched = won[0]
+    for part in won[1:]:
+        matched = matched.unionByName(part)
+    rounded = [js_round(F.col(c), 4).alias(c) for c in ("iou", "start_error", "end_error")]
+    return matched.select("case_id", "exp_idx", "cand_idx", *rounded)
 
 
 def case_outcomes(bench_case: DataFrame, expected: DataFrame, detected: DataFrame, matches: DataFrame) -> DataFrame:

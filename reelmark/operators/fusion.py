@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import intervals, ordered
+from ..functions import anchors, intervals, ordered
 from ..functions.tables import settle
 from ..functions.numbers import half_up, is_finite, js_round, plain_text
 from ..sources.schemas import END, EVIDENCE_COLUMNS, PRESENCE, PROGRESS_BAR, QR_CODE, START, TRANSCRIPT, VISIBLE_LINK
@@ -65,72 +65,14 @@ def fingerprint(source: Column, raw: Column) -> Column:
 
 
 def cluster_anchors(
-    positions: DataFrame,
-    keys: list[str],
-    gap: float = COALESCE_WINDOW_S,
-    inclusive: bool = False,
-    chunk_s: float | None = None,
+    positions: DataFrame, keys: list[str], gap: float = COALESCE_WINDOW_S, inclusive: bool = False
 ) -> DataFrame:
     """Fixed-anchor clusters over distinct positions: ``keys, start_s, anchor_s``.
 
-    A cluster starts at the first position more than ``gap`` after the previous anchor (or at
-    least ``gap``, if ``inclusive``), so anchors depend on each other along the whole timeline.
-    The walk is split into chunks: per chunk, the exit anchor is computed for every position that
-    could be its first anchor (those within ``gap`` of the chunk edge, and the first one after);
-    one short fold over the chunks of a key picks the entries that really happen.
+    A cluster starts at the first position more than ``gap`` after the previous anchor (or at least ``gap``, if
+    ``inclusive``), so anchors depend on each other along the timeline; see ``functions/anchors.py``.
     """
-    size = chunk_s or CHUNK_S
-
-    def beyond(t: Column, anchor: Column) -> Column:
-        return (t - anchor >= gap) if inclusive else (t - anchor > gap)
-
-    def follow(anchor: Column, t: Column) -> Column:
-        return F.when(anchor.isNull() | beyond(t, anchor), t).otherwise(anchor)
-
-    chunk = (
-        positions.select(*keys, "start_s", F.floor(F.col("start_s") / size).alias("chunk"))
-        .groupBy(*keys, "chunk")
-        .agg(F.array_sort(F.collect_set("start_s")).alias("times"))
-    )
-    times, limit = F.col("times"), F.col("chunk") * size + gap
-    entries = F.concat(
-        F.filter(times, lambda t: t < limit), F.slice(F.filter(times, lambda t: t >= limit), 1, 1)
-    )
-    moves = F.transform(
-        entries,
-        lambda e: F.struct(
-            e.alias("enter"), F.aggregate(F.filter(times, lambda t: t >= e), e, follow).alias("leave")
-        ),
-    )
-    visit = "struct<chunk:bigint,entry:double>"
-    path_state = f"struct<anchor:double,seen:array<{visit}>>"
-
-    def hop(acc: Column, c: Column) -> Column:
-        open_move = F.filter(c["moves"], lambda m: acc["anchor"].isNull() | beyond(m["enter"], acc["anchor"]))
-        leave = F.coalesce(F.try_element_at(open_move, F.lit(1))["leave"], acc["anchor"])
-        here = F.struct(c["chunk"].alias("chunk"), acc["anchor"].alias("entry"))
-        return F.struct(leave.alias("anchor"), F.array_append(acc["seen"], here).alias("seen")).cast(path_state)
-
-    nothing = F.lit(None).cast("double").alias("anchor")
-    no_path = F.struct(nothing, F.array().cast(f"array<{visit}>").alias("seen")).cast(path_state)
-    entry = (
-        chunk.select(*keys, "chunk", moves.alias("moves"))
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("chunk", "moves"))).alias("chunks"))
-        .select(*keys, F.inline(F.aggregate("chunks", no_path, hop)["seen"]))
-    )
-    placed = "struct<start_s:double,anchor_s:double>"
-    walk_state = f"struct<anchor:double,seen:array<{placed}>>"
-
-    def assign(acc: Column, t: Column) -> Column:
-        anchor = follow(acc["anchor"], t)
-        here = F.struct(t.alias("start_s"), anchor.alias("anchor_s"))
-        return F.struct(anchor.alias("anchor"), F.array_append(acc["seen"], here).alias("seen")).cast(walk_state)
-
-    begin = F.struct(F.col("entry").alias("anchor"), F.array().cast(f"array<{placed}>").alias("seen")).cast(walk_state)
-    return chunk.join(entry, [*keys, "chunk"]).select(
-        *keys, F.inline(F.aggregate(times, begin, assign)["seen"])
-    )
+    return anchors.spaced_anchors(positions, keys, "start_s", gap, inclusive).withColumnRenamed("anchor", "anchor_s")
 
 
 def coalesce_frames(evidence: DataFrame) -> DataFrame:
@@ -146,9 +88,9 @@ def coalesce_frames(evidence: DataFrame) -> DataFrame:
     at_position = frame.groupBy(*keys, "start_s").agg(
         F.min_by(body, rank).alias("best"), F.min(rank).alias("rank"), F.min("ev_idx").alias("ev_idx")
     )
-    anchors = cluster_anchors(frame.select(*keys, "start_s").distinct(), keys)
+    clusters = cluster_anchors(frame.select(*keys, "start_s").distinct(), keys)
     merged = (
-        at_position.join(anchors, [*keys, "start_s"])
+        at_position.join(clusters, [*keys, "start_s"])
         .groupBy(*keys, "anchor_s")
         .agg(
             F.min_by("best", "rank").alias("best"),
@@ -334,9 +276,8 @@ def candidates_of(member: DataFrame) -> DataFrame:
 
 def _edge(seed: Column, sign: int) -> Column:
     """Outermost position whose distance from the seed, as a double, is within the presence window."""
-    ulp = 2.0**-52
     at = seed + sign * PRESENCE_WINDOW_S
-    near = [at * (1 + k * ulp) for k in (-2, -1, 0, 1, 2)]
+    near = [at + at * (k * 2.0**-53) for k in range(-4, 5)]
     inside = [F.when(F.abs(c - seed) <= PRESENCE_WINDOW_S, c) for c in near]
     return F.greatest(*inside) if sign > 0 else F.least(*inside)
 

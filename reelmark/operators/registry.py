@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import anchors, ordered
 from ..functions.numbers import half_up, is_finite, metric_text
 from ..functions.once import only
-from ..functions.walk import ordered_walk
+from ..functions.tables import settle
 
 # Fixed values (must match for right results).
 MINIMUMS = [
@@ -35,6 +36,9 @@ BOUNDARY_MISSING = " is missing while the promoted model has a validated profile
 DELTA_METRICS = ["accuracy", "precision", "recall", "f1", "auc", "positivePrecision", "positiveRecall", "reviewRecall"]
 TOP_WEIGHTS = 10
 
+# Length of a block of a promotion log.
+BLOCK_S = 86400.0
+
 
 def upsert_models(models: DataFrame, new: DataFrame) -> DataFrame:
     """Later rows replace earlier ones by ``model_id``."""
@@ -49,32 +53,51 @@ def upsert_models(models: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def replay_promotions(events: DataFrame) -> DataFrame:
-    """State after each request of a promotion log: ``registry, id, action, model_id, accepted, active_model_id``.
+    """State after each request of a promotion log: ``registry, id, at, action, model_id, accepted, active_model_id``.
 
     ``events``: ``registry, id, model_id, promoted_at, action``. A rollback of the active model makes
-    the model promoted just before its latest promotion active again (or none); any other rollback is
-    refused. A log has one row per action of an administrator.
+    the model promoted just before its latest promotion active again (or none); any other rollback is refused.
+
+    After a promotion the active model follows from it alone, and until the next one each accepted rollback leads
+    to the next: the first later rollback of the model that it made active. So accepted rollbacks are what can be
+    reached from promotions along these edges, marked in doubled steps. What comes before in a log is scanned in
+    blocks of a day, so one long log is spread over tasks.
     """
-    out = "registry string, id string, at timestamp, action string, model_id string, accepted boolean, active_model_id string"
-    return ordered_walk(events, ["registry"], ["promoted_at", "id"], _replay, out)
-
-
-def _replay():
-    before: dict[str, str | None] = {}  # model -> model promoted just before its latest promotion
-    newest: str | None = None
-    active: str | None = None
-
-    def step(e):
-        nonlocal newest, active
-        accepted = e.action == "promote" or (active is not None and active == e.model_id)
-        if e.action == "promote":
-            before[e.model_id] = newest
-            newest = active = e.model_id
-        elif accepted:
-            active = before[e.model_id]
-        return (e.registry, e.id, e.promoted_at, e.action, e.model_id, accepted, active)
-
-    return step
+    own = ["registry", "at", "id"]
+    log = events.select("registry", F.col("promoted_at").alias("at"), "id", "action", "model_id")
+    log = settle(log.withColumn("day", F.floor(F.col("at").cast("double") / BLOCK_S)))
+    promotes = F.col("action") == "promote"
+    latest = F.when(promotes, F.struct("at", "id", "model_id"))
+    known = ordered.scan_before(log, ["registry"], ["at", "id"], F.col("day"), [ordered.Scan("last", "last", latest)])
+    known = known.withColumn("before", F.when(promotes, F.struct(F.col("last.model_id").alias("model"))))
+    known = settle(known.withColumn("reign", F.when(promotes, F.struct("at", "id")).otherwise(F.struct("last.at", "last.id"))))
+    scanned = ordered.scan_before(
+        known, ["registry", "model_id"], ["at", "id"], F.col("day"), [ordered.Scan("undone", "last", F.col("before"))]
+    )
+    made = F.when(promotes, F.col("model_id")).otherwise(F.col("undone.model")).alias("made")
+    moves = settle(scanned.select(*own, "day", "action", "model_id", "reign", made))
+
+    rolled = moves.filter(~promotes)
+    # A rollback is asked for after itself, where it makes its own model active again.
+    line = rolled.select(*own, "day", F.col("model_id").alias("of"), F.lit(0).alias("side"), "reign").unionByName(
+        moves.filter("made is not null").select(*own, "day", F.col("made").alias("of"), F.lit(1).alias("side"), "reign")
+    )
+    counted = settle(
+        ordered.scan_before(
+            line, ["registry", "of"], ["at", "id", "side"], F.col("day"), [ordered.Scan("n", "sum", 1 - F.col("side"))]
+        ).withColumn("n", F.coalesce("n", F.lit(0)))
+    )
+    spot = F.struct("at", "id")
+    nth = counted.filter("side = 0").select("registry", "of", "n", "reign", spot.alias("next"))
+    edges = counted.filter("side = 1").select("registry", "of", "n", "reign", spot.alias("spot")).join(nth, ["registry", "of", "n", "reign"])
+    starts = moves.filter(promotes).select("registry", spot.alias("spot"))
+    taken = anchors.reached(starts, settle(edges.select("registry", "spot", "next")), ["registry"])
+    taken = taken.select("registry", "spot.*", F.lit(True).alias("taken"))
+    judged = moves.join(taken, own, "left").withColumn("accepted", F.coalesce("taken", F.lit(False)))
+    state = ordered.islands(
+        judged.drop("taken", "reign"), ["registry"], ["at", "id"], F.col("day"), F.col("accepted"), F.col("made"), "active_model_id"
+    )
+    return state.select("registry", "id", "at", "action", "model_id", "accepted", "active_model_id")
 
 
 def promoted_model(events: DataFrame, models: DataFrame, registry: str = "default") -> DataFrame:

@@ -32,7 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{warehouse.rstrip('/')}/scratch"
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
     """This application's part of the shared folder; it is removed when the driver ends."""
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
@@ -55,6 +55,6 @@ def settle(df: DataFrame) -> DataFrame:
     Later steps then prune columns and push filters into the files, and a lost executor only
     costs the re-reading of files.
     """
-    path = f"{_own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

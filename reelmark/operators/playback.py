@@ -56,14 +56,12 @@ def skip_decisions(tick: DataFrame, skippable: DataFrame) -> DataFrame:
 
 def _decide():
     handled: list[tuple[float, float]] = []
-    last_ts = None
 
     def step(r):
-        nonlocal last_ts
-        if r.ts == last_ts or any(r.start_s < e and r.end_s > s for s, e in handled):
+        # Ranges offered at one tick overlap each other, so a tick decides once at most, also where ticks share an instant.
+        if any(r.start_s < e and r.end_s > s for s, e in handled):
             return None
         handled.append((r.start_s, r.end_s))
-        last_ts = r.ts
         name = decision_id(r.start_s, r.end_s)
         return (
             r.session_id, r.video_id, r.ts, name, r.start_s, r.end_s, r.confidence, r.from_s, r.to_s, r.skipped_s

@@ -18,6 +18,15 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         """select cast(conv_id as string) as video_id, cast(turn as int) as cue_idx,
        cast(turn * 8 as double) as start_s, 6.0e0 as dur_s, text
 from {conversations}""",
+    ),
+    # Cues of which some deny a phrase.
+    "d_cue_not": (
+        ["conversations"],
+        """select video_id, cue_idx, start_s, dur_s,
+       case cue_idx % 3 when 1 then replace(text, ' of the ', ' not quite of the ') when 2 then replace(text, ' by ', ' not only by ')
+            else replace(text, ' is ', ' never is ') end as text from (select cast(conv_id as string) as video_id, cast(turn as int) as cue_idx,
+       cast(turn * 8 as double) as start_s, 6.0e0 as dur_s, text
+from {conversations}) q""",
     ),
     "d_evidence": (
         ["events"],

@@ -314,9 +314,9 @@ def _(spark, sf):
     return hits.select("video_id", "cue_idx", "phrase", "position")
 
 
-@query("drop_negated", f"with {WINDOWS}, {HITS} {_HIT_COLUMNS} from kept_hit", ["d_cue"])
+@query("drop_negated", f"with {WINDOWS}, {HITS} {_HIT_COLUMNS} from kept_hit".replace("d_cue", "d_cue_not"), ["d_cue_not"])
 def _(spark, sf):
-    hits = transcript.phrase_hits(transcript.cue_windows(d.cues(spark, sf)), phrase_column())
+    hits = transcript.phrase_hits(transcript.cue_windows(d.view(spark, sf, "d_cue_not")), phrase_column())
     return transcript.drop_negated(hits).select("video_id", "cue_idx", "phrase", "position")
 
 

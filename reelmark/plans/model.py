@@ -11,6 +11,7 @@ from ..operators import registry, training
 from ..sources import captions, intake, store
 from . import derived as d
 from .registry import query, rnd
+from .streams import new_folder
 
 EX = ["d_example"]
 
@@ -80,6 +81,40 @@ def _(spark, sf):
     return registry.upsert_models(m, new.unionByName(added)).select("model_id", "model_version")
 
 
+_UPSERTED = f"""with {MODEL_CTE}, n as (select model_id, 'new' as model_version from model where n % 4 = 0 union all select model_id || '-x', 'new' from model where n % 10 = 0)
+select model_id, model_version from n union all select model_id, model_version from model where n % 4 <> 0"""
+
+
+@query("model_table", _UPSERTED)
+def _(spark, sf):
+    root, m = new_folder(spark, "store"), settle(model_table(spark, sf))
+    number = F.regexp_extract("model_id", r"(\d+)$", 1).cast("int")
+    new = m.filter(number % 4 == 0).withColumn("model_version", F.lit("new"))
+    added = m.filter(number % 10 == 0).withColumn("model_version", F.lit("new")).withColumn("model_id", F.concat("model_id", F.lit("-x")))
+    store.upsert(m, root, "model")
+    store.upsert(new.unionByName(added), root, "model")
+    return store.listing(spark, root, "model").select("model_id", "model_version")
+
+
+@query(
+    "training_run_table",
+    f"""with {MODEL_CTE} select 'run-' || model_id as id, created_at, model_id, cast(examples as bigint) as dataset_size,
+  case when n % 5 = 0 then 'running' else 'completed' end as status from model""",
+)
+def _(spark, sf):
+    """Each run is stored when it starts; most are stored again when they end."""
+    root, m = new_folder(spark, "store"), settle(model_table(spark, sf))
+    run = m.select(
+        F.concat(F.lit("run-"), "model_id").alias("id"), "created_at", "model_id",
+        F.try_element_at("training_set_summary", F.lit("examples")).cast("bigint").alias("dataset_size"), F.lit("running").alias("status"),
+    )
+    ended = run.filter(F.regexp_extract("model_id", r"(\d+)$", 1).cast("int") % 5 != 0).withColumn("status", F.lit("completed"))
+    store.upsert(run.withColumn("dataset_size", F.lit(0).cast("bigint")), root, "training_run")
+    store.upsert(run, root, "training_run")
+    store.upsert(ended, root, "training_run")
+    return store.listing(spark, root, "training_run")
+
+
 _PROMOTION_SQL = """select 'r' || cast(user_id as string) as registry, 'e' || lpad(cast(event_id as string), 12, '0') as id,
   'm-' || cast(1 + event_id % 5 as string) as model_id, ts as promoted_at, case when event_id % 3 = 0 then 'rollback' else 'promote' end as action from {events}"""
 
@@ -101,6 +136,15 @@ state as (
 )"""
 
 
+@query("promotion_event_table", f"select id, registry, model_id, action from ({_PROMOTION_SQL.format(events='events')}) e")
+def _(spark, sf):
+    root, log = new_folder(spark, "store"), promotion_log(spark, sf)
+    late = F.dayofmonth("promoted_at") > 15
+    store.upsert(log.filter(~late), root, "promotion_event")
+    store.upsert(log.filter(late), root, "promotion_event")
+    return store.listing(spark, root, "promotion_event").select("id", "registry", "model_id", "action")
+
+
 @query("replay_promotions", f"with recursive {REPLAY} select registry, id, accepted, active as active_model_id from state where k > 0")
 def _(spark, sf):
     return registry.replay_promotions(promotion_log(spark, sf)).select("registry", "id", "accepted", "active_model_id")

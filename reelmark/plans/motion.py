@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.tables import settle, shared_dir
+from ..functions.tables import settle
 from ..operators import frames, playback
 from ..streaming import jobs
 from . import derived as d, detect
 from .registry import query, rnd
-from .streams import as_stream, drained, new_folder
+from .streams import as_stream, drained, in_order, new_folder
 
 # ---- scanlines: one small frame per part ------------------------------------------
 
@@ -190,13 +188,13 @@ def _(spark, sf):
 
 @query("stream_progress", _TRACK_OUT)
 def _(spark, sf):
-    return _confirmed(drained(spark, jobs.stream_progress(as_stream(spark, bar_observations(spark, sf)))))
+    return _confirmed(drained(spark, jobs.stream_progress(in_order(spark, bar_observations(spark, sf), "frame_idx"))))
 
 
 @query("stream_skips", _DECIDED, _DECIDED_VIEWS)
 def _(spark, sf):
     skippable = settle(detect.skippable(spark, sf))
-    decided = drained(spark, jobs.stream_skips(as_stream(spark, d.ticks(spark, sf)), skippable))
+    decided = drained(spark, jobs.stream_skips(in_order(spark, d.ticks(spark, sf), "ts"), skippable))
     return _decisions(spark, sf, decided, skippable)
 
 

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
-from ..functions.tables import shared_dir
+from ..functions.tables import settle
 from ..operators import admission, dashboard, feedback as fb, status, training
 from ..sources import intake, schemas as S, store
 from ..streaming import jobs
 from . import derived as d
 from .model import MODEL_CTE, model_table
 from .registry import clock, query, rnd
-from .streams import as_stream, drained, new_folder
+from .streams import as_stream, drained, in_order, new_folder
 
 FB = ["d_feedback"]
 FR = ["d_feedback", "d_review"]
@@ -461,11 +459,30 @@ def _(spark, sf):
 
 @query("feedback_table", "select id, summary from d_feedback", FB)
 def _(spark, sf):
-    root = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    root = new_folder(spark, "store")
     store.append(d.feedback(spark, sf), root, "feedback")
     return store.listing(spark, root, "feedback").select("id", "summary")
 
 
+_NUMBER = r"cast(regexp_extract(id, '(\d+)', 1) as bigint)"
+
+
+@query(
+    "training_example_table",
+    f"""with {JOINED} select 'example_' || id as id, id as feedback_id, video_id, case when {_NUMBER} % 3 = 0 then {TRAIN_LABEL} else -1 end as label
+from joined where feat_total is not null and {TRAIN_LABEL} is not null and {_NUMBER} % 7 <> 0""",
+    FR,
+)
+def _(spark, sf):
+    """Examples come with an unknown label, every third is labelled later, every seventh is purged."""
+    root, number = new_folder(spark, "store"), F.regexp_extract("feedback_id", r"(\d+)", 1).cast("bigint")
+    rows = settle(fb.training_examples(*data(spark, sf)))
+    store.upsert(rows.withColumn("label", F.lit(-1)), root, "training_example")
+    store.upsert(rows.filter(number % 3 == 0), root, "training_example")
+    store.delete(rows.filter(number % 7 == 0), root, "training_example")
+    return store.listing(spark, root, "training_example").select("id", "feedback_id", "video_id", "label")
+
+
 @query("export_dataset", f"with {DATASET} select count(*) + 1 as lines from dataset", FR)
 def _(spark, sf):
     feedback, review = data(spark, sf)
@@ -523,15 +540,6 @@ def _(spark, sf):
     return out.select("client_key", "request_id", "admitted", "remaining")
 
 
-def _stream_of(spark, sf, name: str, tables: list[str]):
-    """The driver tables as a file stream."""
-    frames = {}
-    for t in tables:
-        schema = d.table(spark, sf, t).schema
-        frames[t] = spark.readStream.schema(schema).option("pathGlobFilter", f"{t}.parquet").parquet(sf)
-    return spark.sql(d.VIEWS[name][1].replace("{g}", ""), **frames)
-
-
 @query("stream_dedup", f"with {KEYED}, {FIRST} select dedup_key, count(*) as n from stored group by 1", FB)
 def _(spark, sf):
     path = new_folder(spark, "dedup")
@@ -541,15 +549,19 @@ def _(spark, sf):
 
 @query(
     "stream_latest_status",
-    """with n as (select *, row_number() over (partition by video_id order by updated_at desc) as r from d_status)
-select video_id, phase, case when phase is null then 0.0e0 else least(1.0e0, greatest(0.0e0, progress)) end as progress, cast(greatest(0, sample_count) as bigint) as sample_count
+    """with n as (select *, row_number() over (partition by video_id order by updated_at desc) as r, max(updated_at) over () as newest from d_status)
+select video_id, phase, case when phase is null then 0.0e0 else least(1.0e0, greatest(0.0e0, progress)) end as progress, cast(greatest(0, sample_count) as bigint) as sample_count,
+  phase in ('starting', 'transcript', 'frames', 'fusion') and updated_at < newest - interval 70 minute as stale
 from n where r = 1""",
     ["d_status"],
 )
 def _(spark, sf):
-    stream = as_stream(spark, d.view(spark, sf, "d_status"), 3)
-    sent = drained(spark, jobs.latest_status(stream, None), "update")
-    last = sent.groupBy("video_id").agg(F.max_by(F.struct("phase", "progress", "sample_count"), "batch").alias("s"))
+    stream = in_order(spark, d.view(spark, sf, "d_status"), "updated_at")
+    sent = drained(spark, jobs.latest_status(stream, 3600.0, "10 minutes"), "update")
+    # A scan that falls silent is sent once more, as stale, after its last status.
+    last = sent.groupBy("video_id").agg(
+        F.max_by(F.struct("phase", "progress", "sample_count", "stale"), F.struct("batch", "stale")).alias("s")
+    )
     return last.select("video_id", "s.*")
 
 
@@ -566,6 +578,6 @@ def _(spark, sf):
     ["d_request"],
 )
 def _(spark, sf):
-    out = drained(spark, jobs.request_admission(_stream_of(spark, sf, "d_request", ["events"]), 6, 21600.0))
+    out = drained(spark, jobs.request_admission(in_order(spark, d.view(spark, sf, "d_request"), "asked_at"), 6, 21600.0))
     return out.select("client_key", "request_id", "admitted", "remaining")
 

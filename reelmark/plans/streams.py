@@ -6,9 +6,9 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.tables import shared_dir
+from ..functions.tables import own_dir
 from ..streaming import jobs
 
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -26,7 +26,7 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_stream(spark: SparkSession, df: DataFrame, batches: int = 1) -> DataFrame:
@@ -39,6 +39,18 @@ def as_stream(spark: SparkSession, df: DataFrame, batches: int = 1) -> DataFrame
     return reader.parquet(path)
 
 
+def in_order(spark: SparkSession, df: DataFrame, order: str, batches: int = 3) -> DataFrame:
+    """The rows of a table as a file stream in ``batches`` micro-batches, each later in ``order`` than the ones before."""
+    path, files = new_folder(spark, "source"), 2
+    at = F.col(order).cast("double") if dict(df.dtypes)[order] != "timestamp_ntz" else F.col(order).cast("timestamp").cast("double")
+    cuts = df.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], F.lit(10_000))).first()[0]
+    edges = [float("-inf"), *(cuts or []), float("inf")]
+    for low, high in zip(edges, edges[1:], strict=False):
+        # One write after the other: the source takes files in the order in which they came.
+        df.filter((at > low) & (at <= high)).repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
+
+
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     path = new_folder(spark, "stream")
     with state_settings(spark):

@@ -139,13 +139,13 @@ class _SkipProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues):
         batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "start_s", "cand_idx"], kind="stable")
         handled = [tuple(h) for h in self._handled.get()] if self._handled.exists() else []
-        taken, last_ts = [], None
+        taken = []
         for i, r in zip(batch.index, batch.itertuples(index=False)):
-            if r.ts == last_ts or any(r.start_s < e and r.end_s > s for s, e in handled):
+            # Ranges offered at one tick overlap each other, so a tick decides once at most.
+            if any(r.start_s < e and r.end_s > s for s, e in handled):
                 continue
             handled.append((float(r.start_s), float(r.end_s)))
             taken.append(i)
-            last_ts = r.ts
         if taken:
             self._handled.put(handled)
             yield playback.with_decision_id(batch.loc[taken])
@@ -164,11 +164,16 @@ def stream_skips(tick: DataFrame, skippable: DataFrame) -> DataFrame:
     )
 
 
+def _epoch_ms(at: pd.Timestamp) -> int:
+    return int(pd.Timestamp(at).tz_localize("UTC").value // 1_000_000)
+
+
 class _StatusProcessor(StatefulProcessor):
     """Last status per video, and a stale mark when a running scan falls silent."""
 
-    def __init__(self, stale_after_s: float | None) -> None:
+    def __init__(self, stale_after_s: float | None, event_time: bool) -> None:
         self._after_ms = None if stale_after_s is None else int(stale_after_s * 1000)
+        self._event_time = event_time
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
@@ -188,7 +193,8 @@ class _StatusProcessor(StatefulProcessor):
         for t in self._handle.listTimers() if self._after_ms is not None else ():
             self._handle.deleteTimer(t)
         if newest.running and self._after_ms is not None:
-            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._after_ms + 1)
+            now = timerValues.getCurrentProcessingTimeInMs() if not self._event_time else _epoch_ms(newest.updated_at)
+            self._handle.registerTimer(now + self._after_ms + 1)
         yield self._row(key, row, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -207,14 +213,20 @@ class _StatusProcessor(StatefulProcessor):
 STATUS_OUT = "video_id string, updated_at timestamp, phase string, progress double, sample_count bigint, stale boolean"
 
 
-def latest_status(status: DataFrame, stale_after_s: float | None = STALE_AFTER_S) -> DataFrame:
+def latest_status(status: DataFrame, stale_after_s: float | None = STALE_AFTER_S, delay: str | None = None) -> DataFrame:
     """Newest status per video, sent whenever it changes, and again as stale after a silence.
 
-    With ``None`` nothing becomes stale and no timers are set, so a finite source also runs dry.
+    With ``delay``, silence is measured in the time of the events: a scan is stale once a status of any video is
+    ``stale_after_s`` and the delay later, and older rows than that delay are left out. A replay then gives the same rows.
+    Without it the clock decides, for sources that may stop altogether. With ``stale_after_s`` of ``None`` nothing
+    becomes stale.
     """
+    rows = normalize_status(status)
     mode = "none" if stale_after_s is None else "ProcessingTime"
-    return normalize_status(status).groupBy("video_id").transformWithStateInPandas(
-        _StatusProcessor(stale_after_s), STATUS_OUT, "update", mode
+    if delay is not None and stale_after_s is not None:
+        rows, mode = rows.withWatermark("updated_at", delay), "EventTime"
+    return rows.groupBy("video_id").transformWithStateInPandas(
+        _StatusProcessor(stale_after_s, mode == "EventTime"), STATUS_OUT, "update", mode
     )
 
 

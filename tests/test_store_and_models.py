@@ -359,3 +359,58 @@ def test_results_do_not_depend_on_partitions(spark):
     one = fusion.candidate_pool(df.coalesce(1)).collect()
     many = fusion.candidate_pool(df.repartition(13)).collect()
     assert sorted(map(str, one)) == sorted(map(str, many)) and len(one) > 20
+
+
+# ---- tables that change by key ------------------------------------------------------
+
+
+def runs(spark, rows):
+    return spark.createDataFrame(rows, "id string, created_at string, status string, metrics map<string,double>")
+
+
+def test_keyed_tables_rewrite_touched_buckets_only(spark, tmp_path):
+    root = str(tmp_path)
+    many = [(f"run-{i}", f"2024-01-{1 + i % 28:02d}", "running", {"auc": i / 1000}) for i in range(1000)]
+    first = store.upsert(runs(spark, many), root, "training_run")
+    second = store.upsert(runs(spark, [("run-7", "2024-01-08", "completed", None), ("new", "2024-02-01", "running", {})]), root, "training_run")
+    written = {p.name for p in (tmp_path / "training_run/data" / f"version={second}").iterdir() if p.name.startswith("bucket=")}
+    assert 1 <= len(written) <= 2
+    want = {r[0]: r[2] for r in many} | {"run-7": "completed", "new": "running"}
+    assert {r.id: r.status for r in store.read(spark, root, "training_run").collect()} == want
+    assert {r.id: r.status for r in store.snapshot(spark, root, "training_run", first).collect()} == {r[0]: r[2] for r in many}
+    listed = [(r.created_at, r.id) for r in store.listing(spark, root, "training_run").collect()]
+    assert listed == sorted(listed, key=lambda x: x[1]) or [x[0] for x in listed] == sorted((x[0] for x in listed), reverse=True)
+
+
+def test_keyed_tables_delete_and_forget(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(ValueError):
+        store.snapshot(spark, root, "training_run")
+    store.upsert(runs(spark, [("a", "2024-01-01", "x", None), ("b", "2024-01-02", "y", None)]), root, "training_run")
+    store.delete(spark.createDataFrame([("a",), ("a",), ("missing",)], "id string"), root, "training_run")
+    assert [r.id for r in store.read(spark, root, "training_run").collect()] == ["b"]
+    last = store.delete(spark.createDataFrame([("b",)], "id string"), root, "training_run")
+    left = store.read(spark, root, "training_run")
+    assert left.collect() == [] and left.columns == ["id", "created_at", "status", "metrics"]
+    store.vacuum(spark, root, "training_run", keep=1)
+    assert store.versions(spark, root, "training_run") == [last]
+    store.upsert(runs(spark, []), root, "training_run")
+    store.upsert(runs(spark, [("b", "2024-01-02", "again", None)] * 2), root, "training_run")
+    assert [(r.id, r.status) for r in store.read(spark, root, "training_run").collect()] == [("b", "again")]
+
+
+def test_a_change_that_was_lost_is_never_read(spark, tmp_path):
+    root = str(tmp_path)
+    store.upsert(runs(spark, [("a", "2024-01-01", "x", None)]), root, "training_run")
+    # A writer that ended between its rows and its commit, and one that ended within the commit.
+    lost = runs(spark, [("a", "2024-01-01", "lost", None)]).withColumn("bucket", F.lit(5))
+    lost.write.partitionBy("bucket").parquet(f"{root}/training_run/data/version=9")
+    (tmp_path / "training_run/commits/version=9").mkdir()
+    assert [r.status for r in store.read(spark, root, "training_run").collect()] == ["x"]
+    assert store.upsert(runs(spark, [("c", "2024-01-01", "z", None)]), root, "training_run") == 10
+    assert {(r.id, r.status) for r in store.read(spark, root, "training_run").collect()} == {("a", "x"), ("c", "z")}
+    # Of rows of one key in one change, the newest stays.
+    store.upsert(runs(spark, [("c", "2024-01-03", "new", None), ("c", "2024-01-02", "old", None)]), root, "training_run")
+    assert store.read(spark, root, "training_run").filter("id = 'c'").first().status == "new"
+    store.vacuum(spark, root, "training_run", keep=1)
+    assert {(r.id, r.status) for r in store.read(spark, root, "training_run").collect()} == {("a", "x"), ("c", "new")}

@@ -100,11 +100,14 @@ def replay_promotions(events: DataFrame) -> DataFrame:
     return state.select("registry", "id", "at", "action", "model_id", "accepted", "active_model_id")
 
 
-def promoted_model(events: DataFrame, models: DataFrame, registry: str = "default") -> DataFrame:
-    """The active model's row, or no row."""
-    state = replay_promotions(events.filter(F.col("registry") == registry))
+def promoted_model(events: DataFrame, models: DataFrame, registry: str | None = "default") -> DataFrame:
+    """The active model's row, or no row; with ``None`` the active models of all registries, with their ``registry``."""
+    log = events if registry is None else events.filter(F.col("registry") == registry)
+    state = replay_promotions(log)
     last = state.groupBy("registry").agg(F.max_by("active_model_id", F.struct("at", "id")).alias("model_id"))
-    return models.join(last.select("model_id"), "model_id", "left_semi")
+    if registry is not None:
+        return models.join(last.select("model_id"), "model_id", "left_semi")
+    return last.join(models, "model_id").select("registry", *models.columns)
 
 
 def _beside(models: DataFrame, promoted: DataFrame | None) -> DataFrame:

@@ -774,7 +774,7 @@ def _(spark, sf):
     return reports.missed_segment_evidence(good, d.evidence(spark, sf)).select("report_id", "video_id", "ev_idx", "source")
 
 
-_CUE_REPORT = """cue_report as (select video_id, 'r' || cast(cue_idx as string) as report_id, start_s, start_s + 10 as end_s, 100.0e0 as duration_s from d_cue where cue_idx % 2 = 0)"""
+_CUE_REPORT = """cue_report as (select video_id, 'r' || cast(cue_idx as string) as report_id, start_s, start_s + 10 as end_s, 100.0e0 as duration_s from d_cue)"""
 
 
 @query(
@@ -791,7 +791,7 @@ left join ev on r.video_id = ev.video_id and r.report_id = ev.report_id""",
 )
 def _(spark, sf):
     cue = d.cues(spark, sf)
-    report = cue.filter("cue_idx % 2 = 0").select(
+    report = cue.select(
         "video_id", F.concat(F.lit("r"), "cue_idx").alias("report_id"), "start_s", (F.col("start_s") + 10).alias("end_s"),
         F.lit(100.0).alias("duration_s"),
     )
@@ -964,10 +964,24 @@ def _(spark, sf):
     return evaluation.benchmark_gates(benchmark(spark, sf)["metrics"]).select("gate_ord", "metric")
 
 
+def _pct(x: str) -> str:
+    return f"cast(cast({rnd(f'({x} * 100)', 1)} as decimal(28,1)) as varchar) || '%'"
+
+
+def _short(x: str) -> str:
+    return f"case when {x} = floor({x}) then cast(cast({x} as bigint) as varchar) else cast(cast({rnd(x, 2)} as decimal(28,2)) as varchar) end"
+
+
 @query(
     "benchmark_report",
     _valid_only(
-        f"""with recursive {_METRIC} select 0 as section, '1' as line_key, cases || ' cases · ' || expected_segments || ' expected · ' || detected_segments || ' detected' as line from metric
+        f"""with recursive {_METRIC}, head as (select unnest(['Segment detection benchmark',
+  cases || ' cases · ' || expected_segments || ' expected · ' || detected_segments || ' detected',
+  'precision ' || {_pct('"precision"')} || ' · recall ' || {_pct('recall')} || ' · F1 ' || {_pct('f1')},
+  'negative accuracy ' || {_pct('negative_case_accuracy')} || ' · false positives/hour ' || {_short('false_positives_per_hour')},
+  'closed boundaries ' || {_pct('closed_boundary_rate')} || ' · boundary MAE ' || coalesce({_short('boundary_mae_s')} || 's', 'n/a')]) as line,
+  unnest(['0', '1', '2', '3', '4']) as line_key from metric)
+select 0 as section, line_key, line from head
 union all select 1, case_id, case when n_expected = n_matched and n_detected = n_matched then 'PASS ' else 'FAIL ' end || case_id || ': expected ' || n_expected
   || ', detected ' || n_detected || ', matched ' || n_matched from outcome"""
     ),
@@ -975,20 +989,23 @@ union all select 1, case_id, case when n_expected = n_matched and n_detected = n
 )
 def _(spark, sf):
     run = benchmark(spark, sf)
-    lines = evaluation.benchmark_report(run["metrics"], run["outcomes"])
-    return lines.filter("section = 1 or line_key = '1'")
+    return evaluation.benchmark_report(run["metrics"], run["outcomes"])
 
 
 @query(
     "source_detection_quality",
-    f"""with e as (select distinct video_id as case_id, source from d_evidence where ev_idx % 7 = 0),
-t as (select distinct video_id as case_id, source from d_evidence where ev_idx % 5 = 0),
+    f"""{FUSED}, e as (select distinct video_id as case_id, source from d_evidence),
+t as (select distinct m.video_id as case_id, m.source from member m join cand c on m.video_id = c.video_id and m.cand_idx = c.cand_idx where c.confidence >= 0.9),
 q as (select coalesce(e.source, t.source) as source, count(e.case_id) as n_expected, count(*) filter (where e.case_id is not null and t.case_id is not null) as n_detected,
   count(*) filter (where t.case_id is null) as n_missed, count(*) filter (where e.case_id is null) as n_false_positive
   from e full join t on e.case_id = t.case_id and e.source = t.source group by 1)
-select *, {rnd('(n_detected / cast(n_expected as double))', 3)} as recall, {rnd('(n_detected / cast(n_detected + n_false_positive as double))', 3)} as "precision" from q""",
+select *, {rnd('(n_detected / cast(n_expected as double))', 3)} as recall,
+  {rnd('(case when n_detected + n_false_positive = 0 then 1.0e0 else n_detected / cast(n_detected + n_false_positive as double) end)', 3)} as "precision" from q""",
     EV,
 )
 def _(spark, sf):
-    ev = d.evidence(spark, sf).withColumnRenamed("video_id", "case_id")
-    return evaluation.source_detection_quality(ev.filter("ev_idx % 7 = 0"), ev.filter("ev_idx % 5 = 0"))
+    """Which sources of a video's evidence are found again in its sure candidates."""
+    candidate, member = candidates_and_members(spark, sf)
+    sure = member.join(candidate.filter("confidence >= 0.9").select("video_id", "cand_idx"), ["video_id", "cand_idx"], "left_semi")
+    of_case = [F.col("video_id").alias("case_id"), "source"]
+    return evaluation.source_detection_quality(d.evidence(spark, sf).select(*of_case), sure.select(*of_case))

@@ -150,21 +150,21 @@ def _(spark, sf):
     return registry.replay_promotions(promotion_log(spark, sf)).select("registry", "id", "accepted", "active_model_id")
 
 
-_ACTIVE = f"""with recursive {REPLAY}, {MODEL_CTE}, l as (select max_by(active, k) as model_id from state where registry = 'r3' and active is not null),
-t as (select active as model_id from state where registry = 'r3' qualify row_number() over (order by k desc) = 1)
-select model_id, auc from model where model_id in (select model_id from t)"""
+_ACTIVE = f"""with recursive {REPLAY}, {MODEL_CTE},
+t as (select registry, active as model_id from state where k > 0 qualify row_number() over (partition by registry order by k desc) = 1)
+select registry, model_id, auc from t join model using (model_id)"""
 
 
 @query("promoted_model", _ACTIVE)
 def _(spark, sf):
-    out = registry.promoted_model(promotion_log(spark, sf), model_table(spark, sf), "r3")
-    return out.select("model_id", "metrics.auc")
+    out = registry.promoted_model(promotion_log(spark, sf), model_table(spark, sf), None)
+    return out.select("registry", "model_id", "metrics.auc")
 
 
 @query("active_model", _ACTIVE)
 def _(spark, sf):
-    out = intake.active_model(model_table(spark, sf), promotion_log(spark, sf), "r3")
-    return out.select("model_id", "metrics.auc")
+    out = intake.active_model(model_table(spark, sf), promotion_log(spark, sf), None)
+    return out.select("registry", "model_id", "metrics.auc")
 
 
 def _least(column: str, minimum: str, label: str) -> str:
@@ -210,21 +210,22 @@ def _(spark, sf):
 )
 def _(spark, sf):
     m = settle(model_table(spark, sf))
-    out = registry.evaluation_report(m, m.filter("model_id = 'm-96'"))
+    return _report_columns(registry.evaluation_report(m, m.filter("model_id = 'm-96'")))
+
+
+def _report_columns(report):
     c = F.col("threshold_calibration")
-    return out.select(
+    return report.select(
         "model_id", c["mode"].alias("mode"), c["examples"].alias("examples"), c["positive"]["threshold"].alias("threshold"),
         c["positive"]["precision"].alias("precision"), F.col("metric_deltas")["auc"].alias("auc_delta"),
         F.col("metric_deltas")["f1"].alias("f1_delta"), F.size("metric_deltas").alias("n_deltas"),
     )
 
 
-@query("model_list", f"with {MODEL_CTE} select model_id, model_id = 'm-7' as is_promoted from model where contains(model_id, '7') or contains(model_version, '7') or contains(created_at, '7') order by model_id = 'm-7' desc, f1 desc, created_at desc, model_id")
+# The term occurs in ids only, so the SQL needs no other field of the rows that the operator searches.
+@query("model_list", f"with {MODEL_CTE} select model_id, model_id = 'm-7' as is_promoted from model where contains(model_id, '-7') order by model_id = 'm-7' desc, f1 desc, created_at desc, model_id")
 def _(spark, sf):
-    m = model_table(spark, sf).select("model_id", "model_version", "created_at", F.struct(F.col("metrics.f1").alias("f1")).alias("metrics"), "training_set_summary")
-    slim = m.withColumn("metrics", F.create_map(F.lit("f1"), F.col("metrics.f1")))
-    number = F.coalesce(F.col("model_id").contains("7") | F.col("model_version").contains("7") | F.col("created_at").contains("7"), F.lit(False))
-    return registry.model_list(slim.filter(number), "m-7", sort="f1-desc").select("model_id", "is_promoted")
+    return registry.model_list(model_table(spark, sf), "m-7", "-7", sort="f1-desc").select("model_id", "is_promoted")
 
 
 @query(
@@ -236,17 +237,40 @@ def _(spark, sf):
     return registry.top_weights(model_table(spark, sf), 2).select("model_id", "feature", "weight")
 
 
-@query("export_model", f"with {MODEL_CTE} select count(*) as lines from model where model_id = 'm-7'")
+def _read_back(out, schema):
+    """The rows that exported lines hold."""
+    return out.select(F.from_json("value", schema).alias("m")).select("m.*")
+
+
+@query(
+    "export_model",
+    f"""with {MODEL_CTE} select model_id, model_version, cast(schema_version as int) as feature_schema_version, created_at, 0.5e0 as intercept,
+  (n % 17) / 4.0e0 - 2 as alpha, (n % 5) / 2.0e0 as beta, -(n % 7) / 8.0e0 as gamma, positive, review, accuracy, precision_, recall, f1, auc, examples,
+  case when has_boundary then mae end as mae, case when has_boundary then 5.0e0 end as offset_s from model where model_id = 'm-3'""",
+)
 def _(spark, sf):
-    out = store.export_model(model_table(spark, sf), "m-7")
-    return out.filter(F.try_parse_json("value").isNotNull()).agg(F.count(F.lit(1)).alias("lines"))
+    models = model_table(spark, sf)
+    m = _read_back(store.export_model(models, "m-3"), models.schema)
+    of = lambda c, k, name=None: F.try_element_at(c, F.lit(k)).alias(name or k)
+    boundary = F.col("boundary_calibration.by_source")["transcript"]
+    return m.select(
+        "model_id", "model_version", F.col("feature_schema_version").cast("int").alias("feature_schema_version"), "created_at", "intercept",
+        *[of("weights", k) for k in ("alpha", "beta", "gamma")], "thresholds.positive", "thresholds.review",
+        of("metrics", "accuracy"), of("metrics", "precision", "precision_"), *[of("metrics", k) for k in ("recall", "f1", "auc")],
+        of("training_set_summary", "examples"), boundary["calibrated_mae_s"].alias("mae"), boundary["start_offset_s"].alias("offset_s"),
+    )
 
 
-@query("export_evaluation", f"with {MODEL_CTE} select model_id from model where model_id = 'm-7'")
+@query(
+    "export_evaluation",
+    f"""with {MODEL_CTE}, b as (select * from model where model_id = 'm-96') select m.model_id, 'validation' as mode, m.examples, m.positive as threshold, m.precision_ as "precision",
+  floor((m.auc - b.auc) * 1e6 + 0.5e0) / 1e6 as auc_delta, floor((m.f1 - b.f1) * 1e6 + 0.5e0) / 1e6 as f1_delta, 8 as n_deltas from model m, b where m.model_id = 'm-3'""",
+)
 def _(spark, sf):
     m = settle(model_table(spark, sf))
-    out = store.export_evaluation(registry.evaluation_report(m, None), "m-7")
-    return out.select(F.get_json_object("value", "$.model_id").alias("model_id"))
+    report = registry.evaluation_report(m, m.filter("model_id = 'm-96'"))
+    return _report_columns(_read_back(store.export_evaluation(report, "m-3"), report.schema))
+
 
 
 # ---- training --------------------------------------------------------------------

@@ -331,26 +331,35 @@ def runs(spark, sf):
     )
 
 
-@query(
-    "global_search",
-    f"""with {ROLLUP}, {MODEL_CTE}, f as (select 0 as kind_ord, id as k, 'feedback:' || id as id, occurrence_id as title,
-    coalesce(video_id, 'unknown video') || coalesce(' · ' || client_id, '') as meta,
-    case shown when 'transcript' then 'Transcript' when 'frame-visible-link' then 'Visible links' when 'frame-qr-code' then 'QR codes' when 'frame-progress-bar' then 'Progress bars'
-      else replace(shown, '-', ' ') end || ' · ' || {clock('start_s')} || ' · ' || summary as detail
-  from joined where contains(id, '99') or contains(coalesce(video_id, ''), '99') or contains(coalesce(video_url, ''), '99') or contains(coalesce(client_id, ''), '99')
-    or contains(occurrence_id, '99') or contains(summary, '99') order by received_at desc, id limit 5),
-v as (select 1 as kind_ord, video_id as k, 'video:' || video_id as id, video_id as title, n_feedback || ' feedback · ' || n_clients || ' clients · ' || n_pending || ' pending' as meta,
-    cast(null as varchar) as detail
-  from rollup_ where contains(video_id, '99') or contains(coalesce(video_url, ''), '99') or video_id in (select coalesce(video_id, 'unknown') from joined where contains(client_id, '99')) order by latest desc, video_id limit 4)
-select kind_ord, id, title, meta, detail from f union all select kind_ord, id, title, meta, detail from v""",
-    FR,
-)
+def _label(x: str) -> str:
+    return f"""case {x} when 'transcript' then 'Transcript' when 'frame-visible-link' then 'Visible links' when 'frame-qr-code' then 'QR codes'
+  when 'frame-progress-bar' then 'Progress bars' else replace({x}, '-', ' ') end"""
+
+
+def _fixed3(x: str) -> str:
+    return f"cast(cast({rnd(x, 3)} as decimal(28,3)) as varchar)"
+
+
+_FOUND = f"""{ROLLUP}, {MODEL_CTE}, f as (select 0 as kind_ord, row_number() over (order by received_at desc, id) as position, 'feedback:' || id as id, occurrence_id as title,
+    coalesce(video_id, 'unknown video') || coalesce(' · ' || client_id, '') as meta, {_label('shown')} || ' · ' || {clock('start_s')} || ' · ' || summary as detail
+  from joined where contains(coalesce(client_id, ''), '-7') or contains(occurrence_id, '-7')),
+v as (select 1 as kind_ord, row_number() over (order by latest desc, video_id) as position, 'video:' || video_id as id, video_id as title,
+    n_feedback || ' feedback · ' || n_clients || ' clients · ' || n_pending || ' pending' as meta,
+    array_to_string(list_transform(string_split(sources, ','), lambda s: {_label('s')}), ', ') as detail
+  from rollup_ where video_id in (select coalesce(video_id, 'unknown') from joined where contains(client_id, '-7'))),
+m as (select 2 as kind_ord, row_number() over (order by created_at desc, model_id) as position, 'model:' || model_id as id, model_id as title, model_version as meta,
+    'F1 ' || {_fixed3('f1')} || ' · accuracy ' || {_fixed3('accuracy')} as detail from model where contains(model_id, '-7')),
+r as (select 3 as kind_ord, row_number() over (order by created_at desc, model_id) as position, 'training:run-' || model_id as id, model_id as title, 'completed' as meta,
+    '10 examples · 2 validation' as detail from model where contains('run-' || model_id, '-7')),
+found as (select * from f where position <= 5 union all select * from v where position <= 4 union all select * from m where position <= 4 union all select * from r where position <= 3)"""
+_FOUND_COLUMNS = ["kind_ord", "position", "id", "title", "meta", "detail"]
+
+
+# All four kinds together have more hits than the list takes.
+@query("global_search", f"with {_FOUND} select {', '.join(_FOUND_COLUMNS)} from found order by kind_ord, position limit 12", FR)
 def _(spark, sf):
-    feedback, review = data(spark, sf)
-    models = model_table(spark, sf)
-    out = dashboard.global_search(feedback, review, models.filter("model_id = ''"), runs(spark, sf).filter("id = ''"), "99")
-    detail = F.when(F.col("kind_ord") == 0, F.col("detail"))
-    return out.select("kind_ord", "id", "title", "meta", detail.alias("detail"))
+    out = dashboard.global_search(*data(spark, sf), model_table(spark, sf), runs(spark, sf), "-7")
+    return out.select(*_FOUND_COLUMNS)
 
 
 @query(
@@ -361,8 +370,8 @@ select * from m union all select * from r""",
 )
 def _(spark, sf):
     feedback, review = data(spark, sf)
-    out = dashboard.global_search(feedback, review, model_table(spark, sf), runs(spark, sf), "m-7")
-    return out.filter("kind_ord > 1").select("kind_ord", "id", "meta")
+    # No feedback and no video has the term, so the list is that of the two other kinds.
+    return dashboard.global_search(feedback, review, model_table(spark, sf), runs(spark, sf), "m-7").select("kind_ord", "id", "meta")
 
 
 @query(
@@ -483,12 +492,15 @@ def _(spark, sf):
     return store.listing(spark, root, "training_example").select("id", "feedback_id", "video_id", "label")
 
 
-@query("export_dataset", f"with {DATASET} select count(*) + 1 as lines from dataset", FR)
+@query("export_dataset", f"with {DATASET} select {', '.join(_DATASET_COLUMNS)} from dataset", FR)
 def _(spark, sf):
+    """Exported lines, read back; the first line is the header."""
     feedback, review = data(spark, sf)
     ready = fb.training_readiness(fb.training_examples(feedback, review))
-    out = store.export_dataset(fb.dataset_rows(feedback, review), ready, "2024-02-01T00:00:00.000Z")
-    return out.filter(F.try_parse_json("value").isNotNull()).agg(F.count(F.lit(1)).alias("lines"))
+    rows = fb.dataset_rows(feedback, review)
+    out = store.export_dataset(rows, ready, "2024-02-01T00:00:00.000Z")
+    lines = out.filter(F.get_json_object("value", "$.generatedAt").isNull())
+    return lines.select(F.from_json("value", rows.schema).alias("m")).select(*[f"m.{c}" for c in _DATASET_COLUMNS])
 
 
 # ---- status, admission, streams --------------------------------------------------------------

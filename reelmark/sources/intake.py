@@ -340,8 +340,8 @@ def load_models(artifacts: DataFrame) -> DataFrame:
     return out.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.struct_of(S.MODEL)])
 
 
-def active_model(models: DataFrame, events: DataFrame, registry: str = "default") -> DataFrame:
-    """The promoted model if it is valid, otherwise no row (scores fall back to heuristics)."""
+def active_model(models: DataFrame, events: DataFrame, registry: str | None = "default") -> DataFrame:
+    """The promoted model if it is valid, otherwise no row (scores fall back to heuristics); ``None``: of each registry."""
     from ..operators.registry import promoted_model
 
     return promoted_model(events, models, registry)

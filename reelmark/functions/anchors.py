@@ -66,9 +66,13 @@ def spaced_anchors(positions: DataFrame, keys: list[str], at: str, gap: float, i
     heads = cells.filter("follows is null").select(*keys, F.col("first").alias("spot"))
 
     asked = spot.select(*keys, F.col("t").alias("spot"), F.col("cell").alias("own"), _reach(F.col("t"), gap, inclusive).alias("t"))
+    asked = asked.withColumn("cell", cell("t"))
+    # As cells are wider than the gap, the reach may end in the own cell: often beyond all that it holds.
+    short = asked.filter("cell = own").join(cells.select(*place, "last"), place)
+    short = short.withColumn("cell", F.when(F.col("t") <= F.col("last"), F.col("cell")).otherwise(F.col("cell") + 1)).drop("last")
+    met = asked.filter("cell > own").unionByName(short).join(cells.select(*place, "follows"), place)
     # What follows in a cell after an empty one, but for the own cell, is a sure anchor and needs no edge.
-    met = asked.withColumn("cell", cell("t")).join(cells.select(*place, "follows", "last"), place)
-    asked = settle(met.filter("follows or (own = cell and t <= last)").select(*place, "t", "spot"))
+    asked = settle(met.filter("follows or own = cell").select(*place, "t", "spot"))
     held = spot.join(asked.select(*place).distinct(), place, "left_semi")
     # Downwards; a position counts for a question at the same place only if the gap itself is enough.
     line = held.select(*place, "t", F.lit(1).alias("side"), F.lit(None).cast("double").alias("spot"), F.col("t").alias("hit")).unionByName(

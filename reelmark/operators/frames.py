@@ -6,9 +6,10 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import ordered
-from ..functions.walk import ordered_walk
+from ..functions import anchors, ordered
 from ..functions.numbers import half_up, is_finite, js_round
+from ..functions.pieces import restarted
+from ..functions.tables import settle
 from ..sources.schemas import PRESENCE, PROGRESS_BAR, raw
 
 # Fixed values (must match for right results).
@@ -235,26 +236,13 @@ def confirmation_row(o, found: dict) -> dict:
     }
 
 
-def _track_episode():
-    state: Track | None = None
-
-    def step(o):
-        nonlocal state
-        state, found = track_step(state, o)
-        if found is None:
-            return None
-        row = confirmation_row(o, found)
-        return tuple(row[c.split()[0]] for c in CONFIRMATION.split(", "))
-
-    return step
-
-
 def confirm_progress(bar_obs: DataFrame) -> DataFrame:
     """Confirms bars whose fill changes over time; one row per frame in frame order goes in.
 
     Frames without a valid bar, gaps, seeks and moved bars all restart the tracking, and they show
-    by comparing neighbours. So a video is first cut into episodes there (in parallel blocks), and
-    only the frames of one uninterrupted bar are walked in order.
+    by comparing neighbours. So a video is first cut into episodes there (in parallel blocks). An
+    episode restarts where the fill has left the first one by too much; the first frame of such a
+    piece whose fill differs enough confirms the bar.
     """
     order, block = ["frame_idx"], F.floor(F.col("frame_idx") / 4096)
     seen = F.struct("t_s", "y", "frame_width", "frame_height", "track_start_x", "track_end_x", "ok")
@@ -279,10 +267,26 @@ def confirm_progress(bar_obs: DataFrame) -> DataFrame:
         F.col("frame_idx"), "episode",
     )
     plain = [F.col(c).cast("double").alias(c) for c in GEOMETRY]
-    walked = cut.filter("ok").select(
-        "video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), "t_s", "fill_ratio", "confidence", "episode", *plain
-    )
-    return ordered_walk(walked, ["video_id", "episode"], ["frame_idx"], _track_episode, CONFIRMATION)
+    frame = settle(
+        cut.filter("ok").select(
+            "video_id", F.col("frame_idx").cast("bigint").alias("frame_idx"), "t_s", "fill_ratio", "confidence", "episode", *plain
+        )
+    )
+    piece = ["video_id", "episode", "start"]
+    pieces = restarted(frame, ["video_id", "episode"], "frame_idx", "fill_ratio", MAX_FILL_DELTA)
+    moved = pieces.filter(F.abs(F.col("fill_ratio") - F.col("base")) >= MIN_FILL_DELTA)
+    first = moved.groupBy(*piece).agg(F.min("frame_idx").alias("at"))
+    counted = pieces.join(first, piece).filter(F.col("frame_idx") <= F.col("at"))
+    counted = counted.groupBy(*piece, "at", "base").agg(F.count(F.lit(1)).cast("int").alias("temporal_observations"))
+    begin = frame.select("video_id", F.col("frame_idx").alias("start"), F.col("t_s").alias("start_s"))
+    found = counted.join(begin, ["video_id", "start"]).withColumnRenamed("at", "frame_idx")
+    rows = found.drop("start").join(frame.drop("episode"), ["video_id", "frame_idx"])
+    made = {
+        "confidence": F.greatest(F.lit(CONFIRMED_CONFIDENCE), "confidence"),
+        "fill_delta": F.col("fill_ratio") - F.col("base"),
+        "confirmed_at_s": F.col("t_s"),
+    }
+    return rows.select(*[made.get(c, F.col(c)).alias(c) for c in (f.split()[0] for f in CONFIRMATION.split(", "))])
 
 
 def confirmation_evidence(confirmed: DataFrame) -> DataFrame:
@@ -306,31 +310,23 @@ def scan_filter(frame_obs: DataFrame) -> DataFrame:
 
     A frame is surely kept when it lies more than twice the tolerance from the frame before it, so
     the videos fall into short pieces, and only within a piece the last kept frame must be followed.
+    Where positions never go back, kept frames are anchors on a timeline; other pieces restart at each
+    kept frame.
     """
     order, block = ["frame_idx"], F.floor(F.col("frame_idx") / 4096)
     finite = frame_obs.filter(is_finite(F.col("t_s")))
     prior = ordered.scan_before(finite, ["video_id"], order, block, [ordered.Scan("_prior", "last", F.col("t_s"))])
     opens = F.col("_prior").isNull() | (F.abs(F.col("t_s") - F.col("_prior")) > 2 * SAME_POSITION_S)
-    cut = ordered.islands(
-        prior.withColumn("_opens", opens), ["video_id"], order, block, F.col("_opens"), F.col("frame_idx"), "_piece"
+    keys = ["video_id", "_piece"]
+    cut = settle(
+        ordered.islands(
+            prior.withColumn("_opens", opens), ["video_id"], order, block, F.col("_opens"), F.col("frame_idx"), "_piece"
+        ).select(*keys, "frame_idx", "t_s", (~F.col("_opens") & (F.col("t_s") < F.col("_prior"))).alias("back"))
     )
-    state = "struct<last:double,kept:array<struct<frame_idx:bigint>>>"
-
-    def step(acc: Column, f: Column) -> Column:
-        keep = acc["last"].isNull() | (F.abs(f["t_s"] - acc["last"]) > SAME_POSITION_S)
-        grown = F.struct(
-            f["t_s"].alias("last"),
-            F.array_append(acc["kept"], F.struct(f["frame_idx"].cast("bigint").alias("frame_idx"))).alias("kept"),
-        ).cast(state)
-        return F.when(keep, grown).otherwise(acc)
-
-    empty = F.struct(
-        F.lit(None).cast("double").alias("last"), F.array().cast("array<struct<frame_idx:bigint>>").alias("kept")
-    ).cast(state)
-    kept = (
-        cut.groupBy("video_id", "_piece")
-        .agg(F.array_sort(F.collect_list(F.struct("frame_idx", "t_s"))).alias("_f"))
-        .select("video_id", F.inline(F.aggregate("_f", empty, step)["kept"]))
-    )
-    return frame_obs.join(kept, ["video_id", "frame_idx"], "left_semi")
-
+    back = cut.filter("back").select(*keys).distinct()
+    onward = cut.join(back, keys, "left_anti")
+    anchor = anchors.spaced_anchors(onward, keys, "t_s", SAME_POSITION_S).filter("anchor = t_s").select(*keys, "t_s")
+    kept = onward.join(anchor, [*keys, "t_s"]).groupBy(*keys, "t_s").agg(F.min("frame_idx").alias("frame_idx"))
+    walked = restarted(cut.join(back, keys, "left_semi"), keys, "frame_idx", "t_s", SAME_POSITION_S)
+    both = kept.select("video_id", "frame_idx").union(walked.filter("frame_idx = start").select("video_id", "frame_idx"))
+    return frame_obs.join(both, ["video_id", "frame_idx"], "left_semi")

@@ -8,7 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from reelmark.operators import evaluation, fusion, registry
+from reelmark.functions.pieces import restarted
+from reelmark.operators import evaluation, frames, fusion, registry
 
 
 def walked(times, gap, inclusive):
@@ -25,8 +26,8 @@ def walked(times, gap, inclusive):
 def test_anchors_are_those_of_a_walk(spark, gap, inclusive):
     rng = random.Random(int(gap * 10) + inclusive)
     rows = []
-    for k, step in enumerate([0.05, 0.3, 1.0, 3.0, 6.0, 5.999999, 40.0]):
-        t = rng.choice([-20.0, 0.0, 7.5])
+    for k, step in enumerate([0.05, 0.3, 1.0, 3.0, 6.0, 5.999999, 40.0, 0.02, 2.0, 0.1]):
+        t = [-20.0, 0.0, 7.5][k % 3]
         for _ in range(150):
             rows.append((f"k{k}", t))
             t += rng.choice([step, step, step * rng.random(), 0.0])
@@ -136,3 +137,39 @@ def test_one_long_promotion_log(spark):
     log = [(rng.choice(["promote", "rollback", "rollback"]), f"m{rng.randrange(5)}") for _ in range(40_000)]
     got = registry.replay_promotions(spark.createDataFrame(log_rows("r", log), LOG)).orderBy("id").collect()
     assert [(r.accepted, r.active_model_id) for r in got] == replayed(log)
+
+
+def kept_frames(rows):
+    out, last = set(), {}
+    for v, i, t in sorted(rows, key=lambda r: (r[0], r[1])):
+        if t is not None and (v not in last or abs(t - last[v]) > frames.SAME_POSITION_S):
+            out.add((v, i))
+            last[v] = t
+    return out
+
+
+def test_kept_frames_are_those_of_a_walk(spark):
+    rng = random.Random(5)
+    rows = []
+    for v, steps in enumerate([[0.0], [0.02], [0.02, 0.07], [0.04, -0.04], [0.0, 0.03, -0.08], [5.0, -3.0, 0.01], [0.05], [0.025, 0.0]]):
+        t = 0.0
+        for i in range(120):
+            rows.append((f"v{v}", i, None if rng.random() < 0.02 else t))
+            t += rng.choice([*steps, steps[0] * rng.random()])
+    got = frames.scan_filter(spark.createDataFrame(rows, "video_id string, frame_idx int, t_s double")).collect()
+    assert {(r.video_id, r.frame_idx) for r in got} == kept_frames(rows) and len(got) == len(kept_frames(rows))
+
+
+def test_pieces_restart_where_a_value_has_left_its_base(spark):
+    rng = random.Random(9)
+    rows = [(k, i, rng.choice([0.1, 0.3, 0.5, 0.7, 0.9])) for k in "abc" for i in range(rng.randint(1, 40))]
+    want = set()
+    for k in "abc":
+        start = base = None
+        for _, i, x in [r for r in rows if r[0] == k]:
+            if base is None or abs(x - base) > 0.5:
+                start, base = i, x
+            want.add((k, i, start, base))
+    got = restarted(spark.createDataFrame(rows, "k string, i int, x double"), ["k"], "i", "x", 0.5)
+    assert {(r.k, r.i, r.start, r.base) for r in got.collect()} == want
+    assert restarted(spark.createDataFrame([], "k string, i int, x double"), ["k"], "i", "x", 0.5).count() == 0

@@ -188,6 +188,28 @@ def test_skips_batch_and_stream(spark, tmp_path):
     assert [(r.decision_id, r.target_s) for r in back] == [("10.0-60.0", 12.5)]
 
 
+def test_ticks_that_share_an_instant_both_decide(spark, tmp_path):
+    ranges = spark.createDataFrame([("v", 10.0, 60.0, 0.9, 1), ("v", 100.0, 160.0, 0.8, 2), ("v", 20.0, 70.0, 0.7, 3)], "video_id string, start_s double, end_s double, confidence double, cand_idx long")
+    tick = spark.createDataFrame([("s", "v", 5, 25.0), ("s", "v", 5, 110.0), ("s", "v", 6, 65.0)], "session_id string, video_id string, t int, pos_s double")
+    tick = tick.select("session_id", "video_id", F.timestamp_seconds("t").alias("ts"), "pos_s", F.lit(300.0).alias("duration_s"), F.lit(True).alias("is_playing"))
+    want = {(10.0, 25.0), (100.0, 110.0)}
+    assert {(r.start_s, r.from_s) for r in playback.skip_decisions(tick, ranges).collect()} == want
+    streamed = run(spark, jobs.stream_skips(as_stream(spark, tick, tmp_path), ranges), tmp_path).collect()
+    assert {(r.start_s, r.from_s) for r in streamed} == want
+
+
+def test_stale_status_by_event_time(spark, tmp_path):
+    rows = [("a", 0, "frames"), ("b", 1, "frames"), ("c", 2, "done"), ("b", 14, "fusion"), ("d", 40, "frames"), ("e", 50, "idle")]
+    df = spark.createDataFrame([(v, t, p, 0.5, 1) for v, t, p in rows], "video_id string, t int, phase string, progress double, sample_count int")
+    df = df.withColumn("updated_at", F.timestamp_seconds(F.col("t") + 1_000_000))
+    source = as_stream(spark, df, tmp_path, 3, ["t"])
+    sent = run(spark, jobs.latest_status(source, 15.0, "1 second"), tmp_path, "update").collect()
+    # At the end the newest event is at 50, less the delay: b is silent since 14, d only since 40.
+    assert {(r.video_id, r.phase) for r in sent if r.stale} == {("a", "frames"), ("b", "fusion")}
+    want = {("a", "frames"), ("b", "frames"), ("b", "fusion"), ("c", "done"), ("d", "frames"), ("e", "idle")}
+    assert {(r.video_id, r.phase) for r in sent if not r.stale} == want
+
+
 def test_status_and_activity(spark, tmp_path):
     rows = [("a", 0, "frames", 0.4, 3), ("a", 10, "fusion", 1.7, -2), ("b", 5, "done", 0.9, 4), ("c", 30, "nope", 0.9, 4)]
     df = spark.createDataFrame(rows, "video_id string, t int, phase string, progress double, sample_count int")

@@ -360,5 +360,13 @@ def candidate_pool(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
     )
 
 
+def seen_ends(pool: DataFrame) -> DataFrame:
+    """The end rows of the candidates of a pool, with the columns of members that skipping asks for.
+
+    A candidate has one end row at most, so the pool itself tells where it is and no other evidence is paired.
+    """
+    return pool.filter("detected_end_s is not null").select(*CAND, F.lit(END).alias("kind"), F.col("detected_end_s").alias("start_s"))
+
+
 def heuristic_candidates(evidence: DataFrame, threshold: float = DISPLAY_THRESHOLD) -> DataFrame:
     return candidate_pool(evidence).filter(F.col("confidence") >= threshold)

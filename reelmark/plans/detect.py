@@ -805,8 +805,8 @@ SKIP = f"""{FUSED}, skippable as (select c.* from cand c where end_s is not null
 
 
 def skippable(spark, sf):
-    candidate, member = candidates_and_members(spark, sf)
-    return scoring.skippable(candidate, member)
+    pool = settle(fusion.candidate_pool(d.evidence(spark, sf)))
+    return scoring.skippable(pool, fusion.seen_ends(pool))
 
 
 @query("skippable", f"{SKIP} select video_id, cand_idx, start_s, end_s, confidence from skippable", EV)

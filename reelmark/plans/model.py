@@ -272,7 +272,6 @@ def _(spark, sf):
     return _report_columns(_read_back(store.export_evaluation(report, "m-3"), report.schema))
 
 
-
 # ---- training --------------------------------------------------------------------
 
 SPLIT = """chars as (select k, video_id, string_split(k, '') as cs from (select distinct video_id, 'video:' || video_id as k from d_example) v),
@@ -372,18 +371,31 @@ def _(spark, sf):
 
 
 FEATS = d.EXAMPLE_FEATURES
-_STEP_LOGIT = "b" + "".join(f" + w_{f} * {f}" for f in FEATS)
-# One row of state per step: the weights; each step sums over all training rows.
-TRAINED = f"""fit as materialized (select e.* from d_example e join side s on e.video_id = s.video_id where not s.holdout),
+
+
+def step_logit(feats: list[str]) -> str:
+    return "b" + "".join(f" + w_{f} * {f}" for f in feats)
+
+
+def trained_cte(feats: list[str]) -> str:
+    """One row of state per step: the weights; each step sums over all training rows."""
+    return f"""fit as materialized (select e.* from d_example e join side s on e.video_id = s.video_id where not s.holdout),
 steps as (
-  select 0 as step, 0.0e0 as b, {', '.join(f'0.0e0 as w_{f}' for f in FEATS)}
+  select 0 as step, 0.0e0 as b, {', '.join(f'0.0e0 as w_{f}' for f in feats)}
   union all
-  select step + 1, {rnd(f'(b - {training.LEARNING_RATE}e0 * gb)', 6)}, {', '.join(rnd(f'(w_{f} - {training.LEARNING_RATE}e0 * (g_{f} + {training.L2}e0 * w_{f}))', 6) for f in FEATS)}
-  from (select step, b, {', '.join(f'w_{f}' for f in FEATS)}, sum(e) / count(*) as gb, {', '.join(f'sum(e * {f}) / count(*) as g_{f}' for f in FEATS)}
-    from (select steps.*, fit.*, 1.0e0 / (1.0e0 + exp(-({_STEP_LOGIT}))) - label as e from steps, fit where step < {training.ITERATIONS}) x
-    group by step, b, {', '.join(f'w_{f}' for f in FEATS)}) y
+  select step + 1, {rnd(f'(b - {training.LEARNING_RATE}e0 * gb)', 6)}, {', '.join(rnd(f'(w_{f} - {training.LEARNING_RATE}e0 * (g_{f} + {training.L2}e0 * w_{f}))', 6) for f in feats)}
+  from (select step, b, {', '.join(f'w_{f}' for f in feats)}, sum(e) / count(*) as gb, {', '.join(f'sum(e * {f}) / count(*) as g_{f}' for f in feats)}
+    from (select steps.*, fit.*, 1.0e0 / (1.0e0 + exp(-({step_logit(feats)}))) - label as e from steps, fit where step < {training.ITERATIONS}) x
+    group by step, b, {', '.join(f'w_{f}' for f in feats)}) y
 ), trained as (select * from steps where step = {training.ITERATIONS})"""
-_WEIGHT_ROWS = "select 'intercept' as name, b as weight from trained" + "".join(f" union all select '{f}', w_{f} from trained" for f in FEATS)
+
+
+def weight_rows(feats: list[str]) -> str:
+    return "select 'intercept' as name, b as weight from trained" + "".join(f" union all select '{f}', w_{f} from trained" for f in feats)
+
+
+TRAINED = trained_cte(FEATS)
+_WEIGHT_ROWS = weight_rows(FEATS)
 
 
 @query("train_logistic", f"with recursive {SPLIT}, {TRAINED} {_WEIGHT_ROWS}", EX)
@@ -393,22 +405,24 @@ def _(spark, sf):
     return spark.createDataFrame([("intercept", intercept), *weights.items()], "name string, weight double")
 
 
-SCORED_HELD = f"""scored as (select e.id, e.label, 1.0e0 / (1.0e0 + exp(-({_STEP_LOGIT}))) as score
+def held_cte(feats: list[str]) -> str:
+    return f"""scored as (select e.id, e.label, 1.0e0 / (1.0e0 + exp(-({step_logit(feats)}))) as score
   from d_example e join side s on e.video_id = s.video_id, trained where s.holdout)"""
+
+
 AT_POSITIVE = f"""at_p as (select {_quality('tp', 'fp', 'pos', 'n')} from (select count(*) as n, count(*) filter (where label = 1) as pos,
   count(*) filter (where score >= positive and label = 1) as tp, count(*) filter (where score >= positive and label = 0) as fp from scored, p) c)"""
 
 
-@query(
-    "model_artifact",
-    f"""with recursive {SPLIT}, {TRAINED}, {SWEEP.replace(SCORED, SCORED_HELD)}, {THRESHOLDS}, {AT_POSITIVE}
-{_WEIGHT_ROWS} union all select 'positive', positive from p union all select 'review', review from v
+def artifact_sql(feats: list[str]) -> str:
+    """What training makes of ``d_example``, as names and numbers."""
+    return f"""{SPLIT}, {trained_cte(feats)}, {SWEEP.replace(SCORED, held_cte(feats))}, {THRESHOLDS}, {AT_POSITIVE}
+{weight_rows(feats)} union all select 'positive', positive from p union all select 'review', review from v
 union all select 'accuracy', accuracy from at_p union all select 'precision', "precision" from at_p union all select 'recall', recall from at_p
-union all select 'f1', f1 from at_p union all select 'trainExamples', count(*) from fit union all select 'validationExamples', count(*) from scored""",
-    EX,
-)
-def _(spark, sf):
-    model = training.model_artifact(d.examples(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc))
+union all select 'f1', f1 from at_p union all select 'trainExamples', count(*) from fit union all select 'validationExamples', count(*) from scored"""
+
+
+def artifact_rows(model):
     picked = lambda c, names: F.map_filter(c, lambda k, _: k.isin(*names))
     parts = F.map_concat(
         F.create_map(F.lit("intercept"), "intercept", F.lit("positive"), "thresholds.positive", F.lit("review"), "thresholds.review"),
@@ -418,6 +432,11 @@ def _(spark, sf):
     return model.select(F.explode(parts).alias("name", "weight"))
 
 
+@query("model_artifact", f"with recursive {artifact_sql(FEATS)}", EX)
+def _(spark, sf):
+    return artifact_rows(training.model_artifact(d.examples(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc)))
+
+
 @query(
     "training_run",
     f"""with recursive {SPLIT} select 'run-7' as id, '2024-02-01' as created_at, count(*) as dataset_size, count(*) filter (where s.holdout) as validation_size,
@@ -429,14 +448,6 @@ def _(spark, sf):
     return training.training_run(model, "run-7", "2024-02-01").drop("model_id", "metrics")
 
 
-@query("train_pipeline")
-def _(spark, sf):
-    model, run = training.train_pipeline(
-        d.feedback(spark, sf), d.reviews(spark, sf), datetime(2024, 2, 1, tzinfo=timezone.utc), "run-1"
-    )
-    return run.join(model.select("model_id", "thresholds", "boundary_calibration"), "model_id")
-
-
 # ---- caption sources ------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions.tables import settle
@@ -9,7 +11,7 @@ from ..operators import admission, dashboard, feedback as fb, status, training
 from ..sources import intake, schemas as S, store
 from ..streaming import jobs
 from . import derived as d
-from .model import MODEL_CTE, model_table
+from .model import MODEL_CTE, artifact_rows, artifact_sql, model_table
 from .registry import clock, query, rnd
 from .streams import as_stream, drained, in_order, new_folder
 
@@ -503,6 +505,28 @@ def _(spark, sf):
     return lines.select(F.from_json("value", rows.schema).alias("m")).select(*[f"m.{c}" for c in _DATASET_COLUMNS])
 
 
+# ---- feedback and reviews to a model ------------------------------------------------------
+
+# The examples of reviewed feedback take the place of the derived ones; rows without a video are groups of their own.
+_TRAINED_ON = f"""{JOINED}, d_example as materialized (select id, case when coalesce(video_id, '') <> '' then 'video:' || video_id else 'feedback:' || id end as video_id,
+  {TRAIN_LABEL} as label, feat_confidence as heuristicConfidence, feat_total as evidenceTotal
+from joined where feat_total is not null and {TRAIN_LABEL} is not null and feature_schema_version = 2)"""
+_PIPELINE = artifact_sql(["evidenceTotal", "heuristicConfidence"]).replace("'video:' || video_id as k", "video_id as k")
+
+
+@query(
+    "train_pipeline",
+    f"""with recursive {_TRAINED_ON}, {_PIPELINE} union all select 'dataset_size', count(*) from d_example
+union all select 'validation_size', count(*) from d_example e join side s on e.video_id = s.video_id where s.holdout""",
+    FR,
+)
+def _(spark, sf):
+    now = datetime(2024, 2, 1, tzinfo=timezone.utc)
+    model, run = training.train_pipeline(d.feedback(spark, sf), d.reviews(spark, sf), now, "run-1")
+    sizes = F.explode(F.create_map(*[x for c in ("dataset_size", "validation_size") for x in (F.lit(c), F.col(c).cast("double"))]))
+    return artifact_rows(model).union(run.filter("status = 'completed'").select(sizes.alias("name", "weight")))
+
+
 # ---- status, admission, streams --------------------------------------------------------------
 
 

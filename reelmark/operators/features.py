@@ -83,11 +83,15 @@ def transcript_context(candidate: DataFrame, cue: DataFrame, window_s: float = C
     return text_in_span(candidate, CAND, cue, start, end, "transcript_context")
 
 
-def _groups(raw: Column) -> Column:
-    """Phrase groups of the evidence of a candidate, an aggregate: one id, an array of ids, or both in a row."""
+def row_groups(raw: Column) -> Column:
+    """Phrase groups of an evidence row: one id, an array of ids, or both."""
     own = F.concat(F.array(raw["phrase_group_id"]), F.coalesce(raw["phrase_group_ids"], F.array().cast("array<string>")))
-    named = F.filter(own, lambda g: F.trim(g) != "")
-    return F.array_distinct(F.flatten(F.collect_set(named)))
+    return F.filter(own, lambda g: F.trim(g) != "")
+
+
+def _groups(raw: Column) -> Column:
+    """Phrase groups of the evidence of a candidate, an aggregate."""
+    return F.array_distinct(F.flatten(F.collect_set(row_groups(raw))))
 
 
 def phrase_group_ids(member: DataFrame) -> DataFrame:
@@ -97,17 +101,19 @@ def phrase_group_ids(member: DataFrame) -> DataFrame:
     )
 
 
+def said() -> Column:
+    """The words of an evidence row, as they count for phrase hits."""
+    raw = F.col("raw")
+    return F.concat_ws(" ", F.col("reason"), raw["text"], raw["phrase"], raw["value"], F.array_join(raw["links"], " "))
+
+
 def _phrase_hits(member: DataFrame, context: DataFrame | None, nfkc: bool) -> DataFrame:
     """Number of distinct phrases found in the ordered text of a candidate.
 
     A phrase of n words lies in one part or runs over at most n - 1 more parts; each part is therefore
     searched together with the head of what follows, as far as the longest phrase of the list reaches.
     """
-    raw = F.col("raw")
-    said = F.concat_ws(
-        " ", F.col("reason"), raw["text"], raw["phrase"], raw["value"], F.array_join(raw["links"], " ")
-    )
-    parts = member.select(*CAND, F.col("start_s").alias("_o1"), F.col("ev_idx").alias("_o2"), said.alias("part"))
+    parts = member.select(*CAND, F.col("start_s").alias("_o1"), F.col("ev_idx").alias("_o2"), said().alias("part"))
     if context is not None:
         first = context.select(
             *CAND, F.lit(float("-inf")).alias("_o1"), F.lit(0).cast("bigint").alias("_o2"),
@@ -143,88 +149,79 @@ def _phrase_hits(member: DataFrame, context: DataFrame | None, nfkc: bool) -> Da
     )
 
 
-def candidate_features(
-    candidate: DataFrame,
-    member: DataFrame,
-    context: DataFrame | None = None,
-    video: DataFrame | None = None,
-    nfkc: bool = True,
-) -> DataFrame:
-    """``video_id, cand_idx`` and the 38 feature columns.
-
-    ``context``: output of ``transcript_context``; ``video``: ``video_id, duration_s``.
-    """
-    src, kind, conf, raw = F.col("source"), F.col("kind"), F.col("confidence"), F.col("raw")
-    names = {TRANSCRIPT: "Transcript", QR_CODE: "Qr", PROGRESS_BAR: "ProgressBar", VISIBLE_LINK: "VisibleLink"}
-
-    def n(condition: Column) -> Column:
-        return F.count(F.when(condition, 1)).cast("double")
+_SOURCES = {TRANSCRIPT: "Transcript", QR_CODE: "Qr", PROGRESS_BAR: "ProgressBar", VISIBLE_LINK: "VisibleLink"}
 
-    def mean(value: Column, condition: Column) -> Column:
-        total = F.sum(F.when(condition, value).cast("decimal(24,6)")).cast("double")
-        return F.coalesce(js_round(total / F.nullif(n(condition), F.lit(0.0)), 6), F.lit(0.0))
 
+def _measures() -> tuple[dict[str, Column], dict[str, Column]]:
+    """What one evidence row adds to its candidate: values to sum (counts, decimals) and values to take the largest of."""
+    src, kind, conf, raw = F.col("source"), F.col("kind"), F.col("confidence"), F.col("raw")
     width = F.greatest(F.lit(0.0), raw["location"]["bottom_right"]["x"] - raw["location"]["top_left"]["x"])
     height = F.greatest(F.lit(0.0), raw["location"]["bottom_right"]["y"] - raw["location"]["top_left"]["y"])
-    edges = [raw["location"][c][a] for c in ("top_left", "bottom_right") for a in ("x", "y")]
     boxed = (src == QR_CODE) & (width > 0) & (height > 0)
-    for e in edges:
+    for e in [raw["location"][c][a] for c in ("top_left", "bottom_right") for a in ("x", "y")]:
         boxed = boxed & is_finite(e)
-    boxed = F.coalesce(boxed, F.lit(False))
     bar_width = raw["end_x"] - raw["start_x"] + 1
     barred = (src == PROGRESS_BAR) & (bar_width > 0) & (raw["rows"] > 0)
     for e in (raw["start_x"], raw["end_x"], raw["y"], raw["rows"]):
         barred = barred & is_finite(e)
-    barred = F.coalesce(barred, F.lit(False))
-    aggs = [
-        F.count(F.lit(1)).cast("double").alias("evidenceTotal"),
-        n((src == TRANSCRIPT) & (kind == START)).alias("transcriptStartCount"),
-        n((src == TRANSCRIPT) & (kind == PRESENCE)).alias("transcriptPresenceCount"),
-        n((src == TRANSCRIPT) & (kind == END)).alias("transcriptEndCount"),
-        n(src == TRANSCRIPT).alias("_transcript"),
-        n(src == QR_CODE).alias("qrCount"),
-        n(src == PROGRESS_BAR).alias("progressBarCount"),
-        n(src == VISIBLE_LINK).alias("visibleLinkCount"),
-        n(boxed).alias("qrLocationCount"),
-        mean(width * height, boxed).alias("avgQrBoxAreaPixels"),
-        mean(raw["location"]["top_left"]["x"] + width / 2, boxed).alias("avgQrBoxCenterX"),
-        mean(raw["location"]["top_left"]["y"] + height / 2, boxed).alias("avgQrBoxCenterY"),
-        mean(bar_width, barred).alias("avgProgressBarWidthPixels"),
-        mean(raw["y"], barred).alias("avgProgressBarY"),
-        mean(raw["rows"], barred).alias("avgProgressBarRows"),
-        js_round(F.max("start_s") - F.min("start_s"), 6).alias("evidenceTimeSpanSeconds"),
-        F.size(_groups(raw)).cast("double").alias("matchedPhraseGroupCount"),
-        F.bool_or(
-            (kind == END)
-            & F.when(F.col("_end").isNotNull(), F.abs(F.col("start_s") - F.col("_end")) <= NEAR_END_S).otherwise(
-                (F.col("start_s") >= F.col("_start")) & (F.col("start_s") <= F.col("_start") + OPEN_REACH_S)
-            )
-        ).cast("double").alias("nearbyEndCue"),
-    ]
-    for key, name in names.items():
-        aggs.append(F.coalesce(js_round(F.max(F.when(src == key, conf)), 6), F.lit(0.0)).alias(f"max{name}Confidence"))
-        aggs.append(mean(conf, src == key).alias(f"avg{name}Confidence"))
-    span = candidate.select(*CAND, F.col("start_s").alias("_start"), F.col("end_s").alias("_end"), F.col("confidence").alias("_conf"))
-    per = (
-        member.join(span, CAND)
-        .groupBy(*CAND, "_start", "_end", "_conf")
-        .agg(*aggs)
-        .join(_phrase_hits(member, context, nfkc), CAND, "left")
-    )
-    if video is not None:
-        per = per.join(video.select("video_id", F.col("duration_s").alias("_dur")), "video_id", "left")
-    else:
-        per = per.withColumn("_dur", F.lit(None).cast("double"))
+
+    def n(condition: Column) -> Column:
+        return F.coalesce(condition, F.lit(False)).cast("bigint")
+
+    def part(value: Column, condition: Column) -> Column:
+        return F.when(condition, value).cast("decimal(24,6)")
+
+    sums = {
+        "evidenceTotal": F.lit(1).cast("bigint"),
+        "transcriptStartCount": n((src == TRANSCRIPT) & (kind == START)),
+        "transcriptPresenceCount": n((src == TRANSCRIPT) & (kind == PRESENCE)),
+        "transcriptEndCount": n((src == TRANSCRIPT) & (kind == END)),
+        "_transcript": n(src == TRANSCRIPT),
+        "qrCount": n(src == QR_CODE),
+        "progressBarCount": n(src == PROGRESS_BAR),
+        "visibleLinkCount": n(src == VISIBLE_LINK),
+        "qrLocationCount": n(boxed),
+        "_barred": n(barred),
+        "avgQrBoxAreaPixels": part(width * height, boxed),
+        "avgQrBoxCenterX": part(raw["location"]["top_left"]["x"] + width / 2, boxed),
+        "avgQrBoxCenterY": part(raw["location"]["top_left"]["y"] + height / 2, boxed),
+        "avgProgressBarWidthPixels": part(bar_width, barred),
+        "avgProgressBarY": part(raw["y"], barred),
+        "avgProgressBarRows": part(raw["rows"], barred),
+    }
+    maxima = {"_last": F.col("start_s"), "_first": -F.col("start_s")}
+    for key, name in _SOURCES.items():
+        sums[f"avg{name}Confidence"] = part(conf, src == key)
+        maxima[f"max{name}Confidence"] = F.when(src == key, conf)
+    return sums, maxima
+
+
+def _vector(per: DataFrame) -> DataFrame:
+    """The feature columns from the summed measures of a candidate.
+
+    Also needed: ``_start``, ``_end``, ``_conf``, ``_dur``, ``matchedPhraseGroupCount``, ``nearbyEndCue`` and the hit counts.
+    """
+    counts = {"Qr": "qrCount", "ProgressBar": "progressBarCount", "VisibleLink": "visibleLinkCount", "Transcript": "_transcript"}
+    of = {f"avg{name}Confidence": c for name, c in counts.items()}
+    of |= {f: "qrLocationCount" for f in ("avgQrBoxAreaPixels", "avgQrBoxCenterX", "avgQrBoxCenterY")}
+    of |= {f: "_barred" for f in ("avgProgressBarWidthPixels", "avgProgressBarY", "avgProgressBarRows")}
+
+    def mean(total: str) -> Column:
+        n = F.nullif(F.col(of[total]).cast("double"), F.lit(0.0))
+        return F.coalesce(js_round(F.col(total).cast("double") / n, 6), F.lit(0.0))
 
     def flag(condition: Column) -> Column:
         return condition.cast("double")
 
     some = {k: F.col(c) > 0 for k, c in (("t", "_transcript"), ("q", "qrCount"), ("p", "progressBarCount"), ("l", "visibleLinkCount"))}
     position = js_round(F.col("_start") / F.when(F.col("_dur") > 0, F.col("_dur")), 6)
-    derived = {
+    derived = {f: mean(f) for f in of}
+    derived |= {f: F.coalesce(js_round(F.col(f), 6), F.lit(0.0)) for f in (f"max{name}Confidence" for name in counts)}
+    derived |= {
         "heuristicConfidence": js_round(F.col("_conf"), 6),
         "startSeconds": js_round(F.col("_start"), 6),
         "durationSeconds": F.coalesce(js_round(F.greatest(F.lit(0.0), F.col("_end") - F.col("_start")), 6), F.lit(0.0)),
+        "evidenceTimeSpanSeconds": js_round(F.col("_last") + F.col("_first"), 6),
         "isOpenEnded": flag(F.col("_end").isNull()),
         "normalizedVideoPosition": F.coalesce(position, F.lit(0.0)),
         "hasTranscriptAndQr": flag(some["t"] & some["q"]),
@@ -236,7 +233,48 @@ def candidate_features(
         "sponsorPhraseHitCount": F.coalesce("sponsorPhraseHitCount", F.lit(0.0)),
         "callToActionPhraseHitCount": F.coalesce("callToActionPhraseHitCount", F.lit(0.0)),
     }
-    return per.select(*CAND, *[derived.get(f, F.col(f)).alias(f) for f in FEATURE_NAMES])
+    return per.select(*CAND, *[derived.get(f, F.col(f)).cast("double").alias(f) for f in FEATURE_NAMES])
+
+
+def _with_duration(per: DataFrame, video: DataFrame | None) -> DataFrame:
+    if video is None:
+        return per.withColumn("_dur", F.lit(None).cast("double"))
+    return per.join(video.select("video_id", F.col("duration_s").alias("_dur")), "video_id", "left")
+
+
+def _span_of(candidate: DataFrame) -> DataFrame:
+    return candidate.select(*CAND, F.col("start_s").alias("_start"), F.col("end_s").alias("_end"), F.col("confidence").alias("_conf"))
+
+
+def candidate_features(
+    candidate: DataFrame,
+    member: DataFrame,
+    context: DataFrame | None = None,
+    video: DataFrame | None = None,
+    nfkc: bool = True,
+) -> DataFrame:
+    """``video_id, cand_idx`` and the 38 feature columns, from given members.
+
+    ``context``: output of ``transcript_context``; ``video``: ``video_id, duration_s``. Candidates of a pool have the same
+    features by ``pool_features``, which makes no members.
+    """
+    sums, maxima = _measures()
+    kind, raw = F.col("kind"), F.col("raw")
+    near_end = (kind == END) & F.when(
+        F.col("_end").isNotNull(), F.abs(F.col("start_s") - F.col("_end")) <= NEAR_END_S
+    ).otherwise((F.col("start_s") >= F.col("_start")) & (F.col("start_s") <= F.col("_start") + OPEN_REACH_S))
+    per = (
+        member.join(_span_of(candidate), CAND)
+        .groupBy(*CAND, "_start", "_end", "_conf")
+        .agg(
+            *[F.sum(c).alias(k) for k, c in sums.items()],
+            *[F.max(c).alias(k) for k, c in maxima.items()],
+            F.size(_groups(raw)).alias("matchedPhraseGroupCount"),
+            F.bool_or(near_end).alias("nearbyEndCue"),
+        )
+        .join(_phrase_hits(member, context, nfkc), CAND, "left")
+    )
+    return _vector(_with_duration(per, video))
 
 
 def feature_map(names: list[str] | None = None) -> Column:

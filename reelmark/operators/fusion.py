@@ -201,6 +201,24 @@ def eligible_clusters(cluster: DataFrame, *more: Column) -> DataFrame:
     )
 
 
+def clustered_members(items: DataFrame) -> DataFrame:
+    """Candidates of videos without a start cue with their evidence; a row belongs to one candidate at most."""
+    cluster = presence_clusters(items, settle(presence_chains(seed_mode(items)[1])))
+    kept = eligible_clusters(cluster).select("video_id", "cluster_s", "cand_idx")
+    return cluster.join(kept, ["video_id", "cluster_s"]).select(
+        "cand_idx", F.col("cluster_s").alias("cand_s"), F.lit(False).alias("seeded"), *EVIDENCE_COLUMNS
+    )
+
+
+def boundary_members(items: DataFrame) -> DataFrame:
+    """The members that decide a candidate's primary source: its start cue, or else the rows of its cluster.
+
+    ``items`` is the coalesced evidence. A start cue comes before all other rows, so those need not be paired with it.
+    """
+    own = seeds_of(items).withColumn("cand_idx", F.col("ev_idx")).select("cand_idx", *EVIDENCE_COLUMNS)
+    return own.unionByName(clustered_members(items).select("cand_idx", *EVIDENCE_COLUMNS))
+
+
 def candidate_members(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
     """All candidates in long form: one row per candidate and related evidence row.
 
@@ -208,7 +226,6 @@ def candidate_members(evidence: DataFrame, coalesced: bool = False) -> DataFrame
     rows and its columns from the files. Pass ``coalesced`` if the input is such a table.
     """
     items = evidence if coalesced else settle(coalesce_frames(evidence))
-    _, unseeded = seed_mode(items)
     seed = seeds_of(items)
     head = [F.col("ev_idx").alias("cand_idx"), F.col("start_s").alias("cand_s"), F.lit(True).alias("seeded")]
     own = seed.select(*head, *EVIDENCE_COLUMNS)
@@ -222,11 +239,7 @@ def candidate_members(evidence: DataFrame, coalesced: bool = False) -> DataFrame
         .join(ends, ["video_id", "start_s"])
         .select("cand_idx", "cand_s", "seeded", "end_row.*")
     )
-    cluster = presence_clusters(items, settle(presence_chains(unseeded)))
-    kept = eligible_clusters(cluster).select("video_id", "cluster_s", "cand_idx")
-    clustered = cluster.join(kept, ["video_id", "cluster_s"]).select(
-        "cand_idx", F.col("cluster_s").alias("cand_s"), F.lit(False).alias("seeded"), *EVIDENCE_COLUMNS
-    )
+    clustered = clustered_members(items)
     cols = ["video_id", "cand_idx", "cand_s", "seeded", *[c for c in EVIDENCE_COLUMNS if c != "video_id"]]
     out = own.select(*cols)
     for part in (near, closing, clustered):
@@ -274,7 +287,7 @@ def candidates_of(member: DataFrame) -> DataFrame:
     )
 
 
-def _edge(seed: Column, sign: int) -> Column:
+def edge(seed: Column, sign: int) -> Column:
     """Outermost position whose distance from the seed, as a double, is within the presence window."""
     at = seed + sign * PRESENCE_WINDOW_S
     near = [at + at * (k * 2.0**-53) for k in range(-4, 5)]
@@ -303,8 +316,8 @@ def presence_totals(evidence: DataFrame) -> DataFrame:
     )
     seed = seeds_of(evidence).select("video_id", F.col("start_s").alias("seed_s")).distinct()
     asked = [
-        seed.select("video_id", _edge(F.col("seed_s"), -1).alias("t"), F.lit(0).alias("side"), "seed_s", *nothing),
-        seed.select("video_id", _edge(F.col("seed_s"), 1).alias("t"), F.lit(2).alias("side"), "seed_s", *nothing),
+        seed.select("video_id", edge(F.col("seed_s"), -1).alias("t"), F.lit(0).alias("side"), "seed_s", *nothing),
+        seed.select("video_id", edge(F.col("seed_s"), 1).alias("t"), F.lit(2).alias("side"), "seed_s", *nothing),
     ]
     line = settle(spot.unionByName(asked[0]).unionByName(asked[1]))
     run = ordered.scan_before(

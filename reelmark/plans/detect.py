@@ -12,6 +12,7 @@ from ..operators import (
     fusion,
     links,
     playback,
+    pool_features as pf,
     reports,
     scoring,
     transcript,
@@ -286,14 +287,15 @@ def videos(candidate):
 
 
 def featured(spark, sf):
-    candidate, member = candidates_and_members(spark, sf)
-    candidate = settle(candidate)
-    return candidate, member, ft.candidate_features(candidate, member, None, videos(candidate))
+    """Coalesced evidence, its pool and the pool's features; no candidate is paired with its evidence."""
+    items = settle(fusion.coalesce_frames(d.evidence(spark, sf)))
+    pool = settle(fusion.candidate_pool(items, coalesced=True))
+    return items, pool, pf.pool_features(items, pool, videos(pool))
 
 
 def applied(spark, sf):
-    candidate, member, vector = featured(spark, sf)
-    return scoring.apply_model(candidate, vector, MODEL), member
+    items, pool, vector = featured(spark, sf)
+    return scoring.apply_model(pool, vector, MODEL), items
 
 
 # ---- captions ---------------------------------------------------------------
@@ -665,8 +667,8 @@ def _(spark, sf):
 
 @query("apply_boundary_offsets", f"{APPLIED} select video_id, cand_idx, start_s, end_s from moved", EV)
 def _(spark, sf):
-    candidate, member = applied(spark, sf)
-    return scoring.apply_boundary_offsets(candidate, member, MODEL).select("video_id", "cand_idx", "start_s", "end_s")
+    candidate, items = applied(spark, sf)
+    return scoring.apply_boundary_offsets(candidate, fusion.boundary_members(items), MODEL).select("video_id", "cand_idx", "start_s", "end_s")
 
 
 _BAND = "case when confidence >= 0.75 then 'display' when confidence >= 0.5 then 'review' else 'reject' end"

@@ -578,9 +578,8 @@ def _(spark, sf):
 
 @query("stream_dedup", f"with {KEYED}, {FIRST} select dedup_key, count(*) as n from stored group by 1", FB)
 def _(spark, sf):
-    path = new_folder(spark, "dedup")
-    jobs.run_batches(as_stream(spark, d.feedback(spark, sf), 3), path, jobs.stream_dedup(path))
-    return spark.read.parquet(f"{path}/data").groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
+    stored = drained(spark, jobs.stream_dedup(as_stream(spark, d.feedback(spark, sf), 3)))
+    return stored.groupBy("dedup_key").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

@@ -9,41 +9,52 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions.tables import settle
-from ..operators import features as ft, frames, fusion, playback, scoring
+from ..operators import frames, fusion, playback, pool_features as pf, scoring
 from ..operators.admission import ADMISSION_OUT, Gate, admit
-from ..operators.feedback import dedup_key, first_write_wins
+from ..operators.feedback import dedup_key
 from ..operators.status import STALE_AFTER_S, normalize_status
 
 
-def stored_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """Rows that ``foreachBatch`` writers have put into ``path``, one folder per batch, with ``batch``."""
-    with_batch = StructType([*schema.fields, StructField("batch", LongType())])
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], with_batch)
-    return spark.read.schema(with_batch).parquet(path)
+class _FirstWriteProcessor(StatefulProcessor):
+    """The state of a key says that it has been written; it holds nothing else."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._written = handle.getValueState("written", "yes boolean")
 
-def stream_dedup(path: str) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body: first write of a key wins for good; rows without a key always pass.
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        first = min(rows, key=lambda r: (r.received_at is not None, r.received_at, r.id is not None, r.id))
+        if not self._written.exists():
+            self._written.update((True,))
+            yield first
 
-    Within a batch the first row by time and id counts; keys that earlier batches stored are looked up in
-    the table itself, so nothing expires and late rows are judged like all others. A batch that is run again
-    writes its folder again.
-    """
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._written.update((True,))
 
-    def update(batch: DataFrame, batch_id: int) -> None:
-        first = first_write_wins(dedup_key(batch))
-        stored = stored_batches(batch.sparkSession, f"{path}/data", first.schema).filter(F.col("batch") < batch_id)
-        new = first.join(stored.select("dedup_key"), "dedup_key", "left_anti").select(*first.columns)
-        new.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+    def close(self) -> None:
+        pass
 
-    return update
+
+def stream_dedup(feedback: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """First write of a key wins for good, on a stream; rows without a key always pass.
+
+    Within a batch the first row by time and id counts. Keys written before are kept as keyed state without expiry, so a
+    late row is judged like all others and a batch only looks up its own keys. ``stored``: a table with the ``dedup_key``
+    of rows written before the stream first started; later starts read the state of the checkpoint instead.
+    """
+    keyed = dedup_key(feedback)
+    known = None
+    if stored is not None:
+        known = stored.filter("dedup_key is not null").select("dedup_key").distinct().groupBy("dedup_key")
+    first = (
+        keyed.filter("dedup_key is not null")
+        .groupBy("dedup_key")
+        .transformWithState(_FirstWriteProcessor(), keyed.schema, "append", "none", known)
+    )
+    return first.unionByName(keyed.filter("dedup_key is null"))
 
 
 class _Ordered(StatefulProcessor):
@@ -301,10 +312,11 @@ def newest_versions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scored_candidates(evidence: DataFrame, model: scoring.Model | None, nfkc: bool = True) -> DataFrame:
-    member = settle(fusion.candidate_members(evidence))
-    pool = settle(fusion.candidates_of(member))
-    applied = scoring.apply_model(pool, ft.candidate_features(pool, member, nfkc=nfkc), model)
-    return scoring.select_bands(scoring.apply_boundary_offsets(applied, member, model), model)
+    items = settle(fusion.coalesce_frames(evidence))
+    pool = settle(fusion.candidate_pool(items, coalesced=True))
+    applied = scoring.apply_model(pool, pf.pool_features(items, pool, nfkc=nfkc), model)
+    moved = scoring.apply_boundary_offsets(applied, fusion.boundary_members(items), model)
+    return scoring.select_bands(moved, model)
 
 
 def run_batches(stream: DataFrame, path: str, update: Callable[[DataFrame, int], None], mode: str = "append") -> None:

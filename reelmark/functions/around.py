@@ -17,15 +17,22 @@ def cell_of(at: Column, width: float) -> Column:
 
 
 def around(
-    spots: DataFrame, asked: DataFrame, keys: list[str], name: str, width: float, sums: list[str], maxima: list[str]
+    spots: DataFrame,
+    asked: DataFrame,
+    keys: list[str],
+    name: str,
+    width: float,
+    sums: list[str],
+    maxima: list[str],
+    masks: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Sums and maxima of the spots that lie within each asked window.
+    """Sums, maxima and unions (of bit masks) of the spots that lie within each asked window.
 
     ``spots``: keys, ``from_t``, ``to_t`` (in one cell; equal for a point) and the value columns. ``asked``: keys, ``name``
     (which tells windows apart), ``lo`` and ``hi``, both inclusive and ``width`` apart up to rounding. One row per asked
     window; values are NULL where nothing lies in it.
     """
-    values = [*sums, *maxima]
+    values = [*sums, *maxima, *masks]
     down, up = F.struct(F.lit(0).alias("half"), (-F.col("from_t")).alias("o")), F.struct(F.lit(1).alias("half"), F.col("to_t").alias("o"))
     ends = F.struct(F.lit(0).alias("half"), (-F.col("lo")).alias("o"), cell_of(F.col("lo"), width).alias("cell")), F.struct(
         F.lit(1).alias("half"), F.col("hi").alias("o"), cell_of(F.col("hi"), width).alias("cell")
@@ -42,7 +49,7 @@ def around(
     run = (
         Window.partitionBy(*keys, "_cell", "half").orderBy("o", "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    total = {v: (F.sum if v in sums else F.max) for v in values}
+    total = {v: F.sum if v in sums else F.max if v in maxima else F.bit_or for v in values}
     return (
         placed.unionByName(asks)
         .select(*keys, name, "_side", *[f(v).over(run).alias(v) for v, f in total.items()])

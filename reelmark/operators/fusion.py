@@ -7,9 +7,12 @@ a moment with very many evidence rows only makes more rows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import anchors, intervals, ordered
+from ..functions.around import around
 from ..functions.tables import settle
 from ..functions.numbers import half_up, is_finite, js_round, plain_text
 from ..sources.schemas import END, EVIDENCE_COLUMNS, PRESENCE, PROGRESS_BAR, QR_CODE, START, TRANSCRIPT, VISIBLE_LINK
@@ -201,22 +204,22 @@ def eligible_clusters(cluster: DataFrame, *more: Column) -> DataFrame:
     )
 
 
-def clustered_members(items: DataFrame) -> DataFrame:
+def clustered_members(items: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """Candidates of videos without a start cue with their evidence; a row belongs to one candidate at most."""
-    cluster = presence_clusters(items, settle(presence_chains(seed_mode(items)[1])))
+    cluster = presence_clusters(items, settle(presence_chains(seed_mode(items)[1])) if chains is None else chains)
     kept = eligible_clusters(cluster).select("video_id", "cluster_s", "cand_idx")
     return cluster.join(kept, ["video_id", "cluster_s"]).select(
         "cand_idx", F.col("cluster_s").alias("cand_s"), F.lit(False).alias("seeded"), *EVIDENCE_COLUMNS
     )
 
 
-def boundary_members(items: DataFrame) -> DataFrame:
+def boundary_members(items: DataFrame, chains: DataFrame | None = None) -> DataFrame:
     """The members that decide a candidate's primary source: its start cue, or else the rows of its cluster.
 
     ``items`` is the coalesced evidence. A start cue comes before all other rows, so those need not be paired with it.
     """
     own = seeds_of(items).withColumn("cand_idx", F.col("ev_idx")).select("cand_idx", *EVIDENCE_COLUMNS)
-    return own.unionByName(clustered_members(items).select("cand_idx", *EVIDENCE_COLUMNS))
+    return own.unionByName(clustered_members(items, chains).select("cand_idx", *EVIDENCE_COLUMNS))
 
 
 def candidate_members(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
@@ -303,41 +306,39 @@ def _weighted(confidence: Column, source: Column, kind: Column) -> Column:
 def presence_totals(evidence: DataFrame) -> DataFrame:
     """Weighted sum and number of presence rows around each distinct seed position.
 
-    The window sum is the difference of two prefix sums, so no seed is paired with its presence
-    rows, however many of them share a moment.
+    All windows are of one length, so no seed is paired with its presence rows, however many of them share a moment.
     """
     weight = _weighted(F.col("confidence"), F.col("source"), F.col("kind"))
-    nothing = [F.lit(0).cast("decimal(28,8)").alias("w"), F.lit(0).cast("bigint").alias("n")]
+    at = F.col("start_s")
     spot = (
         evidence.filter(F.col("kind") == PRESENCE)
-        .groupBy("video_id", F.col("start_s").alias("t"))
+        .groupBy("video_id", at.alias("from_t"))
         .agg(F.sum(weight).cast("decimal(28,8)").alias("w"), F.count(F.lit(1)).alias("n"))
-        .select("video_id", "t", F.lit(1).alias("side"), F.lit(None).cast("double").alias("seed_s"), "w", "n")
-    )
-    seed = seeds_of(evidence).select("video_id", F.col("start_s").alias("seed_s")).distinct()
-    asked = [
-        seed.select("video_id", edge(F.col("seed_s"), -1).alias("t"), F.lit(0).alias("side"), "seed_s", *nothing),
-        seed.select("video_id", edge(F.col("seed_s"), 1).alias("t"), F.lit(2).alias("side"), "seed_s", *nothing),
-    ]
-    line = settle(spot.unionByName(asked[0]).unionByName(asked[1]))
-    run = ordered.scan_before(
-        line, ["video_id"], ["t", "side", "seed_s"], F.floor(F.col("t") / CHUNK_S),
-        [ordered.Scan("w_before", "sum", F.col("w")), ordered.Scan("n_before", "sum", F.col("n"))],
-    ).filter("side <> 1")
-    sign = F.when(F.col("side") == 2, F.lit(1)).otherwise(F.lit(-1))
-    return run.groupBy("video_id", "seed_s").agg(
-        F.sum(F.coalesce("w_before", F.lit(0)) * sign).alias("near_w"),
-        F.sum(F.coalesce("n_before", F.lit(0)) * sign).alias("near_n"),
+        .withColumn("to_t", F.col("from_t"))
     )
+    seed = seeds_of(evidence).select("video_id", at.alias("seed_s"), edge(at, -1).alias("lo"), edge(at, 1).alias("hi")).distinct()
+    near = around(spot, seed, ["video_id"], "seed_s", 2 * PRESENCE_WINDOW_S, ["w", "n"], [])
+    return near.select("video_id", "seed_s", F.coalesce("w", F.lit(0)).alias("near_w"), F.coalesce("n", F.lit(0)).alias("near_n"))
+
+
+class PoolParts(NamedTuple):
+    """What a pool and its features both need, written once: ends of seeds, and chains of videos without a start cue."""
+
+    ends: DataFrame
+    chains: DataFrame
+
+
+def pool_parts(items: DataFrame) -> PoolParts:
+    return PoolParts(settle(seed_end(items)), settle(presence_chains(seed_mode(items)[1])))
 
 
-def candidate_pool(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
+def candidate_pool(evidence: DataFrame, coalesced: bool = False, parts: PoolParts | None = None) -> DataFrame:
     """All candidates with their scores; equal to the rows of ``candidates_of(candidate_members(..))``.
 
     Only sums and counts are needed here, so candidates are not paired with their evidence.
     """
     items = evidence if coalesced else settle(coalesce_frames(evidence))
-    ends = seed_end(items).select(
+    ends = (parts.ends if parts else seed_end(items)).select(
         "video_id",
         "seed_s",
         F.col("end_at").alias("detected_end_s"),
@@ -358,7 +359,7 @@ def candidate_pool(evidence: DataFrame, coalesced: bool = False) -> DataFrame:
         (1 + F.col("near_n") + F.col("detected_end_s").isNotNull().cast("bigint")).alias("n_evidence"),
         "detected_end_s",
     )
-    cluster = presence_clusters(items, settle(presence_chains(seed_mode(items)[1])))
+    cluster = presence_clusters(items, parts.chains if parts else settle(presence_chains(seed_mode(items)[1])))
     score = score_sum(F.col("confidence"), F.col("source"), F.col("kind"))
     clustered = eligible_clusters(cluster, score.alias("confidence")).select(
         *CAND,

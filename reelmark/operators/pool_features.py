@@ -4,7 +4,7 @@ A seeded candidate is its start cue, all presence rows within twenty seconds and
 one length, so what their presence rows add up to comes from ``functions/around.py``; only the two cues are looked at
 per candidate. Phrases count in the text of a candidate in order, so they may also run over rows:
 
-* found in one row: a flag of the row, one more maximum of the window;
+* found in one row: a bit of the row's mask, and the window takes the union of the masks;
 * running over presence rows: a row for each such run, counted by window like the rest, less the runs that a cue of
   the candidate falls into;
 * at a cue: searched in the cue's text with its nearest presence rows, as many as the longest phrase can reach.
@@ -29,14 +29,22 @@ REACH = ft.MAX_PHRASE_WORDS - 1
 PHRASES = [("s", tx.normalize_phrase(p)) for p in SPONSOR_FEATURE_PHRASES] + [
     ("c", tx.normalize_phrase(p)) for p in CALL_TO_ACTION_FEATURE_PHRASES
 ]
-FLAGS = [f"_p{i}" for i in range(len(PHRASES))]
+OF_KIND = {k: sum(1 << i for i, (of, _) in enumerate(PHRASES) if of == k) for k in "sc"}
 _AT = ["video_id", "seed_s"]
 
 
-def _flags(text: Column) -> list[Column]:
-    """Per phrase: 1 if it lies within the one text, else 0."""
-    hits = [text.contains(p) if " " in p else text.rlike(tx.java_pattern(r"\b" + p + r"\b")) for _, p in PHRASES]
-    return [F.coalesce(h, F.lit(False)).cast("int").alias(n) for h, n in zip(hits, FLAGS)]
+def _bit(at: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), at.cast("int"))
+
+
+def _mask(text: Column, words: bool = True) -> Column:
+    """The phrases that lie within the one text, a bit each; ``words`` also takes those of one word."""
+    out = F.lit(0).cast("bigint")
+    for i, (_, p) in enumerate(PHRASES):
+        if " " in p or words:
+            hit = text.contains(p) if " " in p else text.rlike(tx.java_pattern(r"\b" + p + r"\b"))
+            out = out + F.when(hit, F.lit(1 << i).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return out
 
 
 def _brief(text: Column) -> Column:
@@ -168,34 +176,32 @@ def _texts(own: Column, end: Column) -> tuple[Column, Column]:
     return first, second
 
 
-def _seeded_features(items: DataFrame, pool: DataFrame, video: DataFrame | None, nfkc: bool) -> DataFrame:
+def _seeded_features(items: DataFrame, pool: DataFrame, ends: DataFrame, video: DataFrame | None, nfkc: bool) -> DataFrame:
     sums, maxima = ft._measures()
     part = tx.normalize_text(ft.said(), nfkc)
     measured = ["video_id", "ev_idx", "start_s", *[c.alias(k) for k, c in (sums | maxima).items()]]
     texts = [part.alias("part"), ft.row_groups(F.col("raw")).alias("groups")]
-    seed = settle(
-        fusion.seeds_of(items).select(
-            *measured, *texts, fusion.edge(F.col("start_s"), -1).alias("lo"), fusion.edge(F.col("start_s"), 1).alias("hi")
-        )
+    masked = lambda df: df.withColumn("mask", _mask(F.col("part")))
+    seeds = fusion.seeds_of(items).select(
+        *measured, *texts, fusion.edge(F.col("start_s"), -1).alias("lo"), fusion.edge(F.col("start_s"), 1).alias("hi")
     )
+    seed = settle(masked(seeds))
     asked = seed.select("video_id", F.col("start_s").alias("seed_s"), "lo", "hi").distinct()
     of_seeds = items.filter(F.col("kind") == PRESENCE).join(seed.select("video_id").distinct(), "video_id", "left_semi")
-    presence = settle(of_seeds.select(*measured, *texts))
-    spots = presence.select("*", *_flags(F.col("part"))).groupBy("video_id", F.col("start_s").alias("from_t"), F.col("start_s").alias("to_t")).agg(
+    presence = settle(masked(of_seeds.select(*measured, *texts)))
+    spots = presence.groupBy("video_id", F.col("start_s").alias("from_t"), F.col("start_s").alias("to_t")).agg(
         *[F.sum(k).cast("decimal(28,6)" if k.startswith("avg") else "bigint").alias(k) for k in sums],
-        *[F.max(k).alias(k) for k in (*maxima, *FLAGS)],
+        *[F.max(k).alias(k) for k in maxima],
+        F.bit_or("mask").alias("mask"),
     )
-    near = around(spots, asked, ["video_id"], "seed_s", WIDTH_S, list(sums), [*maxima, *FLAGS])
+    near = around(spots, asked, ["video_id"], "seed_s", WIDTH_S, list(sums), list(maxima), ("mask",))
     line = settle(_presence_line(presence))
 
-    end = (
-        fusion.seed_end(items).select("video_id", "seed_s", "end_row")
-        .select("seed_s", "end_row.*").select(*measured, "seed_s", *texts)
-    )
+    end = masked(ends.select("video_id", "seed_s", "end_row").select("seed_s", "end_row.*").select(*measured, "seed_s", *texts))
     end = end.select(
-        *_AT, _place().alias("end_o"), "part", "groups", *[F.col(k).alias(f"e_{k}") for k in (*sums, *maxima)],
-        *[c.alias(f"e_{n}") for c, n in zip(_flags(F.col("part")), FLAGS)],
-    ).withColumnsRenamed({"part": "end_part", "groups": "end_groups"})
+        *_AT, _place().alias("end_o"), F.col("part").alias("end_part"), F.col("groups").alias("end_groups"),
+        *[F.col(k).alias(f"e_{k}") for k in (*sums, *maxima, "mask")],
+    )
     closing = settle(end.join(asked, _AT))
     latest = F.struct(F.col("hi").alias("s"), F.lit(2**63 - 1).alias("i"))
     end_side = _neighbours(line, closing.filter("end_part <> ''").select(*_AT, F.least("end_o", latest).alias("place")), _AT, "b2", "a2")
@@ -205,7 +211,7 @@ def _seeded_features(items: DataFrame, pool: DataFrame, video: DataFrame | None,
     )
     per = (
         own.join(pool.select(*CAND, F.col("end_s").alias("_end"), F.col("confidence").alias("_conf")), CAND)
-        .join(near.select(*_AT, *[F.col(k).alias(f"n_{k}") for k in (*sums, *maxima, *FLAGS)]), _AT, "left")
+        .join(near.select(*_AT, *[F.col(k).alias(f"n_{k}") for k in (*sums, *maxima, "mask")]), _AT, "left")
         .join(closing.drop("lo", "hi"), _AT, "left")
         .join(own_side, CAND, "left")
         .join(end_side, _AT, "left")
@@ -239,19 +245,21 @@ def _seeded_features(items: DataFrame, pool: DataFrame, video: DataFrame | None,
     per = per.withColumn("b2", F.filter("b2", lambda e: ~opens | (e["o"] > own_o)))
     first, second = _texts(_brief(F.col("part")), F.col("end_x"))
     per = per.withColumn("_t1", first).withColumn("_t2", second)
-    per = per.select("*", *_flags(F.col("part")))
 
-    def found(i: int) -> Column:
-        flags = [F.col(FLAGS[i]), *[F.coalesce(F.col(f"{t}_{FLAGS[i]}"), F.lit(0)) for t in "ne"]]
-        here = F.greatest(*flags) > 0
-        phrase = PHRASES[i][1]
-        if " " in phrase:
-            whole = F.coalesce(F.try_element_at("runs_of", F.lit(i)), F.lit(0)) > F.size(F.filter("broken", lambda r: r["p"] == i))
-            here = here | F.col("_t1").contains(phrase) | F.col("_t2").contains(phrase) | whole
-        return F.coalesce(here, F.lit(False)).cast("double")
+    # A phrase runs over presence rows if more runs of it lie in the window than the cues break.
+    running = F.filter(
+        F.map_entries("runs_of"), lambda e: e["value"] > F.size(F.filter("broken", lambda r: r["p"] == e["key"]))
+    )
+    masks = [F.col("mask"), *[F.coalesce(f"{t}_mask", F.lit(0).cast("bigint")) for t in "ne"]]
+    masks += [_mask(F.concat("_t1", F.lit("\n"), "_t2"), words=False)]
+    masks += [F.coalesce(F.aggregate(running, F.lit(0).cast("bigint"), lambda m, e: m.bitwiseOR(_bit(e["key"]))), F.lit(0).cast("bigint"))]
+    found = masks[0]
+    for m in masks[1:]:
+        found = found.bitwiseOR(m)
+    per = per.withColumn("found", found)
 
     def hits(kind: str) -> Column:
-        return sum((found(i) for i, (k, _) in enumerate(PHRASES) if k == kind), F.lit(0.0))
+        return F.bit_count(F.col("found").bitwiseAND(F.lit(OF_KIND[kind]).cast("bigint"))).cast("double")
 
     none = F.array().cast("array<string>")
     groups = F.array_distinct(F.concat("groups", *[F.coalesce(g, none) for g in ("groups_near", "end_groups")]))
@@ -265,12 +273,19 @@ def _seeded_features(items: DataFrame, pool: DataFrame, video: DataFrame | None,
     return ft._vector(ft._with_duration(per, video))
 
 
-def pool_features(items: DataFrame, pool: DataFrame, video: DataFrame | None = None, nfkc: bool = True) -> DataFrame:
+def pool_features(
+    items: DataFrame,
+    pool: DataFrame,
+    video: DataFrame | None = None,
+    nfkc: bool = True,
+    parts: fusion.PoolParts | None = None,
+) -> DataFrame:
     """``video_id, cand_idx`` and the 38 feature columns of each candidate of ``fusion.candidate_pool``.
 
-    ``items`` is the coalesced evidence that the pool was made of, as a written table. The rows are those that
-    ``candidate_features`` gives from the pool's members.
+    ``items`` is the coalesced evidence that the pool was made of, as a written table, and ``parts`` its ``pool_parts``.
+    The rows are those that ``candidate_features`` gives from the pool's members.
     """
-    clustered = fusion.clustered_members(items)
+    parts = parts or fusion.pool_parts(items)
+    clustered = fusion.clustered_members(items, parts.chains)
     rest = ft.candidate_features(pool.filter("not seeded"), clustered, None, video, nfkc)
-    return _seeded_features(items, pool.filter("seeded"), video, nfkc).unionByName(rest)
+    return _seeded_features(items, pool.filter("seeded"), parts.ends, video, nfkc).unionByName(rest)

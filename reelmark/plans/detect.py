@@ -289,8 +289,9 @@ def videos(candidate):
 def featured(spark, sf):
     """Coalesced evidence, its pool and the pool's features; no candidate is paired with its evidence."""
     items = settle(fusion.coalesce_frames(d.evidence(spark, sf)))
-    pool = settle(fusion.candidate_pool(items, coalesced=True))
-    return items, pool, pf.pool_features(items, pool, videos(pool))
+    parts = fusion.pool_parts(items)
+    pool = settle(fusion.candidate_pool(items, True, parts))
+    return items, pool, pf.pool_features(items, pool, videos(pool), parts=parts)
 
 
 def applied(spark, sf):

@@ -313,9 +313,10 @@ def newest_versions(spark: SparkSession, path: str) -> DataFrame:
 
 def scored_candidates(evidence: DataFrame, model: scoring.Model | None, nfkc: bool = True) -> DataFrame:
     items = settle(fusion.coalesce_frames(evidence))
-    pool = settle(fusion.candidate_pool(items, coalesced=True))
-    applied = scoring.apply_model(pool, pf.pool_features(items, pool, nfkc=nfkc), model)
-    moved = scoring.apply_boundary_offsets(applied, fusion.boundary_members(items), model)
+    parts = fusion.pool_parts(items)
+    pool = settle(fusion.candidate_pool(items, True, parts))
+    applied = scoring.apply_model(pool, pf.pool_features(items, pool, nfkc=nfkc, parts=parts), model)
+    moved = scoring.apply_boundary_offsets(applied, fusion.boundary_members(items, parts.chains), model)
     return scoring.select_bands(moved, model)
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _named(spark: SparkSession, key: str) -> str | None:
@@ -49,12 +50,21 @@ def _remove(spark: SparkSession, folder: str) -> None:
         pass
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, release: bool = False) -> DataFrame:
     """Writes ``df`` once as Parquet in the shared folder and reads it back.
 
     Later steps then prune columns and push filters into the files, and a lost executor only
-    costs the re-reading of files.
+    costs the re-reading of files. With ``release`` the shuffle files of the step are removed as soon as it
+    is written, where they would stay until the driver happens to collect its garbage.
     """
-    path = f"{own_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{own_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(RELEASE, None)
+    if release:
+        spark.conf.set(RELEASE, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if release:
+            spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -46,8 +46,8 @@ class Block:
 
 
 def blocks(column: pa.Array, max_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
-    """The documents of a string column as UTF-8 bytes; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """The documents of a string or binary column as bytes; null counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_binary()), b"")
     _, offsets, data = column.buffers()
     n = len(column)
     if not n:

@@ -7,10 +7,11 @@ so equal windows have equal samples at equal places. Windows that share their sa
 27; a sorted tuple carries the hash of the sampled string, the hash of the run's whole string (the common
 prefix and suffix that equal runs have), the document and the place.
 
-Spark's external sort is the disk-backed queue: tuples are shuffled by sample, sorted with spilling, and
-streamed in order with one row of state. A run whose string occurs in a smaller document is removed whole; a
-run that only shares its sample is settled window by window in a second sort of the same kind. The ends
-of a shared passage are the only places where that happens, so the second sort is short.
+Of equal strings in a batch only those of its smallest document are compared further, so a hot passage is
+reduced before the shuffle. Spark's external sort is the disk-backed queue: tuples are shuffled by sample, sorted
+with spilling, and streamed in order with one row of state. A run whose string occurs in a smaller document is
+removed whole. A run that only shares its sample goes with its bytes, one row of at most 81 for its windows, to
+a second shuffle by sample and is settled there window by window, in a second sort of the same kind.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ SAMPLE = 24
 # the first byte, 6 bits of the number of windows.
 TAG_SHIFT, AT_SHIFT = 42, 6
 NO_ID = 2**63 - 1
+# Tuples that are combined before the shuffle, and rows of one string held in a task.
+COMBINE, HELD = 1 << 20, 1 << 17
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -93,29 +96,59 @@ def runs(block: Block, length: int = LENGTH, sample: int = SAMPLE):
     return doc[first], first, windows, low[first], whole
 
 
+def _seen_here(whole: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Tuples whose string a smaller document of the same batch has."""
+    order = np.argsort(whole, kind="stable")
+    ordered, owner = whole[order], doc[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    least = np.minimum.reduceat(owner, starts)
+    out = np.empty(len(doc), bool)
+    out[order] = owner > np.repeat(least, np.diff(np.r_[starts, len(doc)]))
+    return out
+
+
+def _combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Tuples of a batch; those already seen in it are spread over keys of their own and compared no more."""
+    sample, whole, doc, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+    seen = _seen_here(whole, doc)
+    stretch = ((place[seen] >> AT_SHIFT) & (2**36 - 1)) >> 16
+    sample[seen] = whole[seen] = mixed(doc[seen].view(np.uint64) + stretch.view(np.uint64) * np.uint64(MIX_1)).view(np.int64)
+    cols = [pa.array(c) for c in (sample, whole, doc, place, seen)]
+    return pa.RecordBatch.from_arrays(cols, names=["sample", "whole", "doc", "place", "seen"])
+
+
 def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
         tags = batch.column("tag").to_numpy(zero_copy_only=False)
+        parts, size = [], 0
         for b in blocks(batch.column("text")):
             doc, first, windows, low, whole = runs(b)
+            if not len(doc):
+                continue
             place = (tags[b.first + doc] << TAG_SHIFT) | ((first - b.offsets[doc]) << AT_SHIFT) | windows
-            cols = [low.view(np.int64), whole.view(np.int64), ids[b.first + doc], place]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "whole", "doc", "place"])
+            parts.append((low.view(np.int64), whole.view(np.int64), ids[b.first + doc], place))
+            size += len(doc)
+            if size >= COMBINE:
+                yield _combined(parts)
+                parts, size = [], 0
+        if parts:
+            yield _combined(parts)
 
 
 def _sorted_verdicts(partial: bool) -> Callable:
     """Streams tuples sorted by (sample, whole, doc): ``seen`` rows have their string in a smaller document.
 
     With ``partial``, rows that are not seen come out too if their sample has another string. Of a group of any size
-    the last row is held, and of the last string the rows that are not seen, which all are of one document.
+    the last row is held, and of the last string the rows that are not seen, which all have one id; beyond ``HELD`` of
+    these they come out as if there were another string, which only has them judged window by window.
     """
     names = ["doc", "place", "seen"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, least, held, linked = None, None, [np.zeros(0, np.int64)] * 4, False
         for batch in batches:
-            sample, whole, doc, place = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            sample, whole, doc, place, known = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             if not len(doc):
                 continue
             first = np.ones(len(doc), bool)
@@ -123,7 +156,7 @@ def _sorted_verdicts(partial: bool) -> Callable:
             first[0] = last != (sample[0], whole[0])
             at = np.maximum.accumulate(np.where(first, np.arange(len(doc)), -1))
             smallest = np.where(at >= 0, doc[np.maximum(at, 0)], doc[0] if least is None else least)
-            seen = smallest < doc
+            seen = (smallest < doc) | known
             out = [(doc[seen], place[seen], True)]
             last, least = (sample[-1], whole[-1]), smallest[-1]
             new = [np.r_[h, c[~seen]] for h, c in zip(held, (sample, whole, doc, place), strict=True)]
@@ -135,6 +168,10 @@ def _sorted_verdicts(partial: bool) -> Callable:
                 open_ = (same | np.r_[same[1:], False])[string] & (string < string[-1])
                 out.append((new[2][open_], new[3][open_], False))
                 held, linked = [c[string == string[-1]] for c in new], bool(same[-1])
+                if len(held[0]) > HELD:
+                    out.append((held[2], held[3], False))
+                    # One row stays, so that a later string of this sample is known to be another.
+                    held = [c[:1] for c in held]
             for d, p, s in out:
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(p), pa.array(np.full(len(d), s))], names=names)
         if linked:
@@ -143,34 +180,52 @@ def _sorted_verdicts(partial: bool) -> Callable:
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of each window of the runs in ``places`` of a text."""
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of the runs in ``places`` of a text, one row for each run, with its sample."""
     for batch in batches:
         ids, texts = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("text")
         for b in blocks(texts):
             if len(b.data) < LENGTH:
                 continue
             places = batch.column("places").slice(b.first, b.n)
-            sizes = np.diff(places.offsets.to_numpy())
-            doc = np.repeat(np.arange(b.n), sizes)
+            doc = np.repeat(np.arange(b.n), np.diff(places.offsets.to_numpy()))
             place = places.flatten().to_numpy(zero_copy_only=False)
+            low = window_minima(gram_hashes(b.data, SAMPLE), LENGTH - SAMPLE + 1)
+            start = b.offsets[doc] + ((place >> AT_SHIFT) & (2**36 - 1))
+            size = (place & 63) + LENGTH - 1
+            ends = np.r_[0, np.cumsum(size)]
+            data = b.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+            buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+            string = pa.Array.from_buffers(pa.binary(), len(place), buffers)
+            cols = [pa.array(low[start].view(np.int64)), pa.array(ids[b.first + doc]), pa.array(place), string]
+            yield pa.RecordBatch.from_arrays(cols, names=["sample", "doc", "place", "string"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two hashes of each window of the runs."""
+    for batch in batches:
+        ids, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "place"))
+        for b in blocks(batch.column("string")):
+            place = places[b.first : b.first + b.n]
             count = place & 63
-            each = np.repeat(np.arange(len(place)), count)
+            each = np.repeat(np.arange(b.n), count)
             nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = (((place >> AT_SHIFT) & (2**36 - 1))[each] + nth)
-            whole = gram_hashes(b.data, LENGTH)[b.offsets[doc[each]] + at]
-            other = gram_hashes(b.data[::-1], LENGTH)[::-1][b.offsets[doc[each]] + at]
-            tag = place[each] >> TAG_SHIFT
-            cols = [whole.view(np.int64), other.view(np.int64), ids[b.first + doc[each]], (tag << TAG_SHIFT) | (at << AT_SHIFT) | 1]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "whole", "doc", "place"])
+            whole = gram_hashes(b.data, LENGTH)[b.offsets[each] + nth]
+            other = gram_hashes(b.data[::-1], LENGTH)[::-1][b.offsets[each] + nth]
+            # The first byte of the window, and one window.
+            at = (((place >> AT_SHIFT)[each] + nth) << AT_SHIFT) | 1
+            cols = [whole.view(np.int64), other.view(np.int64), ids[b.first + each], at, np.zeros(len(at), bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["sample", "whole", "doc", "place", "seen"])
 
 
 CUT = T.StructType([T.StructField("text", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
-TUPLE = "sample bigint, whole bigint, doc bigint, place bigint"
+TUPLE = "sample bigint, whole bigint, doc bigint, place bigint, seen boolean"
+CONTEXT = "sample bigint, doc bigint, place bigint, string binary"
 
 
-def _judged(tuples: DataFrame, partial: bool) -> DataFrame:
-    ordered = tuples.repartition("sample").sortWithinPartitions("sample", "whole", "doc")
+def _judged(dealt: DataFrame, partial: bool) -> DataFrame:
+    """Verdicts on tuples that are dealt by sample."""
+    ordered = dealt.sortWithinPartitions("sample", "whole", "doc")
     return ordered.mapInArrow(_sorted_verdicts(partial), "doc bigint, place bigint, seen boolean")
 
 
@@ -219,11 +274,13 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     rows = _keyed(docs)
     text = F.coalesce("doc.text", F.lit(""))
     texts = rows.filter(F.octet_length("doc.text") >= LENGTH).select(F.col("key").alias("doc"), "tag", text.alias("text"))
-    judged = settle(_judged(texts.mapInArrow(_tuples, TUPLE), True))
+    # Each step is written before the next, so the disk holds the shuffle of one step only.
+    judged = settle(_judged(texts.mapInArrow(_tuples, TUPLE).repartition("sample"), True), release=True)
     same = (F.col("key") == F.col("p_doc")) & (F.col("tag") == F.col("p_tag"))
     open_runs = _places(judged.filter("not seen"))
-    windows = rows.join(open_runs, same).select(F.col("key").alias("doc"), text.alias("text"), "places")
-    ends = _judged(windows.mapInArrow(_windows, TUPLE), False)
+    held = rows.join(open_runs, same).select(F.col("key").alias("doc"), text.alias("text"), "places")
+    contexts = held.mapInArrow(_contexts, CONTEXT).repartition("sample")
+    ends = settle(_judged(contexts.mapInArrow(_windows, TUPLE), False), release=True)
     gone = _places(judged.filter("seen").select("doc", "place").union(ends.select("doc", "place")))
     out = rows.join(gone, same, "left").withColumn("bytes", text.cast("binary"))
     out = out.select("doc", F.octet_length("bytes").cast("long").alias("n_bytes"), _cut("bytes", "places").alias("c"))

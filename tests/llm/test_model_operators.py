@@ -259,22 +259,39 @@ def test_suffix_dedup_takes_awkward_tables(spark):
     assert removed(empty(spark)) == Counter()
 
 
-def test_sorted_verdicts_do_not_depend_on_batches():
+def test_sorted_verdicts_do_not_depend_on_batches(monkeypatch):
     rng = random.Random(10)
     rows = sorted((rng.randrange(6), rng.randrange(3), rng.randrange(9), k) for k in range(200))
-    names = ["sample", "whole", "doc", "place"]
+    rows += [(6, 0, 4, 300 + k) for k in range(40)] + [(7, 0, 4, 400 + k) for k in range(40)] + [(7, 1, 4, 500)]
+    names = ["sample", "whole", "doc", "place", "seen"]
+    known = {5, 60, 301}
 
     def run(size):
         parts = [rows[i : i + size] for i in range(0, len(rows), size)]
+        parts = [[(*r, r[3] in known) for r in p] for p in parts]
         batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*p, strict=True)], names=names) for p in parts]
         return [tuple(r.values()) for b in suffix_dedup._sorted_verdicts(True)(iter(batches)) for r in b.to_pylist()]
 
     want = set()
     for s, w, d, p in rows:
-        seen = any(x[:2] == (s, w) and x[2] < d for x in rows)
-        if seen or any(x[0] == s and x[1] != w for x in rows):
+        seen = p in known or any(x[:2] == (s, w) and x[2] < d for x in rows)
+        if seen or any(x[0] == s and x[1] != w and x[3] not in known for x in rows):
             want.add((d, p, seen))
     assert set(run(1)) == set(run(7)) == set(run(1000)) == want
+    # What is held is bounded; more strings are then judged window by window, none is lost.
+    monkeypatch.setattr(suffix_dedup, "HELD", 8)
+    few = set(run(7))
+    assert few >= want and all(not seen for _, _, seen in few - want)
+
+
+def test_strings_seen_in_a_batch_are_combined_before_the_shuffle():
+    whole, doc = np.array([7, 7, 9, 7, 9, 4]), np.array([3, 2, 5, 2, 5, 1])
+    assert suffix_dedup._seen_here(whole, doc).tolist() == [True, False, False, False, False, False]
+    parts = [(np.array([1, 1, 2]), np.array([7, 7, 9]), np.array([3, 2, 5]), np.array([64, 128, 192]))]
+    out = suffix_dedup._combined(parts).to_pylist()
+    assert [r["seen"] for r in out] == [True, False, False]
+    assert [(r["doc"], r["place"]) for r in out] == [(3, 64), (2, 128), (5, 192)]
+    assert out[1]["sample"] == 1 and out[1]["whole"] == 7 and out[0]["sample"] == out[0]["whole"]
 
 
 # ---- decontamination ------------------------------------------------------------

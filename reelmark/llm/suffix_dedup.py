@@ -35,6 +35,8 @@ TAG_SHIFT, AT_SHIFT = 42, 6
 NO_ID = 2**63 - 1
 # Tuples that are combined before the shuffle, and rows of one string held in a task.
 COMBINE, HELD = 1 << 20, 1 << 17
+# Runs, and bytes of them, that are worked on at a time where each becomes many numbers.
+PART, PART_BYTES = 1 << 14, 1 << 19
 
 
 def gram_hashes(data: np.ndarray, width: int) -> np.ndarray:
@@ -184,7 +186,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the runs in ``places`` of a text, one row for each run, with its sample."""
     for batch in batches:
         ids, texts = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("text")
-        for b in blocks(texts):
+        for b in blocks(texts, PART_BYTES):
             if len(b.data) < LENGTH:
                 continue
             places = batch.column("places").slice(b.first, b.n)
@@ -192,20 +194,24 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = places.flatten().to_numpy(zero_copy_only=False)
             low = window_minima(gram_hashes(b.data, SAMPLE), LENGTH - SAMPLE + 1)
             start = b.offsets[doc] + ((place >> AT_SHIFT) & (2**36 - 1))
-            size = (place & 63) + LENGTH - 1
-            ends = np.r_[0, np.cumsum(size)]
-            data = b.data[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
-            buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
-            string = pa.Array.from_buffers(pa.binary(), len(place), buffers)
-            cols = [pa.array(low[start].view(np.int64)), pa.array(ids[b.first + doc]), pa.array(place), string]
-            yield pa.RecordBatch.from_arrays(cols, names=["sample", "doc", "place", "string"])
+            own, sample = ids[b.first + doc], low[start].view(np.int64)
+            del low
+            for i in range(0, len(place), PART):
+                part = slice(i, i + PART)
+                size = (place[part] & 63) + LENGTH - 1
+                ends = np.r_[0, np.cumsum(size)]
+                data = b.data[np.repeat(start[part] - ends[:-1], size) + np.arange(ends[-1])]
+                buffers = [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)]
+                string = pa.Array.from_buffers(pa.binary(), len(size), buffers)
+                cols = [pa.array(sample[part]), pa.array(own[part]), pa.array(place[part]), string]
+                yield pa.RecordBatch.from_arrays(cols, names=["sample", "doc", "place", "string"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Two hashes of each window of the runs."""
     for batch in batches:
         ids, places = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "place"))
-        for b in blocks(batch.column("string")):
+        for b in blocks(batch.column("string"), PART_BYTES):
             place = places[b.first : b.first + b.n]
             count = place & 63
             each = np.repeat(np.arange(b.n), count)

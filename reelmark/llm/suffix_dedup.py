@@ -34,8 +34,8 @@ SAMPLE = 24
 TAG_SHIFT, AT_SHIFT = 42, 6
 NO_ID = 2**63 - 1
 # Tuples that are combined before the shuffle, and rows of one string held in a task.
-COMBINE, HELD = 1 << 20, 1 << 17
-# Runs, and bytes of them, that are worked on at a time where each becomes many numbers.
+COMBINE, HELD = 1 << 18, 1 << 17
+# Runs, and bytes of texts or runs, that are worked on at a time, as each becomes many numbers.
 PART, PART_BYTES = 1 << 14, 1 << 19
 
 
@@ -124,7 +124,7 @@ def _tuples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = batch.column("doc").to_numpy(zero_copy_only=False)
         tags = batch.column("tag").to_numpy(zero_copy_only=False)
         parts, size = [], 0
-        for b in blocks(batch.column("text")):
+        for b in blocks(batch.column("text"), PART_BYTES):
             doc, first, windows, low, whole = runs(b)
             if not len(doc):
                 continue

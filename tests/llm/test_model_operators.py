@@ -441,6 +441,25 @@ def test_stretches_equal_brute_force():
     assert np.allclose(np.where(found >= licences.HEADER, found, 0), want) and (want > 0).sum() > 20
 
 
+def test_licence_versions_and_identifiers_are_told_apart(spark):
+    later = "under the terms of the GNU General Public License as\n * published by the Free Software Foundation; either version {} of\n * the License, or (at your option) any later version."
+    texts = {
+        "GPL-2.0-or-later": [f"/*\n * You can redistribute it and/or modify it {later.format(2)}\n */\nint x;", "// SPDX-License-Identifier: GPL-2.0-or-later\ncode"],
+        "GPL-3.0-or-later": [f"/*\n * You can redistribute it and/or modify it {later.format(3)}\n */\nint x;", "# SPDX-License-Identifier: GPL-3.0-or-later"],
+        "GPL-2.0": ["  GNU GENERAL PUBLIC LICENSE\n  Version 2, June 1991\n\nPreamble and much more", "SPDX-License-Identifier: GPL-2.0-only\nx"],
+        "GPL-3.0": ["  GNU GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nPreamble and much more", "SPDX-License-Identifier: GPL-3.0-only\nx"],
+        "LGPL-3.0": ["  GNU LESSER GENERAL PUBLIC LICENSE\n  Version 3, 29 June 2007\n\nThis version"],
+        "ISC": ["// SPDX-License-Identifier: ISC\nlet y = 1"],
+        "MIT": ["# SPDX-License-Identifier: MIT\ny = 1"],
+        None: ["# SPDX-License-Identifier: Nokia-Example\ny = 1", "a license identifier of version 2 or later"],
+    }
+    files = [(f"d{k}_{j}/f", t, name) for k, (name, own) in enumerate(texts.items()) for j, t in enumerate(own)]
+    filler = [(f"x{k}/f", "some words of no template at all\nand then others") for k in range(40)]
+    df = spark.createDataFrame([f[:2] for f in files] + filler, "path string, text string")
+    got = {r.path: r.license for r in licences.scan(df).collect()}
+    assert {p: got[p] for p, _, _ in files} == {p: name for p, _, name in files}
+
+
 def test_licences_take_awkward_tables(spark):
     df = awkward(spark).withColumn("path", F.col("doc_id").cast("string"))
     out = licences.scan(df)
